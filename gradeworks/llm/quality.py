@@ -11,7 +11,7 @@ from gradeworks.llm.label_model import fit, patterns, posterior
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_marks")
 #: Rules rarely speak against a good text, and a bad text breaks few of them: a vote to drop says more at first than votes to keep.
 START = ((0.60, 0.004, 0.396), (0.45, 0.25, 0.30))
-RULES = ("v_length", "v_repeats", "v_symbols", "v_lines", "v_size", "v_case", "v_marks")
+RULES = ("v_repeats", "v_symbols", "v_lines", "v_size", "v_case", "v_marks")
 
 
 def _count(text: str, keep: str) -> Column:
@@ -59,7 +59,6 @@ def votes() -> dict[str, Column]:
     m = F.col("m")
     n, letters = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_upper"] + m["n_lower"], F.lit(1))
     return {
-        "v_length": _vote(m["n_words"] < 50, m["n_words"] >= 100),
         "v_repeats": _vote(m["n_repeat_words"] * 100 > n * 40, m["n_repeat_words"] * 100 < n * 15),
         "v_symbols": _vote(m["n_symbols"] * 100 > n * 25, m["n_symbols"] * 100 < n * 5),
         "v_lines": _vote((m["n_dup_lines"] * 100 > m["n_lines"] * 35) & (m["n_dup_lines"] >= 3), m["n_dup_lines"] * 100 <= m["n_lines"] * 10),
@@ -75,8 +74,8 @@ def base_failed() -> Column:
 
 
 def learned(scored: DataFrame) -> dict:
-    """The label model of ``scored`` (columns of RULES), from all its rows."""
-    return fit(cut(patterns(scored, RULES)), RULES, prior=0.85, start=START)
+    """The label model of ``scored`` (``m`` and RULES), from all its rows but those that failed already."""
+    return fit(cut(patterns(scored.where(~base_failed()), RULES)), RULES, prior=0.85, start=START)
 
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -95,5 +94,5 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with all their columns. Measures are taken twice rather than texts shuffled."""
     rows = boundary(measured(packed(docs)), **votes())
-    model = learned(measured(docs.select("text")).select([v.alias(k) for k, v in votes().items()]))
+    model = learned(measured(docs.select("text")).select("m", *[v.alias(k) for k, v in votes().items()]))
     return rows.where(~base_failed() & (posterior(RULES, model) >= least)).select("row.*")
