@@ -61,7 +61,7 @@ def votes() -> dict[str, Column]:
     return {
         "v_repeats": _vote(m["n_repeat_words"] * 100 > n * 40, m["n_repeat_words"] * 100 < n * 15),
         "v_symbols": _vote(m["n_symbols"] * 100 > n * 25, m["n_symbols"] * 100 < n * 5),
-        "v_lines": _vote((m["n_dup_lines"] * 100 > m["n_lines"] * 35) & (m["n_dup_lines"] >= 3), m["n_dup_lines"] * 100 <= m["n_lines"] * 10),
+        "v_lines": _vote((m["n_dup_lines"] * 100 > m["n_lines"] * 80) & (m["n_dup_lines"] >= 3), m["n_dup_lines"] * 100 <= m["n_lines"] * 10),
         "v_size": _vote((m["word_chars"] > n * 14) | (m["word_chars"] * 2 < n * 5), m["word_chars"].between(n * 3, n * 9)),
         "v_case": _vote((m["n_upper"] * 100 > letters * 50) & (m["n_words"] > 0), m["n_upper"] * 100 < letters * 20),
         "v_marks": _vote(m["n_marks"] * 100 > n * 40, m["n_marks"] * 100 < n * 10),
