@@ -10,7 +10,7 @@ from gradeworks.llm.label_model import fit, patterns, posterior
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_marks")
 #: Rules rarely speak against a good text, and a bad text breaks few of them: a vote to drop says more at first than votes to keep.
-START = ((0.60, 0.004, 0.396), (0.45, 0.25, 0.30))
+START = ((0.60, 0.002, 0.398), (0.50, 0.30, 0.20))
 RULES = ("v_repeats", "v_symbols", "v_lines", "v_size", "v_case", "v_marks")
 
 
@@ -61,7 +61,7 @@ def votes() -> dict[str, Column]:
     return {
         "v_repeats": _vote(m["n_repeat_words"] * 100 > n * 40, m["n_repeat_words"] * 100 < n * 15),
         "v_symbols": _vote(m["n_symbols"] * 100 > n * 25, m["n_symbols"] * 100 < n * 5),
-        "v_lines": _vote((m["n_dup_lines"] * 100 > m["n_lines"] * 80) & (m["n_dup_lines"] >= 3), m["n_dup_lines"] * 100 <= m["n_lines"] * 10),
+        "v_lines": _vote((m["n_dup_lines"] * 100 > m["n_lines"] * 80) & (m["n_repeat_words"] * 100 > n * 30), m["n_dup_lines"] * 100 <= m["n_lines"] * 10),
         "v_size": _vote((m["word_chars"] > n * 14) | (m["word_chars"] * 2 < n * 5), m["word_chars"].between(n * 3, n * 9)),
         "v_case": _vote((m["n_upper"] * 100 > letters * 50) & (m["n_words"] > 0), m["n_upper"] * 100 < letters * 20),
         "v_marks": _vote(m["n_marks"] * 100 > n * 40, m["n_marks"] * 100 < n * 10),
@@ -75,7 +75,7 @@ def base_failed() -> Column:
 
 def learned(scored: DataFrame) -> dict:
     """The label model of ``scored`` (``m`` and RULES), from all its rows but those that failed already."""
-    return fit(cut(patterns(scored.where(~base_failed()), RULES)), RULES, prior=0.85, start=START)
+    return fit(cut(patterns(scored.where(~base_failed()), RULES)), RULES, prior=0.8, start=START)
 
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
