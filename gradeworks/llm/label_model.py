@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Votes of one rule in the order of the tables below.
-VOTES = (1, -1, 0)
+#: Votes of a rule that does not abstain, in the order of the tables below.
+VOTES = (1, -1)
 #: Where the iteration starts unless told otherwise: the chances of a rule's votes in the class that 1 speaks for, and in the other.
-START = ((0.60, 0.05, 0.35), (0.05, 0.60, 0.35))
+START = ((0.9, 0.1), (0.1, 0.9))
 
 
 def patterns(votes: DataFrame, rules: Sequence[str]) -> DataFrame:
@@ -19,11 +19,11 @@ def patterns(votes: DataFrame, rules: Sequence[str]) -> DataFrame:
 
 
 def posterior(rules: Sequence[str], model: dict) -> Column:
-    """Probability of the class that a vote of 1 speaks for."""
+    """Probability of the class that a vote of 1 speaks for; a rule that abstains says nothing."""
     score = F.lit(model["prior"])
     for r in rules:
-        p, q, o = model["rules"][r]
-        score = score + F.when(F.col(r) > 0, F.lit(p)).when(F.col(r) < 0, F.lit(q)).otherwise(F.lit(o))
+        p, q = model["rules"][r]
+        score = score + F.when(F.col(r) > 0, F.lit(p)).when(F.col(r) < 0, F.lit(q)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-score))
 
 
@@ -50,6 +50,6 @@ def fit(counts: DataFrame, rules: Sequence[str], prior: float, rounds: int = 12,
         prior = min(max((s["p"] + strength / 2) / (s["n"] + strength), 1e-4), 1 - 1e-4)
         for side, name, first in ((good, "g", start[0]), (bad, "b", start[1])):
             for r in rules:
-                found = [(s[f"{r}_{i}_{name}"] or 0) + strength * first[i] for i in range(3)]
+                found = [(s[f"{r}_{i}_{name}"] or 0) + strength * first[i] for i in range(2)]
                 side[r] = tuple(x / sum(found) for x in found)
     return model
