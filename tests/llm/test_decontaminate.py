@@ -34,7 +34,8 @@ def test_against_every_window(spark):
         w = [word() for _ in range(r.randrange(0, 120))]
         x = WORDS.findall(items[i % 25])
         if i % 3:
-            x[r.randrange(len(x))] = r.choice(["other", x[0].upper()]) if i % 3 == 2 else x[0]
+            if i % 3 == 2:
+                x[r.randrange(len(x))] = r.choice(["other", x[0].upper()])
             x = [a.upper() if r.random() < 0.2 else a for a in x]
             at = r.randrange(len(w) + 1)
             w[at:at] = x
