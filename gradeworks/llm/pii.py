@@ -149,8 +149,8 @@ def train(scanned: DataFrame, steps: int = 300) -> np.ndarray:
     y, w = 1 / (1 + np.exp(-score)), np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - w)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - 0.01 * w)
         w = w + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
