@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeworks.llm import decontaminate, near_dedup, pii, piece_sampling, quality, toxicity
+from gradeworks.llm import decontaminate, fixity, near_dedup, pii, piece_sampling, quality, secrets, token_files, toxicity
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_docs(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_docs(spark, sf_dir))
 
@@ -42,6 +47,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir), 85)
 
 
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive records against a replica in which every 199th has its first character overwritten."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hurt = F.when(F.col("page_id") % 199 == 7, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    one, two = (pages.select(F.col("page_id").alias("key"), fixity.record(F.col("url"), body).alias("record")) for body in (F.col("html"), hurt))
+    return fixity.audit(one, two).withColumnRenamed("key", "page_id")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"), 2)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -50,4 +67,23 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_merkle_fixity": """
+        WITH r AS (
+            SELECT page_id, html, coalesce(url, '') AS u FROM pages
+        ), w AS (
+            SELECT page_id,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' AS h,
+                chr(13) || chr(10) || chr(13) || chr(10) AS e, coalesce(html, '') AS a,
+                CASE WHEN page_id % 199 = 7 THEN '#' || substr(html, 2) ELSE coalesce(html, '') END AS b
+            FROM r
+        ), d AS (
+            SELECT page_id, strlen(h || strlen(a) || e || a || e) AS n_bytes, sha256(h || strlen(a) || e || a || e) AS digest,
+                sha256(h || strlen(b) || e || b || e) AS other
+            FROM w
+        )
+        SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS record,
+            CAST(sum(n_bytes) OVER (ORDER BY page_id) - n_bytes AS BIGINT) AS start, n_bytes, digest, digest = other AS intact
+        FROM d
+    """,
+}
