@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeworks.llm import decontaminate, fixity, near_dedup, pii, piece_sampling, quality, secrets, token_files, toxicity
+from gradeworks.llm import decontaminate, fixity, near_dedup, pii, piece_sampling, quality, repeats, secrets, token_files, toxicity
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_docs(spark, sf_dir))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(_docs(spark, sf_dir), 35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_docs(spark, sf_dir))
 
@@ -68,6 +73,26 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = {
+    "op4_repeated_passages": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35
+        ), g AS (
+            SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM s
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r
+        ), word AS (
+            SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w
+        ), kept AS (
+            SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t, count(*) AS n
+            FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+        )
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op9_merkle_fixity": """
         WITH r AS (
             SELECT page_id, html, coalesce(url, '') AS u FROM pages
