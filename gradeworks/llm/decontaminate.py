@@ -72,7 +72,7 @@ def passages(docs: DataFrame, items: DataFrame, row: list[str], percent: int = 8
     i2 = boundary(i1, n=F.size("h")).where("n > 0")
     items = cut(boundary(boundary(i2, sh=_shingles("h", "n")), f=simhash(F.col("h"))).select("item_id", "n", "sh", "f"))
     anchors = cut(items.select("n", F.posexplode("sh").alias("off", "s")).groupBy("s").agg(F.collect_set(F.struct("n", "off")).alias("places")))
-    index = items.select("item_id", "n", "f", "sh", F.inline(_blocks("f"))).select("item_id", "n", F.col("f").alias("item_f"), F.col("sh").alias("item_sh"), "b", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _flips()])).alias("v"))
+    index = items.select("item_id", "n", "f", F.inline(_blocks("f"))).select("item_id", "n", F.col("f").alias("item_f"), "b", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _flips()])).alias("v"))
     many = anchors.count()
     d1 = boundary(docs, h=_hashes(F.col("text")))
     d2 = boundary(d1, m=F.size("h")).select(*row, "h", "m")
@@ -85,8 +85,8 @@ def passages(docs: DataFrame, items: DataFrame, row: list[str], percent: int = 8
     windows = spots.groupBy(*row, "start", "n").agg(F.first(F.slice("h", F.col("start") + 1, F.col("n"))).alias("w"))
     w1 = boundary(boundary(windows, f=simhash(F.col("w"))), w_sh=_shingles("w", "n")).select(*row, "start", "n", "f", "w_sh")
     probe = w1.select("*", F.inline(_blocks("f")))
-    pairs = probe.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)
-    near = pairs.groupBy(*row, "start", "item_id").agg(F.first("w_sh").alias("x"), F.first("item_sh").alias("y"))
+    pairs = probe.join(index.hint("merge"), ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)
+    near = pairs.groupBy(*row, "start", "item_id").agg(F.first("w_sh").alias("x")).join(items.select("item_id", F.col("sh").alias("y")), "item_id")
     count = lambda c, k: F.size(F.filter(c, lambda z: z == k))
     both = F.aggregate(F.array_distinct("x"), F.lit(0), lambda s, k: s + F.least(count("x", k), count("y", k)))
     scored = boundary(near, both=both).withColumn("total", F.size("x") + F.size("y") - F.col("both"))
