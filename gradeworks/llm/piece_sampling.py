@@ -53,10 +53,19 @@ class Lattices:
         _, self.zero, self.hash, self.ids, self.weight = vocabulary(model)
         self.clear()
 
+        # tables by 22 bits of the hash; the second, by other bits, holds what shares a place in the first
+        self.slot = np.zeros((2, 1 << 22), np.int32)
+        one = (self.hash >> U(42)).astype(np.int64)
+        self.slot[0][one] = np.arange(len(one))
+        lost = np.flatnonzero(self.slot[0][one] != np.arange(len(one)))
+        two = ((self.hash[lost] >> U(20)) & U((1 << 22) - 1)).astype(np.int64)
+        self.slot[1][two] = lost
+        assert (self.slot[1][two] == lost).all(), "prefixes of this model need another hash"
+
     def clear(self) -> None:
         self.start: dict[int, int] = {}
         self.nodes = 0
-        self.parts = [np.empty(0), np.empty(0), np.empty(0, np.int32), np.empty(0, np.int64)]
+        self.parts = [np.empty(0), np.empty(0), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
 
     def add(self, hashes: list[int], buf: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Lattices of the words in buf[start:end], all at once."""
@@ -75,7 +84,9 @@ class Lattices:
             n += 1
             live = live[rem[live] >= n]
             h = span_hash(sums, pos[live], pos[live] + n)
-            x = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            x = self.slot[0][(h >> U(42)).astype(np.int64)]
+            miss = np.flatnonzero(self.hash[x] != h)
+            x[miss] = self.slot[1][((h[miss] >> U(20)) & U((1 << 22) - 1)).astype(np.int64)]
             hit = self.hash[x] == h
             live, x = live[hit], x[hit]
             piece = self.ids[x] >= 0
@@ -107,13 +118,13 @@ class Lattices:
         cum = np.cumsum(np.exp(value))
         cum -= np.repeat(cum[heads] - np.exp(value[heads]), width)
         cum[heads + width - 1] = 1.0
-        more = (self.nodes + node + np.minimum(cum, 1.0), value, ids.astype(np.int32), np.where(final, -1, self.nodes + node + step))
+        more = (self.nodes + node + np.minimum(cum, 1.0), value, ids.astype(np.int32), np.where(final, -1, self.nodes + node + step), len(self.parts[0]) + heads)
         self.parts = [np.concatenate(x) for x in zip(self.parts, more, strict=True)]
         self.start.update(zip(hashes, (self.nodes + first).tolist(), strict=True))
         self.nodes += len(at)
 
     def arrays(self) -> list[np.ndarray]:
-        """Of each way on: its node plus the summed chances up to it, log chance, id, next node (or -1)."""
+        """Of each way on: its node plus the summed chances up to it, log chance, id, next node (or -1); and of each node its first way on."""
         return self.parts
 
 
@@ -122,17 +133,21 @@ def uniform(*parts) -> np.ndarray:
     x = np.zeros(1, U)
     for p in parts:
         x = mix(x + np.asarray(p).astype(U) * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03))
+    return _unit(x)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
-def draw(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def draw(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One independent segmentation of each word: log probability, first index into the ids, ids."""
-    key, logp, ids, to = lat.arrays()
+    key, logp, ids, to, _ = lat.arrays()
     at, steps = np.argsort(node, kind="stable"), []  # equal words together, for the cache's sake
     cur = node[at]
     total, count = np.zeros(len(node)), np.zeros(len(node), np.int64)
     while len(at):
-        e = np.searchsorted(key, cur + uniform(seed[at], unit[at], salt, len(steps)))
+        e = np.searchsorted(key, cur + _unit(mix(seed[at] + U(salt * 0x632BE59BD9B4E019 + len(steps) * 0x9E3779B9 & 0xFFFFFFFFFFFFFFFF))))
         steps.append((at, ids[e]))
         total[at] += logp[e]
         count[at] += 1
@@ -147,11 +162,11 @@ def draw(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray, sa
 
 def other(lat: Lattices, node: int, taken: list[tuple[float, np.ndarray]], u: np.ndarray) -> tuple[float, np.ndarray]:
     """A segmentation of one word outside of ``taken`` (log probability, ids), by taking their mass off each step's chances."""
-    key, logp, ids, to = lat.arrays()
+    _, logp, ids, to, first = lat.arrays()
     left = [(float(np.exp(p)), x) for p, x in taken]
     total, out = 0.0, []
     while node >= 0:
-        lo, hi = np.searchsorted(key, (node, node + 1), side="right")
+        lo, hi = first[node], first[node + 1] if node + 1 < len(first) else len(ids)
         chance = np.exp(logp[lo:hi])
         weight = chance.copy()
         for mass, x in left:
@@ -217,7 +232,7 @@ def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi:
         before = np.concatenate(([0.0], np.cumsum(lp)))[at:n]
         phi = before + _rest(lp[at:])
         if taken:
-            phi[0] = before[0] + _rest(np.array([np.log(sum(np.exp(x) for x, _ in taken) + np.exp(lp[at]))]))[0]
+            phi[0] = before[0] + _rest(np.log(np.array([sum(np.exp(x) for x, _ in taken) + max(np.exp(lp[at]), 1e-300)])))[0]
         with np.errstate(divide="ignore"):
             g = phi + _gumbel(uniform(seed, np.arange(at, n), 2 + s))
             g = np.where(np.isfinite(phi), -np.logaddexp(-value, -g), -np.inf)
@@ -246,10 +261,9 @@ def _joined(y: dict, draws: list, lo: int, n: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
-def decode(ids, model: str) -> str:
-    """The text of a segmentation."""
-    raw = vocabulary(model)[0]
-    return b"".join(map(raw.__getitem__, ids))[1:].decode()
+def decode(ids: list[int], model: str) -> bytes:
+    """The text of a segmentation, in UTF-8."""
+    return b"".join(map(vocabulary(model)[0].__getitem__, ids))[1:]
 
 
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"
@@ -288,7 +302,8 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
     seeds = mix(keys + U(0x2545F4914F6CDD1D))
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     unit = np.arange(len(start)) - first[row]
-    draws = [draw(lat, node, seeds[row], unit, s) for s in range(k)]
+    own = mix(seeds[row] + mix(unit.astype(U)))
+    draws = [draw(lat, node, own, s) for s in range(k)]
     out: list[list] = [[] for _ in range(7)]
     for d, t in enumerate(texts):
         a, b = (int(first[d]), int(first[d + 1])) if t else (0, 0)
@@ -299,7 +314,7 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
         for s, (value, lp, y) in enumerate(made):
             ids = _joined(y, draws, a, b - a)
             inside = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 50.0))))
-            for c, v in zip(out, (doc_ids[d], s + 1, ids, lp, value, inside, decode(ids.tolist(), model).encode() == (t or b"")), strict=True):
+            for c, v in zip(out, (doc_ids[d], s + 1, ids, lp, value, inside, decode(ids.tolist(), model) == (t or b"")), strict=True):
                 c.append(v)
     types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
