@@ -18,6 +18,8 @@ from gradeworks.llm.words import U, mix, shingles, slices, split
 BANDS, ROWS = 25, 5
 #: SetSketch parameters: registers are exponents of this base, of minima with this rate.
 STEP, RATE, LARGEST = 1.02, 20.0, 65534
+#: Documents in a block of those that are tested against each other.
+BLOCK = 256
 #: Rows without an id get one above this, so that they can be told apart.
 NAMELESS = 1 << 62
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
@@ -122,13 +124,50 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
 
+def _crossed(percent: int):
+    """Links between two blocks of documents, one for each two groups that are linked in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = x.as_py(), y.as_py()
+                group: dict[int, int] = {}
+
+                def top(g: int, group: dict = group) -> int:
+                    while group.setdefault(g, g) != g:
+                        g = group[g]
+                    return g
+
+                a, b = (np.frombuffer(b"".join(m["sketch"] for m in z), np.uint16).reshape(-1, len(FACTORS)) for z in (x, y))
+                na, nb = (np.array([m["n"] for m in z], float) for z in (x, y))
+                ga, gb = (np.array([m["comp"] for m in z]) for z in (x, y))
+                sets: dict[int, np.ndarray] = {}
+                for i in range(len(x)):
+                    close = np.flatnonzero((np.minimum(na[i], nb) * 100 >= np.maximum(na[i], nb) * percent) & (gb != ga[i]))
+                    if len(close):
+                        _, keep = likely(np.broadcast_to(a[i], (len(close), a.shape[1])), b[close], np.full(len(close), na[i]), nb[close], percent / 100)
+                        for j in close[keep].tolist():
+                            p, q = top(x[i]["comp"]), top(y[j]["comp"])
+                            if p != q:
+                                s, t = (sets.setdefault(m["id"], np.frombuffer(m["set"], U)) for m in (x[i], y[j]))
+                                common = len(np.intersect1d(s, t, assume_unique=True))
+                                if common * 100 >= (len(s) + len(t) - common) * percent:
+                                    out.append((x[i]["id"], y[j]["id"]))
+                                    group[p] = q
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least ``percent`` / 100 of their 5-word shingle sets.
 
     One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
     Equal sets are one class. Classes that share a band of SetSketch registers are candidates: they are
-    tested against a centre of their band first, in rounds with other centres, and what those links don't
-    join is tested pair by pair, so no candidate link between groups is left untested and none within a
+    tested against a centre of their band first: the smallest id, then the one that shares most bands, then
+    any. What those links leave apart within a band is cut into blocks of about BLOCK documents, and blocks
+    are tested against each other, so no candidate link between groups is left untested and none within a
     group is needed. Tested means: a plausible joint likelihood of the sketches, then the full sets.
 
     Null and empty texts (and those of white space only): n_shingles 0, linked with nothing, kept. Rows
@@ -158,25 +197,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         found = likely_.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_shared, "a long, b long, common long, total long")
         return found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
+    degree = cut(shared.join(shared.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("id").agg(F.sum("c").alias("degree")))
     comp, links = ids.select("id", F.col("id").alias("comp")), None
-    for turn in range(star_rounds + 1):
-        member = shared.join(comp, "id")
-        mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("centre")).where("lo <> hi").select("band", "centre")
-        if turn < star_rounds:
-            to = comp.select(F.col("id").alias("centre"), F.col("comp").alias("other"))
-            pairs = member.join(mixed, "band").join(to, "centre").where("comp <> other").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-            pairs = pairs.distinct() if turn else pairs.groupBy("b").agg(F.min("a").alias("a"))
-        else:
-            rest = member.join(mixed.select("band"), "band")
-            pairs = rest.alias("x").join(rest.alias("y"), "band").where("x.comp < y.comp").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = cut(pairs)
+    for turn in range(star_rounds):
+        member = shared.join(comp, "id").join(degree, "id")
+        best = [-F.col("id"), F.struct("degree", "id"), F.xxhash64("id", F.lit(turn))][min(turn, 2)]
+        mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("id", best).alias("centre")).where("lo <> hi").select("band", "centre")
+        to = comp.select(F.col("id").alias("centre"), F.col("comp").alias("other"))
+        pairs = member.join(mixed, "band").join(to, "centre").where("comp <> other").select("id", "centre").groupBy("id").agg(F.min("centre").alias("centre")) if turn == 0 else member.join(mixed, "band").join(to, "centre").where("comp <> other").select("id", "centre").distinct()
+        pairs = cut(pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         if pairs.isEmpty():
             break
-        new = cut(verified(pairs.select("a", "b")))
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+        new = cut(verified(pairs))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    member = shared.join(comp, "id")
+    mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("centre")).where("lo <> hi").select("band", "centre")
+    apart = cut(member.join(mixed, "band").select("id", "comp", "centre"))
+    if not apart.isEmpty():
+        cluster = components(apart.select(F.col("id").alias("a"), F.col("centre").alias("b"))).select("id", F.col("comp").alias("cluster"))
+        rest = cut(apart.select("id", "comp").distinct().join(cluster, "id"))
+        sizes = rest.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+        small_ = sizes.where(F.col("size") < BLOCK).groupBy("cluster").agg(F.sum("size").alias("few"))
+        many = rest.join(sizes, ["cluster", "comp"]).join(small_, "cluster", "left")
+        own = F.col("size") >= BLOCK
+        block = F.when(own, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / BLOCK)))
+        full = many.select("id", "comp", "cluster", F.when(own, F.col("comp")).alias("pure"), block.alias("block")).join(sketches, "id").join(sets, "id")
+        packs = cut(full.groupBy("cluster", "pure", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "set")).alias("pack")))
+        names = packs.select("cluster", "pure", "block")
+        left, right = (names.select("cluster", F.struct("pure", "block").alias(x)) for x in "xy")
+        grid = left.join(right, "cluster").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False)))
+        for x in "xy":
+            grid = grid.join(packs.select(F.col("cluster"), F.struct("pure", "block").alias(x), F.col("pack").alias(f"pack_{x}")), ["cluster", x])
+        new = cut(grid.select("pack_x", "pack_y").mapInArrow(_crossed(percent), "a long, b long"))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
     of = classes.join(comp, "id", "left").select("fp1", "fp2", F.coalesce("comp", "id").alias("comp"))
     out = sigs.select("doc_id", "own", "n", "fp1", "fp2").join(of, ["fp1", "fp2"], "left")
     group = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("comp") < NAMELESS, F.col("comp")))
