@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +89,11 @@ class Encoder:
         fresh = [x for x, v in enumerate(names) if v not in self.known]
         if fresh:
             raw = w.buf.tobytes()
-            made = [e.ids for e in self.of.encode_batch([raw[w.start[where[x]] : w.end[where[x]]].decode() for x in fresh], add_special_tokens=False)]
+            lo, hi = w.start[where[fresh]].tolist(), w.end[where[fresh]].tolist()
+            made = [e.ids for e in self.of.encode_batch_fast([raw[a:b].decode() for a, b in zip(lo, hi, strict=True)], add_special_tokens=False)]
             base = len(self.known)
             self.known.update((names[x], base + j) for j, x in enumerate(fresh))
-            self.ids = np.concatenate((self.ids, *(np.array(m, np.uint32) for m in made)))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(m) for m in made])))
         code = np.array([self.known[v] for v in names], np.int64)[inverse]
         size = self.at[code + 1] - self.at[code]
