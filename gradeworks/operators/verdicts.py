@@ -65,7 +65,7 @@ def noise_sensitivity(answer: DataFrame, to_reference: DataFrame, to_answer: Dat
     both = to_answer.join(good, [*KEY, "ctx_idx"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
     has = F.coalesce("verdict", F.lit(False))
     side = both.groupBy(*KEY, "stmt_idx").agg(F.max(has & F.col("good")).alias("by_good"), F.max(has & ~F.col("good")).alias("by_bad"))
-    rows = answer.join(side, [*KEY, "stmt_idx"], "left").select(*KEY, ~F.coalesce("verdict", F.lit(False)).alias("wrong"), F.coalesce("by_good", F.lit(False)).alias("g"), F.coalesce("by_bad", F.lit(False)).alias("b"))
+    rows = answer.join(side, [*KEY, "stmt_idx"], "left").select(*KEY, (~F.coalesce("verdict", F.lit(False))).alias("wrong"), F.coalesce("by_good", F.lit(False)).alias("g"), F.coalesce("by_bad", F.lit(False)).alias("b"))
     hit = F.col("wrong") & (F.col("g") if relevant else F.col("b") & ~F.col("g"))
     return rows.groupBy(KEY).agg(F.avg(hit.cast("int")).alias("score"))
 
