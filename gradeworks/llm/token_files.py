@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeworks.llm.common import cut
-from gradeworks.llm.words import slices, split
+from gradeworks.llm.words import U, prefix_sums, slices, span_hash, split
 
 #: Bits of an id on each level, and bits of a continuation bitmap for each entry of its rank directory.
 CHUNK, STRIDE = 8, 512
+#: Bytes by kind: 1 a letter, 2 a digit or a mark that a tokenizer parts from letters; 0 any other.
+KIND = np.array([1 if chr(b).isalpha() else 2 if 0x20 < b < 0x7F and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
+#: What ends a piece where many are encoded in one call, and how many are.
+MARK, TOGETHER = "\x01", 48
 #: Words that a task remembers the ids of.
 MOST_WORDS = 1 << 20
 BLOCK = "part int, seq long, n long, doc_ids binary, named binary, counts binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -66,44 +70,67 @@ def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: int
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what white space parts; each word's ids are computed once."""
+    """Ids of texts by a tokenizer that keeps no upper case, joins nothing over white space, nor a letter with a digit or mark.
+
+    Texts are cut at such places and each piece's ids are computed once. Apostrophes (contractions) and the
+    signs around special tokens are never cut off.
+    """
 
     def __init__(self, path: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of, self.end = Tokenizer.from_file(path), end
+        mark = self._plain([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.codes = np.empty(0, U), np.empty(0, np.int64)
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, pieces: list[str], alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has; many go in one call, a mark of its own token after each, unless a piece holds the mark."""
+        if alone or self.mark is None:
+            made = self._plain(pieces)
+            return np.fromiter(chain.from_iterable(made), np.uint32), np.array([len(m) for m in made], np.int64)
+        made = self._plain([f" {MARK} ".join([*pieces[i : i + TOGETHER], ""]) for i in range(0, len(pieces), TOGETHER)])
+        every = np.fromiter(chain.from_iterable(made), np.uint32)
+        marks = np.flatnonzero(every == self.mark)
+        return every[every != self.mark], np.diff(marks, prepend=-1) - 1
+
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's, its end included."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.keys) > MOST_WORDS:
             self.clear()
-        w = split(texts)
-        kinds, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        names = kinds.tolist()
-        fresh = [x for x, v in enumerate(names) if v not in self.known]
-        if fresh:
+        w = split(texts, lower=not any(b"<|" in t for t in texts if t))
+        kind = KIND[w.buf]
+        inside = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1  # a letter beside a digit or mark
+        start, stop = (np.sort(np.concatenate((x, inside))) for x in (w.start, w.end))
+        kinds, where, inverse = np.unique(span_hash(prefix_sums(w.buf), start, stop), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, kinds)
+        fresh = np.ones(len(kinds), bool)
+        old = place < len(self.keys)
+        fresh[old] = self.keys[place[old]] != kinds[old]
+        if fresh.any():
             raw = w.buf.tobytes()
-            lo, hi = w.start[where[fresh]].tolist(), w.end[where[fresh]].tolist()
-            made = [e.ids for e in self.of.encode_batch_fast([raw[a:b].decode() for a, b in zip(lo, hi, strict=True)], add_special_tokens=False)]
-            base = len(self.known)
-            self.known.update((names[x], base + j) for j, x in enumerate(fresh))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(m) for m in made])))
-        code = np.array([self.known[v] for v in names], np.int64)[inverse]
-        size = self.at[code + 1] - self.at[code]
-        row = np.concatenate((w.row, np.arange(len(texts))))
-        order = np.argsort(row, kind="stable")  # each text's words, then its end
-        start = np.concatenate((self.at[code], np.full(len(texts), len(self.ids))))[order]
-        size = np.concatenate((size, np.ones(len(texts), np.int64)))[order]
-        first = np.cumsum(size) - size
+            pieces = [raw[a:b].decode() for a, b in zip(start[where[fresh]].tolist(), stop[where[fresh]].tolist(), strict=True)]
+            ids, size = self._fresh(pieces, MARK.encode() in raw)
+            self.keys = np.insert(self.keys, place[fresh], kinds[fresh])
+            self.codes = np.insert(self.codes, place[fresh], len(self.at) - 1 + np.arange(len(pieces)))
+            self.ids, self.at = np.concatenate((self.ids, ids)), np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+        code = self.codes[np.searchsorted(self.keys, kinds)][inverse]
+        ends = np.searchsorted(start, w.begin[1:])  # each text's end goes after its pieces
+        first = np.insert(self.at[code], ends, len(self.ids))
+        size = np.insert(self.at[code + 1] - self.at[code], ends, 1)
+        before = np.cumsum(size) - size
         pool = np.append(self.ids, np.uint32(self.end))
-        return pool[np.repeat(start - first, size) + np.arange(size.sum())], np.bincount(row[order], size, len(texts)).astype(np.int64)
+        out = pool[np.repeat(first - before, size) + np.arange(size.sum())]
+        closing = before[ends + np.arange(len(texts))] + 1
+        return out, np.diff(closing, prepend=0)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
