@@ -19,7 +19,7 @@ MOST_NODES = 1 << 21
 
 
 @lru_cache(maxsize=1)
-def vocabulary(model: str) -> tuple[list[bytes], int, np.ndarray, np.ndarray, np.ndarray]:
+def vocabulary(model: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of every id, the id of byte 0, and hash, id (or -1) and log weight of every prefix of a piece, by hash.
 
     A byte-pair model's scores are merge ranks; a piece weighs 1 / (2 + rank), so that frequent pieces are likelier.
@@ -40,7 +40,7 @@ def vocabulary(model: str) -> tuple[list[bytes], int, np.ndarray, np.ndarray, np
     h = span_hash(sums, end - np.array([len(x) for x in known]), end)
     order = h.argsort()
     ids, weight = (np.array([x[j] for x in known.values()]) for j in (0, 1))
-    return raw, zero, h[order], ids[order], weight[order]
+    return np.array(raw, object), zero, h[order], ids[order], weight[order]
 
 
 class Lattices:
@@ -63,12 +63,18 @@ class Lattices:
         assert (self.slot[1][two] == lost).all(), "prefixes of this model need another hash"
 
     def clear(self) -> None:
-        self.start: dict[int, int] = {}
-        self.nodes = 0
+        self.words, self.first, self.nodes = np.empty(0, U), np.empty(0, np.int64), 0
         self.parts = [np.empty(0), np.empty(0), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
 
-    def add(self, hashes: list[int], buf: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Lattices of the words in buf[start:end], all at once."""
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are, or would have to be, among the known ones, and whether they are known."""
+        at = np.searchsorted(self.words, hashes)
+        known = at < len(self.words)
+        known[known] = self.words[at[known]] == hashes[known]
+        return at, known
+
+    def add(self, hashes: np.ndarray, buf: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Lattices of the new words in buf[start:end], all at once, by ascending hash."""
         size = end - start
         first = np.cumsum(size) - size
         at = np.arange(size.sum())
@@ -96,7 +102,7 @@ class Lattices:
         for own, w in ((np.flatnonzero(bare), -12.0), (np.flatnonzero(tail), 0.0)):
             edge.append((own, np.ones(len(own), int), self.zero + lead[own].astype(int), np.full(len(own), w)))
         node, step, ids, weight = (np.concatenate(c) for c in zip(*edge, strict=True))
-        order = np.lexsort((node, rem[node]))
+        order = np.argsort(rem[node] * len(at) + node, kind="stable")
         node, step, ids, weight = node[order], step[order], ids[order], weight[order]
         level = rem[node]
         beta = np.zeros(len(at) + int(step.max(initial=0)) + 1)
@@ -107,20 +113,21 @@ class Lattices:
             v = weight[lo:hi] + np.where(final[lo:hi], 0.0, beta[node[lo:hi] + step[lo:hi]])
             heads = np.flatnonzero(np.diff(node[lo:hi], prepend=-1))
             top = np.maximum.reduceat(v, heads)
-            width = np.diff([*heads, hi - lo])
+            width = np.diff(heads, append=hi - lo)
             total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), heads))
             beta[node[lo:hi][heads]] = total
             value[lo:hi] = v - np.repeat(total, width)
         order = np.argsort(node, kind="stable")
         node, step, ids, value, final = node[order], step[order], ids[order], value[order], final[order]
         heads = np.flatnonzero(np.diff(node, prepend=-1))
-        width = np.diff([*heads, len(node)])
+        width = np.diff(heads, append=len(node))
         cum = np.cumsum(np.exp(value))
         cum -= np.repeat(cum[heads] - np.exp(value[heads]), width)
         cum[heads + width - 1] = 1.0
         more = (self.nodes + node + np.minimum(cum, 1.0), value, ids.astype(np.int32), np.where(final, -1, self.nodes + node + step), len(self.parts[0]) + heads)
         self.parts = [np.concatenate(x) for x in zip(self.parts, more, strict=True)]
-        self.start.update(zip(hashes, (self.nodes + first).tolist(), strict=True))
+        place = self.place(hashes)[0]
+        self.words, self.first = np.insert(self.words, place, hashes), np.insert(self.first, place, self.nodes + first)
         self.nodes += len(at)
 
     def arrays(self) -> list[np.ndarray]:
@@ -132,18 +139,22 @@ def uniform(*parts) -> np.ndarray:
     """Numbers in (0, 1) that depend on ``parts`` alone, not on where or in which order they are drawn."""
     x = np.zeros(1, U)
     for p in parts:
-        x = mix(x + np.asarray(p).astype(U) * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03))
+        x = _with(x, p)
     return _unit(x)
 
 
+def _with(x: np.ndarray, part) -> np.ndarray:
+    return mix(x + np.asarray(part).astype(U) * U(0x9E3779B97F4A7C15) + U(0xD1B54A32D192ED03))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
-def draw(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One independent segmentation of each word: log probability, first index into the ids, ids."""
+def draw(lat: Lattices, node: np.ndarray, seed: np.ndarray, salt: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One independent segmentation of each word, taken in the order ``at``: log probability, first index into the ids, ids."""
     key, logp, ids, to, _ = lat.arrays()
-    at, steps = np.argsort(node, kind="stable"), []  # equal words together, for the cache's sake
+    steps = []
     cur = node[at]
     total, count = np.zeros(len(node)), np.zeros(len(node), np.int64)
     while len(at):
@@ -194,16 +205,16 @@ def _rest(lp: np.ndarray) -> np.ndarray:
         return np.log(np.where(p > 1e-12, p, 0.0))
 
 
-def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi: int, k: int) -> tuple[list, float]:
-    """The k segmentations with the largest perturbed log probabilities, best first, and the next largest perturbation.
+def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi: int, top: float, scopes: np.ndarray) -> tuple[list, float]:
+    """As many segmentations as ``scopes``, of the largest perturbed log probabilities, best first, and the next largest perturbation.
 
     Top-down search over sets of segmentations: a set is a prefix of words, a word some of whose
     segmentations are taken, and free words after it. The best set gives its best member; what is left of
     it is split by the first word that differs, each part with a Gumbel truncated at its parent's. So the
-    result is an exact sample without replacement, and all its members differ.
+    result is an exact sample without replacement, and all its members differ. ``top`` is the Gumbel of all
+    segmentations, and a scope seeds the Gumbels of one split.
     """
-    n = hi - lo
-    top = float(_gumbel(uniform(seed, 0, 1))[0])
+    n, k = hi - lo, len(scopes)
     lps = [d[0][lo:hi] for d in draws]
     found: list = []
     queue: list = [(top, None)]  # (largest perturbation, sets it came from)
@@ -234,7 +245,7 @@ def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi:
         if taken:
             phi[0] = before[0] + _rest(np.log(np.array([sum(np.exp(x) for x, _ in taken) + max(np.exp(lp[at]), 1e-300)])))[0]
         with np.errstate(divide="ignore"):
-            g = phi + _gumbel(uniform(seed, np.arange(at, n), 2 + s))
+            g = phi + _gumbel(_unit(_with(scopes[s], np.arange(at, n))))
             g = np.where(np.isfinite(phi), -np.logaddexp(-value, -g), -np.inf)
         if n:
             queue.append((float(g.max()), {"g": g, "of": y, "from": at, "taken": taken}))
@@ -261,9 +272,9 @@ def _joined(y: dict, draws: list, lo: int, n: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
-def decode(ids: list[int], model: str) -> bytes:
+def decode(ids: np.ndarray, model: str) -> bytes:
     """The text of a segmentation, in UTF-8."""
-    return b"".join(map(vocabulary(model)[0].__getitem__, ids))[1:]
+    return b"".join(vocabulary(model)[0][ids].tolist())[1:]
 
 
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"
@@ -292,29 +303,31 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
     sums = prefix_sums(buf)
     h = span_hash(sums, start, end)
     kinds, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-    names = kinds.tolist()
-    fresh = np.flatnonzero([v not in lat.start for v in names])
-    if len(fresh):
-        lat.add([names[x] for x in fresh], buf, sums, start[where[fresh]], end[where[fresh]])
-    nodes = np.array([lat.start[v] for v in names], np.int64)
-    node = nodes[inverse]
+    fresh = ~lat.place(kinds)[1]
+    if fresh.any():
+        lat.add(kinds[fresh], buf, sums, start[where[fresh]], end[where[fresh]])
+    node = lat.first[lat.place(kinds)[0]][inverse]
+    by_node = np.argsort(node, kind="stable")  # equal words together, for the cache's sake
     keys = np.array([(i if i is not None else zlib.crc32(t or b"") + (1 << 40)) & 0xFFFFFFFFFFFFFFFF for i, t in zip(doc_ids, texts, strict=True)], U)
     seeds = mix(keys + U(0x2545F4914F6CDD1D))
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     unit = np.arange(len(start)) - first[row]
     own = mix(seeds[row] + mix(unit.astype(U)))
-    draws = [draw(lat, node, own, s) for s in range(k)]
+    draws = [draw(lat, node, own, s, by_node) for s in range(k)]
+    base = _with(np.zeros(1, U), seeds)
+    tops = _gumbel(_unit(_with(base, 1))).tolist()
+    scopes = np.stack([_with(base, 2 + s) for s in range(k)], axis=1)
     out: list[list] = [[] for _ in range(7)]
     for d, t in enumerate(texts):
         a, b = (int(first[d]), int(first[d + 1])) if t else (0, 0)
         if not t:
             made, limit = [(0.0, 0.0, {"src": np.empty(0, int), "swap": {}, "lp": np.empty(0)})], -np.inf
         else:
-            made, limit = search(lat, node, int(seeds[d]), draws, a, b, k)
+            made, limit = search(lat, node, int(seeds[d]), draws, a, b, tops[d], scopes[d])
         for s, (value, lp, y) in enumerate(made):
             ids = _joined(y, draws, a, b - a)
             inside = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 50.0))))
-            for c, v in zip(out, (doc_ids[d], s + 1, ids, lp, value, inside, decode(ids.tolist(), model) == (t or b"")), strict=True):
+            for c, v in zip(out, (doc_ids[d], s + 1, ids, lp, value, inside, decode(ids, model) == (t or b"")), strict=True):
                 c.append(v)
     types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
