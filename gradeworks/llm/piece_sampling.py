@@ -15,7 +15,7 @@ from gradeworks.llm.words import U, mix, prefix_sums, slices, span_hash
 
 MARK = "▁"
 #: Lattice nodes that a task remembers; beyond that it starts anew.
-MOST_NODES = 1 << 21
+MOST_NODES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -135,6 +135,12 @@ class Lattices:
         return self.parts
 
 
+@lru_cache(maxsize=1)
+def lattices(model: str) -> Lattices:
+    """The lattices that a worker's tasks share; results do not depend on what they hold."""
+    return Lattices(model)
+
+
 def uniform(*parts) -> np.ndarray:
     """Numbers in (0, 1) that depend on ``parts`` alone, not on where or in which order they are drawn."""
     x = np.zeros(1, U)
@@ -284,7 +290,7 @@ def sampler(model: str, k: int):
     """A ``mapInArrow`` function over (doc_id, text) that returns up to k rows of SCHEMA per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(model)
+        lat = lattices(model)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices(texts):
