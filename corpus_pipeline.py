@@ -37,7 +37,7 @@ STAGES = [
     ("segmentation", segmented),
 ]
 
-#: Learned votes and sampled segmentations are no SQL; tests compare with a plain version.
+#: Learned votes and sampled segmentations are no SQL.
 ORACLE_SQL = None
 
 
