@@ -283,7 +283,7 @@ def decode(ids: np.ndarray, model: str) -> bytes:
     return b"".join(vocabulary(model)[0][ids].tolist())[1:]
 
 
-SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"
+SCHEMA = "doc_id long, sample int, ids array<int>, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean"
 
 
 def sampler(model: str, k: int):
@@ -323,7 +323,7 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
     base = _with(np.zeros(1, U), seeds)
     tops = _gumbel(_unit(_with(base, 1))).tolist()
     scopes = np.stack([_with(base, 2 + s) for s in range(k)], axis=1)
-    out: list[list] = [[] for _ in range(7)]
+    out: list[list] = [[] for _ in range(8)]
     for d, t in enumerate(texts):
         a, b = (int(first[d]), int(first[d + 1])) if t else (0, 0)
         if not t:
@@ -333,16 +333,16 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
         for s, (value, lp, y) in enumerate(made):
             ids = _joined(y, draws, a, b - a)
             inside = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 50.0))))
-            for c, v in zip(out, (doc_ids[d], s + 1, ids, lp, value, inside, decode(ids, model) == (t or b"")), strict=True):
+            for c, v in zip(out, (doc_ids[d], s + 1, ids, zlib.crc32(ids.astype("<i4").tobytes()), lp, value, inside, decode(ids, model) == (t or b"")), strict=True):
                 c.append(v)
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "sample", "ids", "ids_crc32", "log_prob", "perturbed", "inclusion", "round_trip"])
 
 
 def sample(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
     """Up to ``k`` distinct segmentations of each row's text, drawn without replacement in proportion to their weight.
 
-    Rows of SCHEMA: sample 1 has the largest perturbed log probability; inclusion is the chance that a
+    Rows of SCHEMA: ids_crc32 is over the ids as little-endian 32-bit integers; sample 1 has the largest perturbed log probability; inclusion is the chance that a
     draw with the same threshold includes the segmentation. Seeded by doc_id (without one, by the text), so
     partitions and order don't matter. A text is one space-led word after another, as the model reads it;
     pieces of several spaces are not used, and characters outside of the vocabulary are bytes. Null and
@@ -354,15 +354,8 @@ def sample(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
 
 
 def digest(samples: DataFrame) -> DataFrame:
-    """``samples`` with number and CRC-32 (of little-endian 32-bit integers) in place of the ids."""
-
-    def crc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            ids = part.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-            at = np.concatenate(([0], np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))))
-            yield pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())
-
-    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.arrow_udf(crc, "long")("ids").alias("ids_crc32"), *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")], "round_trip")
+    """``samples`` with the number of the ids in place of the ids."""
+    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")], "round_trip")
 
 
 def stage(docs: DataFrame, model: str, k: int = 1) -> DataFrame:
