@@ -58,11 +58,33 @@ def _flips() -> list[int]:
     return [sum(1 << b for b in c) for k in range(NEAR + 1) for c in combinations(bits, k)]
 
 
+def _placed(hits: DataFrame, row: list[str], percent: int) -> DataFrame:
+    """Every window (row, start, n, words w) of n words with enough ``hits`` (places pos of shingles that items of n words have).
+
+    A window with c shingles has k of the sorted places p if p[i + k - 1] - c < start <= p[i] for some i;
+    a start is taken from its first i alone.
+    """
+    c = hits.withColumn("c", F.greatest(F.col("n") - (SHINGLE - 1), F.lit(1))).withColumn("lo", F.greatest(F.col("pos") - F.col("c") + 1, F.lit(0)))
+    near = c.select(*row, "n", "m", "c", F.struct("pos", "lo", F.slice("h", F.col("lo") + 1, F.col("pos") - F.col("lo") + F.col("n")).alias("near")).alias("p"))
+    p = boundary(near.groupBy(*row, "n", "m", "c").agg(F.collect_set("p").alias("p")), s=F.array_sort("p")).drop("p")
+    need = F.greatest(F.ceil(F.col("c") * (2 * percent) / (100 + percent)).cast("int"), F.lit(1))
+    p = p.withColumn("need", need).where(F.size("s") >= F.col("need"))
+
+    def starts(i: Column) -> Column:
+        last, before = F.get("s", i + F.col("need") - 1)["pos"] - F.col("c") + 1, F.when(i > 0, F.get("s", i - 1)["pos"] + 1)
+        return F.struct(F.get("s", i).alias("p"), F.greatest(last, before, F.lit(0)).alias("a"), F.least(F.get("s", i)["pos"], F.col("m") - F.col("n")).alias("b"))
+
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - F.col("need")), starts), lambda x: x["a"] <= x["b"])
+    at = p.select(*row, "n", F.explode(runs).alias("x")).select(*row, "n", "x.p.lo", "x.p.near", F.explode(F.sequence("x.a", "x.b")).alias("start"))
+    return at.select(*row, "start", "n", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("n")).alias("w"))
+
+
 def passages(docs: DataFrame, items: DataFrame, row: list[str], percent: int = 80) -> DataFrame:
     """Windows of ``docs`` that match an item: the columns ``row`` of docs, item_id, start (word), similarity.
 
-    Windows have the length of an item in words and start where a shingle that the item has would put it
-    (a window without a common shingle has similarity 0). A window's SimHash is looked up in the
+    Windows have the length of an item in words. Two windows of c shingles each reach ``percent`` only with
+    2 c percent / (100 + percent) shingles in common, so every window with that many places whose shingle
+    some item of its length has is looked up, wherever it starts. Its SimHash is looked up in the
     multi-index of the items' fingerprints, which returns all within RADIUS; of those, windows with
     weighted-shingle similarity (sum of smaller over sum of larger counts of 5-word shingles) of at least
     ``percent`` / 100 stay. Words are compared with A-Z lower-cased. Items without words match nothing.
@@ -71,7 +93,7 @@ def passages(docs: DataFrame, items: DataFrame, row: list[str], percent: int = 8
     i1 = boundary(items, h=_hashes(F.col("text"))).drop("text")
     i2 = boundary(i1, n=F.size("h")).where("n > 0")
     items = cut(boundary(boundary(i2, sh=_shingles("h", "n")), f=simhash(F.col("h"))).select("item_id", "n", "sh", "f"))
-    anchors = cut(items.select("n", F.posexplode("sh").alias("off", "s")).groupBy("s").agg(F.collect_set(F.struct("n", "off")).alias("places")))
+    anchors = cut(items.select("n", F.explode("sh").alias("s")).groupBy("s").agg(F.collect_set("n").alias("lengths")))
     index = items.select("item_id", "n", "f", F.inline(_blocks("f"))).select("item_id", "n", F.col("f").alias("item_f"), "b", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in _flips()])).alias("v"))
     many = anchors.count()
     d1 = boundary(docs, h=_hashes(F.col("text")))
@@ -81,8 +103,7 @@ def passages(docs: DataFrame, items: DataFrame, row: list[str], percent: int = 8
         at = boundary(d2, sh=_windows("h", "m", size)).select(*row, "h", "m", F.posexplode("sh").alias("pos", "s"))
         hit = at.join(F.broadcast(anchors) if many <= BROADCAST_SHINGLES else anchors, "s")
         hits = hit if hits is None else hits.union(hit)
-    spots = hits.select(*row, "h", "m", "pos", F.inline("places")).withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + n <= m")
-    windows = spots.groupBy(*row, "start", "n").agg(F.first(F.slice("h", F.col("start") + 1, F.col("n"))).alias("w"))
+    windows = _placed(hits.select(*row, "h", "m", "pos", F.explode("lengths").alias("n")).where("n <= m"), row, percent)
     w1 = boundary(boundary(windows, f=simhash(F.col("w"))), w_sh=_shingles("w", "n")).select(*row, "start", "n", "f", "w_sh")
     probe = w1.select("*", F.inline(_blocks("f")))
     pairs = probe.join(index.hint("merge"), ["n", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS)

@@ -57,3 +57,26 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
     assert dc.stage(docs, bench.limit(0)).count() == docs.count()
     assert dc.contamination(spark.createDataFrame([], COLUMNS), bench).count() == 0
+
+
+def test_windows_between_and_beyond_anchors(spark):
+    """Passages cut at the head or tail of a document, with swapped halves, and with words put in."""
+    r = random.Random(5)
+    fresh = lambda n: [f"x{r.randrange(10**6)}" for _ in range(n)]
+    items = [" ".join(fresh(n)) for n in (50, 50, 100, 100, 20)]
+    w = [x.split() for x in items]
+    texts = [
+        " ".join(w[0][2:] + fresh(40)),
+        " ".join(fresh(40) + w[1][:-2]),
+        " ".join(fresh(30) + w[2][50:] + w[2][:50] + fresh(30)),
+        " ".join(fresh(30) + w[3][:60] + fresh(2) + w[3][60:] + fresh(30)),
+        " ".join(w[4][1:] + fresh(1)),
+        " ".join(w[0][10:] + fresh(40)),
+        " ".join(w[0][2:]),
+        " ".join(fresh(5) + w[0] + w[0][20:] + w[1] + fresh(5)),
+    ]
+    want = brute(texts, items)
+    assert [want[i] for i in range(7)] == [[0], [1], [2], [3], [4], [], []]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x.doc_id: x.item_ids for x in dc.contamination(table(spark, texts), bench).collect()}
+    assert got == want
