@@ -35,6 +35,7 @@ def vocabulary(model: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.
             for n in range(1, len(raw[i])):
                 known.setdefault(raw[i][:n], (-1, 0.0))
             known[raw[i]] = (i, -float(np.log(2.0 - sp.get_score(i))))
+    assert all(b" " not in x.lstrip(b" ") for x in raw if x != b" "), "a piece of this model reaches from a word into the spaces after it"
     sums = prefix_sums(np.frombuffer(b"".join(known), np.uint8))
     end = np.cumsum([len(x) for x in known])
     h = span_hash(sums, end - np.array([len(x) for x in known]), end)
@@ -46,7 +47,7 @@ def vocabulary(model: str) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.
 class Lattices:
     """Lattices of words: each node's outgoing pieces with the chance of each, found by sums over all paths to the end.
 
-    A node is a byte of a word with its leading space. Characters that no piece has are chains of byte pieces.
+    A node is a byte of a word with the spaces before it. Characters that no piece has are chains of byte pieces.
     """
 
     def __init__(self, model: str) -> None:
@@ -303,9 +304,13 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
     if lat.nodes > MOST_NODES:
         lat.clear()
     buf = np.frombuffer(b"".join(p for t in texts for p in (b" ", t or b"")) + b" ", np.uint8)
-    space = np.flatnonzero(buf == 32)
-    start, end = space[:-1], space[1:]  # each word with its leading space
-    first = np.searchsorted(start, np.cumsum([0, *(len(t or b"") + 1 for t in texts)]))
+    begin = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    head = buf == 32
+    head[1:] &= buf[:-1] != 32
+    head[begin] = True
+    head = np.flatnonzero(head)
+    start, end = head[:-1], head[1:]  # each word with all spaces before it
+    first = np.searchsorted(start, begin)
     sums = prefix_sums(buf)
     h = span_hash(sums, start, end)
     kinds, where, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -344,8 +349,8 @@ def sample(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
 
     Rows of SCHEMA: ids_crc32 is over the ids as little-endian 32-bit integers; sample 1 has the largest perturbed log probability; inclusion is the chance that a
     draw with the same threshold includes the segmentation. Seeded by doc_id (without one, by the text), so
-    partitions and order don't matter. A text is one space-led word after another, as the model reads it;
-    pieces of several spaces are not used, and characters outside of the vocabulary are bytes. Null and
+    partitions and order don't matter. A text is one word after another, each with the run of spaces before it
+    (no piece has a space after another character, which is checked); characters outside of the vocabulary are bytes. Null and
     empty texts give one row without ids; texts with fewer segmentations give fewer rows; repeated rows
     repeat their result. Empty table: no rows.
     """
