@@ -245,3 +245,49 @@ THRESHOLDS = (("m0", 0.5), ("m1", 0.2), ("m2", 0.7))
 def regression_gate(spark, d):
     t = spark.createDataFrame(THRESHOLDS, "metric string, least double")
     return verdicts.gate(derived.scores_by_model(spark, d).withColumnRenamed("model_id", "metric"), t)
+
+
+#: Pairs over whole texts: without the last quarter of words, without the first.
+WHOLE = PAIRS.replace("1, 40)", "1, len(string_split(text, ' ')) - len(string_split(text, ' ')) // 4)").replace("6, 50)", "len(string_split(text, ' ')) // 4 + 1, len(string_split(text, ' ')))")
+
+
+def whole(f):
+    """Register ``f``, named whole_ and a query's name, with that query's SQL over whole texts."""
+    return query(SQL[f.__name__.removeprefix("whole_")].replace(PAIRS, WHOLE))(f)
+
+
+@whole
+def whole_rouge1_by_language(spark, d):
+    p = derived.whole_pairs(spark, d)
+    return overlap.rouge_n(p, 1).join(p.select("sample_id", "lang"), "sample_id").groupBy("lang").agg(F.round(F.avg("rouge"), 9).alias("rouge1"), F.count("*").alias("n"))
+
+
+@whole
+def whole_rouge2(spark, d):
+    return overlap.rouge_n(derived.whole_pairs(spark, d), 2)
+
+
+@whole
+def whole_bleu(spark, d):
+    return overlap.bleu(derived.whole_pairs(spark, d))
+
+
+@whole
+def whole_chrf(spark, d):
+    return overlap.chrf(derived.whole_pairs(spark, d))
+
+
+@whole
+def whole_chrf_words(spark, d):
+    return overlap.chrf(derived.whole_pairs(spark, d), word_order=2)
+
+
+_HALF = "len(string_split(text, ' ')) // 2"
+
+
+@query(SQL["context_entity_recall"].replace(_ENT.format(1, 12), _ENT.format(1, f"len(string_split(text, ' ')) - {_HALF}")).replace(_ENT.format(7, 24), _ENT.format(f"{_HALF} + 1", "len(string_split(text, ' '))")))
+def whole_context_entity_recall(spark, d):
+    w = F.split("text", " ")
+    h = F.floor(F.size(w) / 2).cast("int")
+    e = derived.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("m0").alias("model_id"), F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, 1, F.size(w) - h))).alias("reference"), F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, h + 1, F.size(w)))).alias("context"))
+    return _rounded(verdicts.entity_recall(e)).withColumn("n_missing", F.col("n_missing").cast("long"))

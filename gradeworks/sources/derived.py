@@ -19,6 +19,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("response <> '' and reference <> ''")
 
 
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without its last quarter of words as response, without its first quarter as reference."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.split("text", " ").alias("w"))
+    q = F.floor(F.size("w") / 4).cast("int")
+    d = d.where("w is not null").select("sample_id", "lang", F.array_join(F.slice("w", 1, F.size("w") - q), " ").alias("response"), F.array_join(F.slice("w", q + 1, F.size("w")), " ").alias("reference"))
+    return d.where("response <> '' and reference <> ''")
+
+
 def judged(spark: SparkSession, sf_dir: str, items: int = 5) -> DataFrame:
     """sample_id, model_id, pos, idx for each document, model and item; calls that failed are left out."""
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"))
