@@ -1,4 +1,4 @@
-"""Passages that occur elsewhere, found by factoring documents against indexed blocks of each other."""
+"""Passages that occur elsewhere, found by seed-indexed blocks of windows (in place of a relative Lempel-Ziv parse)."""
 
 from __future__ import annotations
 
@@ -118,9 +118,10 @@ def without_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     """Each row of ``docs`` without the words of windows of ``size`` words that also start elsewhere.
 
     Rows: doc_id, text (kept words joined by a space), n_words, n_removed, spans (removed words, start and
-    end). Documents are factored greedily into blocks, one for each run of windows with the same seed, and
-    every block is indexed by its seed. A block that occurs twice as a whole is a duplicate factor. Blocks
-    that share a seed only with different blocks are factor boundaries: their windows are compared one by
+    end). This is no relative Lempel-Ziv parse: there is no reference and no greedy longest match. Documents are
+    cut into blocks, one for each run of windows with the same least seed, and every block is indexed by its
+    seed. A block that occurs twice as a whole is a duplicate. Blocks that share a seed only with different
+    blocks are block boundaries: their windows are compared one by
     one, with those of one block of each kind. So every window is judged, but only those at boundaries travel.
 
     Null and empty texts have no words; texts shorter than ``size`` lose none; rows that repeat whole texts
