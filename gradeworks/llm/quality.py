@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.llm.common import boundary, cut, packed, words
-from gradeworks.llm.label_model import fit, patterns, posterior
+from gradeworks.llm.label_model import fit_kinds, good_chance, patterns
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_marks")
-#: Rules rarely speak against a good text, and a bad text breaks few of them: a vote to drop says more at first than votes to keep.
-START = ((0.997, 0.003), (0.65, 0.35))
+#: Chances at first that a rule votes against a good text, against a bad text of its own kind, and against one of another kind.
+START = {"prior": 0.8, "good": 0.003, "own": 0.95, "other": 0.1}
 RULES = ("v_repeats", "v_symbols", "v_lines", "v_size", "v_case", "v_marks")
 
 
@@ -75,7 +75,7 @@ def base_failed() -> Column:
 
 def learned(scored: DataFrame) -> dict:
     """The label model of ``scored`` (``m`` and RULES), from all its rows but those that failed already."""
-    return fit(cut(patterns(scored.where(~base_failed()), RULES)), RULES, prior=0.8, start=START)
+    return fit_kinds(cut(patterns(scored.where(~base_failed()), RULES)), RULES, **START)
 
 
 def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -87,12 +87,18 @@ def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "m")
     rows = cut(rows.select("doc_id", "m", *[v.alias(k) for k, v in votes().items()]))
-    p = posterior(RULES, learned(rows))
+    p = good_chance(RULES, learned(rows))
     return rows.select("doc_id", *[F.col("m")[k].alias(k) for k in MEASURES[:5]], base_failed().alias("base_failed"), F.round(p, 6).alias("posterior"), (~base_failed() & (p >= least)).alias("kept"))
 
 
 def stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns. Measures are taken twice rather than texts shuffled."""
-    rows = boundary(measured(packed(docs)), **votes())
-    model = learned(measured(docs.select("text")).select("m", *[v.alias(k) for k, v in votes().items()]))
-    return rows.where(~base_failed() & (posterior(RULES, model) >= least)).select("row.*")
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns.
+
+    Measures are taken once: rows that the base rules leave are written with their votes, and the label
+    model is fitted on and applied to that table. Null and empty texts fail the base rules; rows are judged
+    by their text alone; repeated rows share their verdict; an empty table gives no rows.
+    """
+    left = measured(packed(docs)).where(~base_failed())
+    rows = cut(left.select("row", *[v.alias(k) for k, v in votes().items()]))
+    model = fit_kinds(cut(patterns(rows, RULES)), RULES, **START)
+    return rows.where(good_chance(RULES, model) >= least).select("row.*")

@@ -24,7 +24,9 @@ def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    spans = F.transform("offending", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return out.withColumn("offending", F.array_join(spans, ","))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
