@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from gradeworks.llm import fixity, piece_sampling, queries, repeats, secrets, token_files, toxicity
 
 from .common import COLUMNS, WORDS, odd, rows, table
@@ -102,3 +104,30 @@ def test_toxicity_held_out(spark):
     docs, none = odd(spark), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, none).count() == docs.count()
     assert toxicity.toxicity(spark.createDataFrame([], COLUMNS), none).count() == 0
+
+
+def test_toxicity_odd_labels_and_places(spark):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(300)}"
+    texts, marks = [], []
+    for i in range(600):
+        lines = [" ".join(word() for _ in range(8)) for _ in range(4)]
+        if i % 3 == 0:
+            lines[2] += " é vile"
+        texts.append(". ".join(lines) + ".")
+        marks += [(i, int(i % 3 == 0)), (i, 0)] if i % 2 else [(i, int(i % 3 == 0))]
+    marks += [(None, 1), (5, None), (999999, 1), (7, 4)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    more = table(spark, texts).unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", -1 - F.col("doc_id")))
+    out = toxicity.toxicity(more, labels).collect()
+    assert len(out) == more.count()
+    by = {x.doc_id: x for x in out}
+    assert all(0 <= x.score <= 1 for x in out)
+    for i in range(600):
+        assert by[i].predicted == (i % 3 == 0)
+        if i % 3 == 0:
+            assert [texts[i][s.start : s.end] for s in by[i].offending] == [texts[i].split(".")[2].strip() + "."]
+        else:
+            assert not by[i].offending
+    one_class = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
+    assert {x.predicted for x in toxicity.toxicity(table(spark, texts[:50]), one_class).collect()} == {0}
