@@ -13,24 +13,42 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only where it is unset and all tasks run in this process (tests) a folder of our own is taken; on a
+    cluster a folder of one machine would lose rows, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+_written: dict[str, list[str]] = {}
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` wrote in this session; call it once the results that read them are written."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared folder, and read it from there.
 
     The rows survive the loss of executors, and later steps plan with the table's real size (a
-    checkpoint keeps the estimate of its plan, which squares with each join of a loop).
+    checkpoint keeps the estimate of its plan, which squares with each join of a loop). The result may be
+    lazy, so the table stays until ``drop_cuts``.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +68,23 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key that more than one in so many rows have is frequent: there can be no more such keys than this.
+FREQUENT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key and in ``rows`` how many of the ``total`` rows of ``left`` have it.
+
+    Rows of frequent keys stay where they are and meet a broadcast of at most FREQUENT rows; only the others are
+    shuffled, so no task gets more than a small share of the rows by one key.
+    """
+    often = F.col("rows") * FREQUENT > total
+    few = right.where(often).drop("rows")
+    stay = left.join(F.broadcast(few), keys)
+    move = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~often).drop("rows"), keys)
+    return stay.unionByName(move)
+
+
 def key(text: Column) -> Column:
     """A 128-bit key of a text."""
     return F.md5(text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradeworks.llm.common import cut, packed, small
+from gradeworks.llm.common import cut, join_counted, packed, small
 from gradeworks.llm.components import components
 from gradeworks.llm.words import U, mix, shingles, slices, split
 
@@ -18,10 +18,8 @@ from gradeworks.llm.words import U, mix, shingles, slices, split
 BANDS, ROWS = 25, 5
 #: SetSketch parameters: registers are exponents of this base, of minima with this rate.
 STEP, RATE, LARGEST = 1.02, 20.0, 65534
-#: Documents in a block of those that are tested against each other.
-BLOCK = 256
-#: Rows without an id get one above this, so that they can be told apart.
-NAMELESS = 1 << 62
+#: Sets, and shingles in them, in a block of those that are tested against each other.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 
 
@@ -86,23 +84,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sk, bd, fp = [None] * len(n), [None] * len(n), np.zeros((len(n), 2), np.int64)
             for i, r, k in zip(some, regs, bands(regs), strict=True):
                 sk[i], bd[i], fp[i] = r.tobytes(), k, _print(sets[i])
-            ids = batch.column(0).slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_own(ids, fp[:, 0])), pa.array(n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sk, pa.binary()), pa.array(bd, pa.list_(pa.int64()))], ["doc_id", "own", "n", "fp1", "fp2", "sketch", "bands"])
-
-
-def _own(ids: pa.Array, texts_hash: np.ndarray) -> np.ndarray:
-    """The node of each row: its id, or for a row without one a number made of its set."""
-    return np.where(ids.is_null().to_numpy(zero_copy_only=False), NAMELESS + (texts_hash & (NAMELESS - 1)), ids.fill_null(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sk, pa.binary()), pa.array(bd, pa.list_(pa.int64()))], ["doc_id", "n", "id", "more", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for lo, hi in slices(texts):
             w = split(texts[lo:hi], lower=True)
             sets = [shingles(w.hash[w.first[i] : w.first[i + 1]], 5) for i in range(hi - lo)]
-            own = _own(batch.column(0).slice(lo, hi - lo), np.array([_print(s)[0] for s in sets], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_print(x)[0] if len(x) else 0 for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set"])
 
 
 def _plausible(least: float):
@@ -164,30 +155,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
     """Groups of documents linked by a Jaccard similarity of at least ``percent`` / 100 of their 5-word shingle sets.
 
     One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
-    Equal sets are one class. Classes that share a band of SetSketch registers are candidates: they are
+    The graph's nodes are the distinct sets; rows that repeat a doc_id with different texts link their sets.
+    Sets that share a band of SetSketch registers are candidates: they are
     tested against a centre of their band first: the smallest id, then the one that shares most bands, then
-    any. What those links leave apart within a band is cut into blocks of about BLOCK documents, and blocks
-    are tested against each other, so no candidate link between groups is left untested and none within a
-    group is needed. Tested means: a plausible joint likelihood of the sketches, then the full sets.
+    any. What those links leave apart within a band is cut into blocks of about BLOCK sets, and blocks that
+    share a band are tested against each other, so no candidate link between groups is left untested and none
+    within a group is needed. Tested means: a plausible joint likelihood of the sketches, then the full sets.
 
     Null and empty texts (and those of white space only): n_shingles 0, linked with nothing, kept. Rows
-    without doc_id take part; their component_id is the smallest id linked, else null, and they are kept
-    only if it is null. Rows that repeat a doc_id are one node of the graph. Empty table: no rows.
+    without doc_id take part; their component_id is the smallest doc_id linked, else null, and they are kept
+    only if it is null. Rows that repeat a doc_id are one document. Empty table: no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sigs = cut(docs.mapInArrow(_sketch, "doc_id long, own long, n long, fp1 long, fp2 long, sketch binary, bands array<long>"))
-    classes = sigs.where("n > 0").groupBy("fp1", "fp2").agg(F.min("own").alias("id"))
-    nodes = cut(sigs.where("n > 0").join(classes, ["fp1", "fp2"]).where("own = id").groupBy("id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    sigs = cut(docs.mapInArrow(_sketch, "doc_id long, n long, id long, more long, sketch binary, bands array<long>"))
+    full = sigs.where("n > 0")
+    # the set's 128 bits tell sets apart; its first 64 name it
+    nodes = cut(full.groupBy("id", "more").agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    same_doc = cut(full.select("doc_id", F.col("id").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct())
     dealt = nodes.select("id", F.explode("bands").alias("band"))
     crowded = dealt.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     shared = cut(dealt.join(crowded, "band"))
     ids = cut(shared.select("id").distinct())
-    n = ids.count()
-    known = docs.join(small(ids.select(F.col("id").alias("doc_id")), n), "doc_id").select("doc_id", "text")
-    every = known.union(docs.where("doc_id is null").select("doc_id", "text"))
-    fresh = every.mapInArrow(_sets, "id long, set binary").join(ids, "id", "left_semi")
-    sets = cut(fresh.groupBy("id").agg(F.max("set").alias("set")))
+    # the text of a set is that of one of its rows: of those of its smallest doc_id, or of any without one
+    lead = nodes.join(ids, "id", "left_semi").select("doc").distinct()
+    known = docs.join(small(lead.where("doc is not null").select(F.col("doc").alias("doc_id")), ids.count()), "doc_id", "left_semi").select("text")
+    fresh = known.union(docs.where("doc_id is null").select("text")).mapInArrow(_sets, "id long, set binary").join(ids, "id", "left_semi")
+    sets = cut(fresh.groupBy("id").agg(F.first("set").alias("set")))
     sketches = nodes.select("id", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -198,13 +192,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         return found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
     degree = cut(shared.join(shared.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("id").agg(F.sum("c").alias("degree")))
-    comp, links = ids.select("id", F.col("id").alias("comp")), None
+    links = None if same_doc.isEmpty() else same_doc
+    comp = ids.select("id", F.col("id").alias("comp"))
+    if links is not None:
+        comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
     for turn in range(star_rounds):
         member = shared.join(comp, "id").join(degree, "id")
         best = [-F.col("id"), F.struct("degree", "id"), F.xxhash64("id", F.lit(turn))][min(turn, 2)]
         mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("id", best).alias("centre")).where("lo <> hi").select("band", "centre")
         to = comp.select(F.col("id").alias("centre"), F.col("comp").alias("other"))
-        pairs = member.join(mixed, "band").join(to, "centre").where("comp <> other").select("id", "centre").groupBy("id").agg(F.min("centre").alias("centre")) if turn == 0 else member.join(mixed, "band").join(to, "centre").where("comp <> other").select("id", "centre").distinct()
+        pairs = member.join(mixed, "band").join(to, "centre").where("comp <> other").select("id", "centre")
+        if turn == 0:
+            pairs = pairs.groupBy("id").agg(F.min("centre").alias("centre"))
         pairs = cut(pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         if pairs.isEmpty():
             break
@@ -214,30 +213,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
             comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
     member = shared.join(comp, "id")
     mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("centre")).where("lo <> hi").select("band", "centre")
-    apart = cut(member.join(mixed, "band").select("id", "comp", "centre"))
+    apart = cut(member.join(mixed, "band").select("id", "comp", "centre", "band"))
     if not apart.isEmpty():
         cluster = components(apart.select(F.col("id").alias("a"), F.col("centre").alias("b"))).select("id", F.col("comp").alias("cluster"))
-        rest = cut(apart.select("id", "comp").distinct().join(cluster, "id"))
-        sizes = rest.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
-        small_ = sizes.where(F.col("size") < BLOCK).groupBy("cluster").agg(F.sum("size").alias("few"))
-        many = rest.join(sizes, ["cluster", "comp"]).join(small_, "cluster", "left")
-        own = F.col("size") >= BLOCK
-        block = F.when(own, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / BLOCK)))
-        full = many.select("id", "comp", "cluster", F.when(own, F.col("comp")).alias("pure"), block.alias("block")).join(sketches, "id").join(sets, "id")
-        packs = cut(full.groupBy("cluster", "pure", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "set")).alias("pack")))
-        names = packs.select("cluster", "pure", "block")
-        left, right = (names.select("cluster", F.struct("pure", "block").alias(x)) for x in "xy")
-        grid = left.join(right, "cluster").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False)))
+        rest = cut(apart.select("id", "comp").distinct().join(cluster, "id").join(nodes.select("id", "n"), "id"))
+        blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+        sizes = rest.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("length"))
+        sizes = sizes.withColumn("own", (F.col("size") >= BLOCK) | (F.col("length") >= BLOCK_SHINGLES))
+        few = sizes.where("not own").groupBy("cluster").agg(blocks(F.sum("size"), F.sum("length")).alias("few"))
+        many = rest.join(sizes, ["cluster", "comp"]).join(few, "cluster", "left")
+        block = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("id"), blocks(F.col("size"), F.col("length"))))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("comp"), F.col("few"))))
+        placed = cut(many.select("id", "comp", F.when(F.col("own"), F.col("comp")).alias("pure"), block.alias("block")))
+        packs = cut(placed.join(sketches, "id").join(sets, "id").groupBy("block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "set")).alias("pack")))
+        met = cut(apart.select("id", "band").join(placed.select("id", "pure", "block"), "id").groupBy("band", "block").agg(F.first("pure").alias("pure")))
+        grid = met.select("band", F.col("block").alias("x"), F.col("pure").alias("p")).join(met.select("band", F.col("block").alias("y"), F.col("pure").alias("q")), "band")
+        grid = grid.where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("x", "y").distinct()
         for x in "xy":
-            grid = grid.join(packs.select(F.col("cluster"), F.struct("pure", "block").alias(x), F.col("pack").alias(f"pack_{x}")), ["cluster", x])
+            grid = grid.join(packs.select(F.col("block").alias(x), F.col("pack").alias(f"pack_{x}")), x)
         new = cut(grid.select("pack_x", "pack_y").mapInArrow(_crossed(percent), "a long, b long"))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    of = classes.join(comp, "id", "left").select("fp1", "fp2", F.coalesce("comp", "id").alias("comp"))
-    out = sigs.select("doc_id", "own", "n", "fp1", "fp2").join(of, ["fp1", "fp2"], "left")
-    group = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("comp") < NAMELESS, F.col("comp")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, group.isNull()).alias("kept"))
+    if links is not None:  # ends of links between texts of one document may share no band
+        comp = components(links)
+    of = cut(nodes.join(comp, "id", "left").select("id", "rows", "doc", F.coalesce("comp", "id").alias("comp")))
+    least = of.groupBy("comp").agg(F.min("doc").alias("group"), F.count("*").alias("sets"))
+    linked, alone = least.where("sets > 1").select("comp", "group"), of.select("id", "rows", F.col("doc").alias("group"), "comp")
+    group_of = cut(alone.join(linked.withColumnRenamed("group", "linked"), "comp", "left").select("id", "rows", F.coalesce("linked", "group").alias("group")))
+    total = max(sigs.count(), 1)
+    some = sigs.select("doc_id", "n", "id")
+    out = some.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("group"))
+    out = out.union(join_counted(some.where("n > 0"), group_of, ["id"], total).select("doc_id", "n", "group"))
+    kept = F.coalesce(F.col("doc_id") == F.col("group"), F.col("group").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("group").alias("component_id"), kept.alias("kept"))
 
 
 def stage(docs: DataFrame, percent: int = 80) -> DataFrame:

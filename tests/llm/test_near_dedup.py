@@ -87,3 +87,16 @@ def test_components(spark):
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert got[3] == 1 and got[9] == 5 and got[20] == 20 and got[159] == 100
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_and_changed_texts(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(300))
+    data = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, "q r s t u v"), (9, None), (9, ""), (8, "q r s t u v"), (7, a), (7, "alone here now and then"), (6, "alone here now and then")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(nd.near_duplicates(docs), "doc_id", "component_id")
+    want = {1: {1}, 2: {1}, 3: {1}, 7: {1}, 6: {1}, 8: {8}, 9: {8, 9}}
+    assert len(got) == len(data) and all(c in want[d] for d, c in got)
+    assert sorted(c for d, c in got if d == 9) == [8, 9, 9]
+    more = spark.createDataFrame([(i, a if i % 3 else a + f" z{i}") for i in range(600)], "doc_id long, text string")
+    assert {c for _, c in rows(nd.near_duplicates(more), "doc_id", "component_id")} == {0}

@@ -131,3 +131,16 @@ def test_toxicity_odd_labels_and_places(spark):
             assert not by[i].offending
     one_class = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
     assert {x.predicted for x in toxicity.toxicity(table(spark, texts[:50]), one_class).collect()} == {0}
+
+
+def test_factors_run_as_far_as_the_reference(spark):
+    r = random.Random(9)
+    fresh = lambda n: [f"n{r.randrange(10**7)}" for _ in range(n)]
+    one, two = fresh(120), fresh(90)
+    texts = [fresh(20) + one + fresh(20), fresh(33) + one + fresh(5) + two, two + fresh(11), fresh(200)]
+    out = {x.doc_id: x for x in repeats.without_repeats(table(spark, [" ".join(t) for t in texts]), 35).collect()}
+    assert [out[i].n_removed for i in range(4)] == [120, 210, 90, 0] and not out[3].factors
+    for i in range(3):
+        for f in out[i].factors:
+            assert f.end - f.start >= 35 and texts[i][f.start : f.end] == texts[f.ref][f.ref_start : f.ref_start + f.end - f.start]
+        assert len(out[i].factors) == len(out[i].spans)
