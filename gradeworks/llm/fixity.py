@@ -1,14 +1,24 @@
-"""Merkle fixity audit of archive records: trees over ordered ranges, compared from the root down."""
+"""Merkle fixity audit of archive records: trees over key ranges, compared from the root down; and the archive files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+import os
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradeworks.llm.common import cut
+from gradeworks.llm.common import cut, join_counted
 
+#: Key ranges of a node that its parent joins.
 FAN = 64
+#: The range of rows without a key.
+KEYLESS = -1
 
 
 def record(url: Column, body: Column) -> Column:
@@ -24,47 +34,143 @@ def leaves(records: DataFrame) -> DataFrame:
     index and start count the records and bytes before: within a range partition by a window, across
     partitions by a table of one row per partition. Null keys come first.
     """
-    rows = records.select("key", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest"))
+    rows = records.select(F.col("key").cast("long").alias("key"), F.coalesce(F.col("record"), F.lit(b"")).alias("record"))
+    rows = rows.select("key", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest"))
     rows = cut(rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").withColumn("at", F.monotonically_increasing_id()))
     rows = rows.withColumn("part", F.shiftright("at", 33))
     sums = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
     order = Window.orderBy("part")
     base = sums.select("part", (F.sum("n").over(order) - F.col("n")).alias("n0"), (F.sum("b").over(order) - F.col("b")).alias("b0"))
     own = F.sum("n_bytes").over(Window.partitionBy("part").orderBy("at")) - F.col("n_bytes")
-    placed = rows.withColumn("own", own).join(base, "part")
-    return placed.select("key", (F.col("n0") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("index"), (F.col("b0") + F.col("own")).alias("start"), "n_bytes", "digest")
+    index = F.col("n0") + F.col("at").bitwiseAND((1 << 33) - 1)
+    placed = rows.withColumn("own", own).join(base, "part").select("key", index.alias("index"), (F.col("b0") + F.col("own")).alias("start"), "n_bytes", "digest")
+    return placed
+
+
+def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows``, which follow each other in ``index`` within ``by``, with their number there: index less the first one's."""
+    first = rows.groupBy(*by).agg(F.min("index").alias("first"), F.count("*").alias("rows"))
+    return join_counted(rows, first, by, max(rows.count(), 1)).withColumn(name, F.col("index") - F.col("first")).drop("first")
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels (index, digest) from the leaves to the root; a node's digest is that of its at most FAN children's in order."""
-    levels, n = [leaf.select("index", "digest")], leaf.count()
-    while n > 1:
-        children = F.array_sort(F.collect_list(F.struct("index", "digest")))
-        up = levels[-1].groupBy((F.col("index") / FAN).cast("long").alias("up")).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
-        levels.append(cut(up.select(F.col("up").alias("index"), "digest")))
-        n = -(-n // FAN)
-    return levels
+def _node(levels: int) -> list[Column]:
+    """Whether a record has no key, and its lowest node: the key, or one by its bytes."""
+    hashed = F.pmod(F.xxhash64("digest"), F.lit(FAN ** min(levels - 1, 10)).cast("long"))
+    return [F.col("key").isNull().alias("none"), F.coalesce("key", hashed).alias("node")]
+
+
+def tree(leaf: DataFrame, levels: int) -> list[DataFrame]:
+    """Nodes (none, node, start, n_bytes, digest) of each level: the lowest holds the records of each key, the last is the root.
+
+    A node stands for a range of FAN ranges below it, empty ones left out. Its digest is that of its
+    children's: of each its place in the range, its offset from the node's first byte, its length and its digest. So a lost,
+    added or moved record changes the nodes above it and no others. The records of one key are hashed in
+    chunks of FAN first. Records without a key have no place: they are dealt by their digests and counted.
+    """
+    none = leaf.where("key is null").groupBy("key", "digest").agg(F.count("*").alias("nth"), F.sum("n_bytes").alias("n_bytes")).withColumn("start", F.lit(0).cast("long"))
+    keyed = _numbered(leaf.where("key is not null"), ["key"], "nth").select(*none.columns)
+    child = F.struct("nth", "digest", "start", "n_bytes").alias("c")
+    chunk = F.when(F.col("key").isNotNull(), F.floor(F.col("nth") / FAN)).otherwise(0).alias("chunk")
+    line = lambda c: F.concat_ws(":", c["nth"].cast("string"), (c["start"] - F.col("start")).cast("string"), c["n_bytes"].cast("string"), c["digest"])
+    digest = F.sha2(F.array_join(F.transform("c", line), ","), 256).alias("digest")
+    sums = [F.array_sort(F.collect_list("c")).alias("c"), F.min("c.start").alias("start"), F.sum("c.n_bytes").alias("n_bytes")]
+    rows = keyed.unionByName(none).select(*_node(levels), chunk, child).groupBy("none", "node", "chunk").agg(*sums)
+    rows, out = rows.select("none", "node", F.struct(F.col("chunk").alias("nth"), digest, "start", "n_bytes").alias("c")), []
+    for level in range(levels + 1):
+        out.append(cut(rows.groupBy("none", "node").agg(*sums).select("none", "node", "start", "n_bytes", digest)))
+        up = F.floor(F.col("node") / FAN).cast("long") if level < levels - 1 else F.lit(0).cast("long")
+        none = F.col("none") if level < levels - 1 else F.lit(False)
+        rows = out[-1].select(none.alias("none"), up.alias("up"), F.struct((F.col("node") * 2 + F.col("none").cast("int")).alias("nth"), "digest", "start", "n_bytes").alias("c")).withColumnRenamed("up", "node")
+    return out
 
 
 def differing(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
-    """Indexes of leaves that differ: from the root down, only children of differing nodes are compared."""
-    height = max(len(one), len(two))
-    top = None
-    for level in range(height - 1, -1, -1):
-        a, b = (t[level] if level < len(t) else t[-1].limit(0) for t in (one, two))
+    """(none, node) of the keys whose records differ: from the root down, only children of differing nodes are compared."""
+    top, last = None, len(one) - 1
+    for level in range(last, -1, -1):
+        a, b = one[level], two[level]
         if top is not None:
-            a, b = (x.withColumn("up", (F.col("index") / FAN).cast("long")).join(top, "up", "left_semi").drop("up") for x in (a, b))
-        both = a.select("index", F.col("digest").alias("x")).join(b.select("index", F.col("digest").alias("y")), "index", "full_outer")
-        top = cut(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("index").alias("up")))
-    return top.select(F.col("up").alias("index"))
+            whole = level >= last - 1  # the root's children all have the same parent
+            up = F.lit(0).cast("long") if whole else F.floor(F.col("node") / FAN).cast("long")
+            none = F.lit(False) if whole else F.col("none")
+            a, b = (x.withColumn("p", none).withColumn("up", up).join(top, ["p", "up"], "left_semi") for x in (a, b))
+        both = a.select("none", "node", F.struct("n_bytes", "digest").alias("x")).join(b.select("none", "node", F.struct("n_bytes", "digest").alias("y")), ["none", "node"], "full_outer")
+        top = cut(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("none").alias("p"), F.col("node").alias("up")))
+    return top.select(F.col("p").alias("none"), F.col("up").alias("node"))
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """One row per record: key, record (index), start, n_bytes, digest, intact (the replica has the same record there).
-
-    Null keys come first, repeated keys follow each other in the order of their digests; records are compared place by place, so one
-    that the replica lacks makes those after it differ. Null urls and bodies count as empty. Empty table: no rows.
+    """One row per record of either side: key, record (index), start, n_bytes, digest, state.
+
+    state: intact, altered (the replica's record of that key has other bytes), missing (the replica lacks
+    it) or added (only the replica has it; index and start are those there). Records are told apart by key;
+    those that repeat a key are paired in the order of their digests, equal ones first; those without a key
+    by their bytes alone, so an altered one is missing and another added. So a lost or added record is
+    located alone. Null keys come first. Null urls, bodies and records count as empty. Empty tables: no
+    rows, or every record missing or added.
     """
     a, b = cut(leaves(records)), cut(leaves(replica))
-    bad = differing(tree(a), tree(b)).withColumn("bad", F.lit(True))
-    return a.join(bad, "index", "left").select("key", F.col("index").alias("record"), "start", "n_bytes", "digest", F.col("bad").isNull().alias("intact"))
+    span = a.select("key").union(b.select("key")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    levels, ranges = 1, max(abs(span["lo"] or 0), abs(span["hi"] or 0)) + 1
+    while ranges > 1:
+        ranges, levels = -(-ranges // FAN), levels + 1
+    bad = differing(tree(a, levels), tree(b, levels))
+    ours, theirs = (x.select(*_node(levels), "*") for x in (a, b))
+    same = ours.join(bad, ["none", "node"], "left_anti").withColumn("state", F.lit("intact"))
+    # in keys that differ, equal records are intact; what is left of a key is paired in order
+    left, right = (cut(_numbered(cut(x.join(bad, ["none", "node"], "left_semi")), ["none", "node", "digest"], "copy")) for x in (ours, theirs))
+    found = left.join(right.select("none", "node", "digest", "copy"), ["none", "node", "digest", "copy"], "left_semi").withColumn("state", F.lit("intact"))
+    rest = Window.partitionBy("none", "node", F.when(F.col("none"), F.col("index"))).orderBy("index")
+    l2, r2 = (x.join(y.select("none", "node", "digest", "copy"), ["none", "node", "digest", "copy"], "left_anti").withColumn("pair", F.row_number().over(rest)) for x, y in ((left, right), (right, left)))
+    l2, r2 = (x.withColumn("pair", F.when(~F.col("none"), F.col("pair"))) for x in (l2, r2))
+    other = r2.select("none", "node", "pair", F.lit(True).alias("other"))
+    hurt = l2.join(other, ["none", "node", "pair"], "left").withColumn("state", F.when(F.col("other"), "altered").otherwise("missing"))
+    more = r2.join(l2.select("none", "node", "pair"), ["none", "node", "pair"], "left_anti").withColumn("state", F.lit("added"))
+    cols = ["key", F.col("index").alias("record"), "start", "n_bytes", "digest", "state"]
+    return same.select(*cols).union(found.select(*cols)).union(hurt.select(*cols)).union(more.select(*cols))
+
+
+def write_warc(records: DataFrame, folder: str) -> DataFrame:
+    """Write ``record`` (binary) of each row as a gzip member of WARC files in ``folder``, which all executors share; (file, n_records, n_bytes).
+
+    A task writes under a name of its own and renames it at its end, so a task that runs again leaves one file.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        path, n = f"{folder}/part-{task.partitionId():05d}.warc.gz", 0
+        with open(f"{path}.{task.taskAttemptId()}", "wb") as f:
+            for batch in batches:
+                for r in batch.column(0).to_pylist():
+                    f.write(gzip.compress(r or b"", mtime=0))
+                    n += 1
+            size = f.tell()
+        os.replace(f"{path}.{task.taskAttemptId()}", path)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "n_records", "n_bytes"])
+
+    return cut(records.select("record").mapInArrow(run, "file string, n_records long, n_bytes long"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each gzip member of each file: offset, bytes, and what its header says."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            left, at = content.as_py(), 0
+            while left:
+                member = zlib.decompressobj(31)
+                raw = member.decompress(left)
+                size = len(left) - len(member.unused_data)
+                head, _, rest = raw.partition(b"\r\n\r\n")
+                fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+                n = int(fields.get("Content-Length", len(rest)))
+                one = [path, at, size, fields.get("WARC-Target-URI"), rest[:n], raw, len(rest) == n + 4]
+                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types, strict=True)], ["file", "offset", "size", "url", "body", "record", "whole"])
+                left, at = member.unused_data, at + size
+
+
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, offset, size, url, body, record, whole) of each record in the WARC files of ``folder``; a file is read by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select("path", "content").mapInArrow(_members, "file string, offset long, size long, url string, body binary, record binary, whole boolean")

@@ -55,11 +55,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as archive records against a replica in which every 199th has its first character overwritten."""
+    """Pages as archive records against a replica with overwritten first characters, lost records and added ones."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    one = pages.select(F.col("page_id").alias("key"), fixity.record(F.col("url"), F.col("html")).alias("record"))
     hurt = F.when(F.col("page_id") % 199 == 7, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    one, two = (pages.select(F.col("page_id").alias("key"), fixity.record(F.col("url"), body).alias("record")) for body in (F.col("html"), hurt))
-    return fixity.audit(one, two).withColumnRenamed("key", "page_id")
+    two = pages.where("page_id % 211 <> 5").select(F.col("page_id").alias("key"), fixity.record(F.col("url"), hurt).alias("record"))
+    more = pages.where("page_id % 397 = 3").select((F.col("page_id") + 10**9).alias("key"), fixity.record(F.col("url"), F.col("html")).alias("record"))
+    return fixity.audit(one, two.union(more)).withColumnRenamed("key", "page_id")
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,21 +98,25 @@ SQL: dict[str, str] = {
         FROM w LEFT JOIN kept USING (doc_id)
     """,
     "op9_merkle_fixity": """
-        WITH r AS (
-            SELECT page_id, html, coalesce(url, '') AS u FROM pages
-        ), w AS (
-            SELECT page_id,
-                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' AS h,
+        WITH w AS (
+            SELECT page_id, html,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS h,
                 chr(13) || chr(10) || chr(13) || chr(10) AS e, coalesce(html, '') AS a,
                 CASE WHEN page_id % 199 = 7 THEN '#' || substr(html, 2) ELSE coalesce(html, '') END AS b
-            FROM r
-        ), d AS (
-            SELECT page_id, strlen(h || strlen(a) || e || a || e) AS n_bytes, sha256(h || strlen(a) || e || a || e) AS digest,
-                sha256(h || strlen(b) || e || b || e) AS other
-            FROM w
+            FROM pages
+        ), one AS (
+            SELECT page_id, strlen(h || strlen(a) || e || a || e) AS n_bytes, sha256(h || strlen(a) || e || a || e) AS digest FROM w
+        ), two AS (
+            SELECT page_id, strlen(h || strlen(b) || e || b || e) AS n_bytes, sha256(h || strlen(b) || e || b || e) AS digest FROM w WHERE page_id % 211 <> 5
+            UNION ALL SELECT page_id + 1000000000, strlen(h || strlen(a) || e || a || e), sha256(h || strlen(a) || e || a || e) FROM w WHERE page_id % 397 = 3
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS record, CAST(sum(n_bytes) OVER (ORDER BY page_id) - n_bytes AS BIGINT) AS start FROM one
+        ), t AS (
+            SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS record, CAST(sum(n_bytes) OVER (ORDER BY page_id) - n_bytes AS BIGINT) AS start FROM two
         )
-        SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS record,
-            CAST(sum(n_bytes) OVER (ORDER BY page_id) - n_bytes AS BIGINT) AS start, n_bytes, digest, digest = other AS intact
-        FROM d
+        SELECT coalesce(o.page_id, t.page_id) AS page_id, coalesce(o.record, t.record) AS record, coalesce(o.start, t.start) AS start,
+            coalesce(o.n_bytes, t.n_bytes) AS n_bytes, coalesce(o.digest, t.digest) AS digest,
+            CASE WHEN t.page_id IS NULL THEN 'missing' WHEN o.page_id IS NULL THEN 'added' WHEN o.digest = t.digest THEN 'intact' ELSE 'altered' END AS state
+        FROM o FULL JOIN t ON o.page_id = t.page_id
     """,
 }

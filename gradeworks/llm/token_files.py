@@ -18,7 +18,9 @@ from gradeworks.llm.common import cut
 from gradeworks.llm.words import U, prefix_sums, slices, span_hash, split
 
 #: Bits of an id on each level, and bits of a continuation bitmap for each entry of its rank directory.
-CHUNK, STRIDE = 8, 512
+CHUNK, STRIDE = 8, 64
+#: Ids that a bucket of the directory of blocks spans.
+BUCKET = 1 << 18
 #: Bytes by kind: 1 a letter, 2 a digit or a mark that a tokenizer parts from letters; 0 any other.
 KIND = np.array([1 if chr(b).isalpha() else 2 if 0x20 < b < 0x7F and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
 #: What ends a piece where many are encoded in one call, and how many are.
@@ -56,16 +58,20 @@ def decode_codes(levels: list[bytes], bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: int) -> int:
-    """Token i of a block, from one chunk a level."""
-    out = 0
+def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: np.ndarray) -> np.ndarray:
+    """The tokens at places ``at`` of a block: one chunk a level for each, found by the rank directories."""
+    at = np.asarray(at, np.int64)
+    out, open_ = np.zeros(len(at), np.uint32), np.arange(len(at))
     for k, low in enumerate(levels):
-        out |= low[i] << (CHUNK * k)
-        if k == len(bitmaps) or not bitmaps[k][i >> 3] >> (i & 7) & 1:
+        out[open_] |= np.frombuffer(low, np.uint8)[at].astype(np.uint32) << np.uint32(CHUNK * k)
+        if k == len(bitmaps):
             break
-        block = i // STRIDE
-        before = int.from_bytes(bitmaps[k][block * STRIDE // 8 : i // 8 + 1], "little") & ((1 << (i - block * STRIDE)) - 1)
-        i = int(np.frombuffer(ranks[k], "<u4")[block]) + before.bit_count()
+        words = np.frombuffer(bitmaps[k] + bytes(-len(bitmaps[k]) % 8), "<u8")[at // STRIDE]
+        bit = (at % STRIDE).astype(U)
+        more = ((words >> bit) & U(1)).astype(bool)
+        before = np.bitwise_count(words & ((U(1) << bit) - U(1)))
+        at = (np.frombuffer(ranks[k], "<u4")[at // STRIDE].astype(np.int64) + before)[more]
+        open_ = open_[more]
     return out
 
 
@@ -157,24 +163,59 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     return cut(rows.mapInArrow(run, BLOCK))
 
 
+def _runs(counts: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``most`` tokens."""
+    cuts = np.unique(np.searchsorted(np.cumsum(counts), np.arange(most, int(counts.sum()) + most, most)) + 1)
+    cuts = np.unique(np.minimum(np.concatenate(([0], cuts, [len(counts)])), len(counts)))
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.to_pylist():
-            ids = decode_codes(b["levels"], b["bitmaps"]).astype("<u4")
             counts = np.frombuffer(b["counts"], "<i8")
             first = np.cumsum(counts) - counts
-            crc = [zlib.crc32(ids[a : a + c].tobytes()) for a, c in zip(first, counts, strict=True)]
+            crc = []
+            for lo, hi in _runs(counts):  # some documents at a time, by their tokens' places
+                ids = access(b["levels"], b["bitmaps"], b["ranks"], np.arange(first[lo], first[hi - 1] + counts[hi - 1])).astype("<u4")
+                crc += [zlib.crc32(ids[a : a + c]) for a, c in zip((first[lo:hi] - first[lo]).tolist(), counts[lo:hi].tolist(), strict=True)]
             named = np.frombuffer(b["named"], np.uint8) == 0
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b["doc_ids"], "<i8"), mask=named), pa.array(first + b["before"]), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def token_table(blocks: DataFrame) -> DataFrame:
-    """One row per text in the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+def _placed(blocks: DataFrame) -> DataFrame:
+    """(part, seq, n, before) of each block: the ids of all files before it."""
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that wrote
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     own = blocks.select("part", "seq", "n").withColumn("own", F.sum("n").over(Window.partitionBy("part").orderBy("seq")) - F.col("n"))
-    place = own.join(base, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("before"))
-    return blocks.join(place, ["part", "seq"]).select("doc_ids", "named", "counts", "levels", "bitmaps", "before").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return own.join(base, "part").select("part", "seq", "n", (F.col("base") + F.col("own")).alias("before"))
+
+
+def token_table(blocks: DataFrame) -> DataFrame:
+    """One row per text in the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    place = _placed(blocks).drop("n")
+    return blocks.join(place, ["part", "seq"]).select("doc_ids", "named", "counts", "levels", "bitmaps", "ranks", "before").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in batch.to_pylist():
+            at = np.array(b["at"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at + b["before"]), pa.array(access(b["levels"], b["bitmaps"], b["ranks"], at).astype(np.int64))], ["at", "token"])
+
+
+def tokens_at(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, token) for each distinct place ``at`` (long) among the ids of all files; null places and those outside are left out.
+
+    The directory of blocks, not the blocks, meets the places: both are dealt by ranges of BUCKET ids, so a
+    place meets only blocks of its range. Only blocks with a wanted place are read further.
+    """
+    place = _placed(blocks)
+    end = F.greatest(F.col("before") + F.col("n") - 1, F.col("before"))
+    dealt = place.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / BUCKET), F.floor(end / BUCKET))))
+    want = places.select(F.col("at").cast("long").alias("at")).where("at >= 0").distinct().withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    hit = dealt.join(want, "bucket").where("at >= before and at < before + n").groupBy("part", "seq", "before").agg(F.collect_list(F.col("at") - F.col("before")).alias("at"))
+    return blocks.select("part", "seq", "levels", "bitmaps", "ranks").join(hit, ["part", "seq"]).select("levels", "bitmaps", "ranks", "before", "at").mapInArrow(_pick, "at long, token long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:

@@ -36,7 +36,9 @@ def test_codes_give_any_token():
     for ids in (np.array([7]), r.integers(0, 256, 900), r.integers(0, 49408, 3000), r.integers(0, 2**24, 700)):
         levels, bitmaps, ranks = token_files.encode_codes(ids)
         assert (token_files.decode_codes(levels, bitmaps) == ids).all()
-        assert all(token_files.access(levels, bitmaps, ranks, i) == ids[i] for i in range(len(ids)))
+        at = r.permutation(len(ids))
+        assert (token_files.access(levels, bitmaps, ranks, at) == ids[at]).all()
+        assert all(token_files.access(levels, bitmaps, ranks, [i])[0] == ids[i] for i in at[:50].tolist())
 
 
 def test_token_files(spark):
@@ -49,20 +51,45 @@ def test_token_files(spark):
         ids = [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2]
         assert got[i] == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    every = [i for t in texts for i in [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2]]
+    places = spark.createDataFrame([(i,) for i in [0, 3, 3, 7, len(every) - 1, len(every), -1, None]], "at long")
+    found = rows(token_files.tokens_at(token_files.write_tokens(table(spark, texts), path, 2), places))
+    assert found == [(i, every[i]) for i in (0, 3, 7, len(every) - 1)]
     docs = odd(spark)
     assert token_files.token_output(docs, path).count() == docs.count()
     assert token_files.token_output(spark.createDataFrame([], COLUMNS), path).count() == 0
 
 
 def test_fixity(spark):
-    good = [(i, f"record {i}".encode()) for i in range(5000)] + [(None, b"x"), (7, b"twice"), (7, b"twice")]
-    bad = [(k, b"rot" if k in (17, 4711) else v) for k, v in good]
+    good = [(i, f"record {i}".encode()) for i in range(-70, 5000)] + [(None, b"x"), (None, b"y"), (7, b"twice"), (7, b"twice"), (2**40, b"far"), (5, None)]
+    bad = [(k, b"rot" if k in (17, 4711) else v) for k, v in good if k not in (100, -3) and v != b"y"] + [(6000, b"new"), (8, b"also")]
     a, b = (spark.createDataFrame(x, "key long, record binary") for x in (good, bad))
     out = fixity.audit(a, b).collect()
-    assert len(out) == len(good) and {r.key for r in out if not r.intact} == {17, 4711}
-    by = sorted(out, key=lambda r: r.record)
-    assert [r.record for r in by] == list(range(len(good))) and by[-1].start + by[-1].n_bytes == sum(len(v) for _, v in good)
+    states = {s: sorted(str(r.key) for r in out if r.state == s) for s in ("altered", "missing", "added")}
+    assert states == {"altered": ["17", "4711"], "missing": ["-3", "100", "None"], "added": ["6000", "8"]}
+    by = sorted((r for r in out if r.state != "added"), key=lambda r: r.record)
+    assert [r.record for r in by] == list(range(len(good))) and by[-1].start + by[-1].n_bytes == sum(len(v or b"") for _, v in good)
     assert fixity.audit(a.limit(0), b.limit(0)).count() == 0
+    assert {r.state for r in fixity.audit(a.limit(3), b.limit(0)).collect()} == {"missing"}
+
+
+def test_lost_record_touches_only_nodes_above_it(spark):
+    data = spark.createDataFrame([(i, f"record {i}".encode()) for i in range(9000)], "key long, record binary")
+    one, two = (fixity.tree(fixity.leaves(x), 4) for x in (data, data.where("key <> 70")))
+    for level, (x, y) in enumerate(zip(one, two, strict=True)):
+        differ = x.select("none", "node", "digest").exceptAll(y.select("none", "node", "digest")).collect()
+        assert [r.node for r in differ] == [70 // 64 ** min(level, 4) if level < 4 else 0]
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}" if i else None, "é" * i if i != 4 else None) for i in range(40)], "key long, url string, html string").repartition(3)
+    made = pages.select("key", fixity.record(F.col("url"), F.col("html")).alias("record"))
+    files = fixity.write_warc(made, str(tmp_path / "warc")).collect()
+    assert sum(f.n_records for f in files) == 40
+    back = fixity.read_warc(spark, str(tmp_path / "warc"))
+    assert rows(back.select("record")) == rows(made.select("record"))
+    assert all(r.whole for r in back.collect())
+    assert {(r.url, r.body.decode()) for r in back.collect()} == {("" if not i else f"http://x/{i}", "" if i == 4 else "é" * i) for i in range(40)}
 
 
 def test_secrets_link_parts(spark):
