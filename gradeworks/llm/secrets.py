@@ -23,22 +23,40 @@ SCOPE, LEAST = 240, 8
 NEIGHBOURS = (SCOPE // LEAST + 1) * len(KINDS)
 
 
-def _spans(kind: str) -> Column:
-    """Start and end (code points) of the matches ``s_found`` between the gaps ``s_gaps``, with the rank of their kind."""
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+#: Spans in a chunk: sums and searches go by chunks first, so that texts of many matches take little more than linear time.
+CHUNK = 64
+SPANS = "array<struct<start:int,rank:int,end:int>>"
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.length(F.get("s_gaps", i))
-        end = start + F.length(F.get("s_found", i))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size("s_found") - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+def _chunks(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _chunk(values: str, k: Column) -> Column:
+    return F.slice(values, k * CHUNK + 1, F.lit(CHUNK))
+
+
+def _spans(df: DataFrame, rank: int) -> DataFrame:
+    """Add ``s_all``: start and end (code points) of the matches ``s_found`` between the gaps ``s_gaps``, with the rank of their kind."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    sizes = F.zip_with(F.slice("s_gaps", F.lit(1), F.size("s_found")), "s_found", lambda g, f: F.struct(F.length(g).alias("gap"), F.length(f).alias("own")))
+    df = boundary(df, s_size=F.when(F.size("s_found") > 0, sizes).otherwise(F.array().cast("array<struct<gap:int,own:int>>")))
+    df = boundary(df, s_sums=F.transform(_chunks(F.size("s_size")), lambda k: total(F.transform(_chunk("s_size", k), lambda x: x["gap"] + x["own"]))))
+    df = boundary(df, s_base=F.transform("s_sums", lambda x, k: total(F.slice("s_sums", F.lit(1), k))))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        end = start + x["own"]
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))).alias("out"))
+
+    within = lambda at, k: F.aggregate(_chunk("s_size", k), F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step)["out"]
+    return boundary(df, s_all=F.flatten(F.transform("s_base", within))).drop("s_size", "s_sums", "s_base")
 
 
 def _with(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     df = boundary(df, s_found=F.regexp_extract_all("s_text", F.lit(pattern), F.lit(0)))
     df = df.withColumn("s_gaps", F.when(F.size("s_found") > 0, F.split("s_text", pattern, -1)))
-    df = boundary(df, s_all=F.when(F.size("s_found") > 0, _spans(kind)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>")))
+    df = _spans(df, KINDS.index(kind))
     if kind == "assign":
         keep = F.filter("s_all", lambda x, i: F.length(F.regexp_extract(F.get("s_found", i), ASSIGN, 2)) >= 6)
     elif kind == "weak_secret":
@@ -70,7 +88,11 @@ def secrets(docs: DataFrame) -> DataFrame:
         df = _with(df, kind, pattern)
     base = F.sort_array(F.concat(*[F.col(f"k_{k}") for k in BASE]))
     df = boundary(df.drop("s_text"), base=base)
-    clear = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    # a chunk of the sorted base spans is searched only if it reaches the weak part
+    reach = lambda k: F.struct(F.get("base", k * CHUNK)["start"].alias("start"), F.array_max(F.transform(_chunk("base", k), lambda b: b["end"])).alias("end"), k.alias("k"))
+    df = boundary(df, reach=F.transform(_chunks(F.size("base")), reach))
+    meets = lambda b, w: (b["start"] < w["end"]) & (w["start"] < b["end"])
+    clear = lambda w: ~F.exists("reach", lambda c: meets(c, w) & F.exists(_chunk("base", c["k"]), lambda b: meets(b, w)))
     weak = F.concat(*[F.col(f"k_{k}") for k in WEAK])
     df = boundary(df, weak=F.when(F.size(weak) > 0, F.filter(weak, clear)).otherwise(weak))
     df = boundary(df, parts=F.when(F.size("weak") > 0, F.sort_array(F.concat("base", "weak"))).otherwise(F.col("base")))
