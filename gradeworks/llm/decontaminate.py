@@ -128,7 +128,11 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataF
 
 
 def stage(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, with all their columns."""
+    """The rows of ``docs`` without a benchmark passage, with all their columns.
+
+    Null, empty and wordless texts stay, as do all rows if the benchmark is empty; repeated rows share their
+    fate; an empty table gives no rows.
+    """
     p = packed(docs).withColumn("k", key(F.col("text")))
     found = cut(passages(p, items, ["k"], percent).select("k").distinct())
     return p.join(found, "k", "left_anti").select("row.*")

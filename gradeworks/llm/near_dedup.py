@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
 def stage(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group; all columns stay.
 
-    Rows that repeat both id and text are one document, and one of them stays. Rows without an id stay.
+    Rows that repeat both id and text are one document, and one of them stays. Rows without an id stay, as do
+    null, empty and wordless texts. An empty table gives no rows.
     """
     p = packed(docs).withColumn("hash", F.xxhash64("text"))
     found = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()

@@ -358,11 +358,22 @@ def sample(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
     return rows.mapInArrow(sampler(model, k), SCHEMA)
 
 
+def decoded(samples: DataFrame, model: str) -> DataFrame:
+    """``samples`` with ``text``, decoded from ``ids`` (array<int>). Null or no ids give an empty text; ids outside of the vocabulary an error."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = vocabulary(model)[0]
+        for part in parts:
+            yield pa.array([b"".join(raw[np.asarray(x, np.int64)].tolist())[1:].decode() if x else "" for x in part.to_pylist()], pa.string())
+
+    return samples.withColumn("text", F.arrow_udf(run, "string")("ids"))
+
+
 def digest(samples: DataFrame) -> DataFrame:
     """``samples`` with the number of the ids in place of the ids."""
     return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "inclusion")], "round_trip")
 
 
 def stage(docs: DataFrame, model: str, k: int = 1) -> DataFrame:
-    """The sampled segmentations of ``docs``."""
+    """The sampled segmentations of ``docs``, as ``sample`` gives them: null and empty texts one row without ids, repeated rows repeated."""
     return sample(docs, model, k)

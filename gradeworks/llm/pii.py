@@ -15,9 +15,11 @@ from gradeworks.llm.common import cut, packed
 from gradeworks.llm.label_model import fit, patterns
 
 BASE = ("email", "ip", "card", "phone")
-WEAK = ("email_spoken", "phone_local", "national_id", "iban")
+WEAK = ("email_spoken", "phone_local", "national_id", "iban", "name", "street", "birth_date")
 KINDS = BASE + WEAK
-LABELERS = ("l_form", "l_cue", "l_place", "l_digits", "l_sum")
+LABELERS = ("l_form", "l_cue", "l_gazetteer", "l_place", "l_digits", "l_sum")
+#: A weak span needs the support of one of these at least; surroundings alone are no evidence.
+EVIDENCE = ("l_cue", "l_gazetteer", "l_sum")
 
 # The patterns of the contract (an address is found by its domain, see _emails).
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,9 +33,29 @@ SPOKEN = re.compile(r"\b[A-Za-z0-9._-]{2,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{2,63} ?
 NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 PHONE_LOCAL = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])")
-# The gazetteer of words that announce personal data, and of those that announce other numbers.
-CUES = re.compile(r"\b(?:phone|tel|telephone|mobile|cell|call|fax|whatsapp|contact|e-?mail|mail|reach|ssn|social|iban|account|konto|telefon|téléphone|teléfono|correo|courriel)\b", re.I)
-OTHERS = re.compile(r"\b(?:version|order|invoice|isbn|page|figure|table|chapter|section|lot|part|item|id|serial|build|year)\b", re.I)
+# Gazetteers: given names, titles, and kinds of streets.
+GIVEN = frozenset(
+    """adam alan alice amelia amy ana andrea andrew anna anne antonio barbara benjamin brian carla carlos carmen
+    carol caroline charles charlotte chloe christian christine claire daniel david diana elena elizabeth emily emma
+    eric erik eva felix florian francisco frank franziska george grace hannah hans heinrich helen henry ines isabel
+    ivan jack jacob james jan jane javier jean jennifer jessica joan john jonas jose joseph juan judith julia julien
+    karen karl katharina kevin klaus laura lea leon linda lisa louis louise lucas lucia luis luke manuel marc marco
+    margaret maria marie mario mark martin mary matthew max michael miguel monika nicolas nina nora olga oliver
+    oscar patricia patrick paul paula pedro peter petra philip pierre rachel richard robert rosa ruth samuel sandra
+    sara sarah sebastian simon sofia sophie stefan stephen susan teresa thomas tim tom ursula victor walter william""".split()
+)
+TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|Don|Doña)\.?"
+NAME = re.compile(rf"\b(?:({TITLE}) )?([A-Z][a-zà-ÿ]+)(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?\b")
+STREET = re.compile(
+    r"\b[0-9]{1,5} (?:[A-Z][a-zà-ÿ]+ ){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Square|Boulevard)\b"
+    r"|\b[A-Z][a-zà-ÿ]+(?:straße|strasse|gasse|weg|platz|allee) [0-9]{1,4}[a-z]?\b"
+    r"|\b[0-9]{1,4},? (?:rue|avenue|boulevard|place) (?:de |du |des |la |le )*[A-Z][a-zà-ÿ]+\b"
+    r"|\b(?:Calle|Avenida|Plaza) (?:de |del |la |los )*[A-Z][a-zà-ÿ]+,? [0-9]{1,4}\b"
+)
+BIRTH = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])")
+# Words that announce personal data, and those that announce other numbers and names.
+CUES = re.compile(r"\b(?:name|named|signed|patient|customer|dear|address|lives at|resides|born|birth|dob|geboren|adresse|anschrift|né le|née le|dirección|nacid[oa]|phone|tel|telephone|mobile|cell|call|fax|whatsapp|contact|e-?mail|mail|reach|ssn|social|iban|account|konto|telefon|téléphone|teléfono|correo|courriel)\b", re.I)
+OTHERS = re.compile(r"\b(?:version|order|invoice|isbn|page|figure|table|chapter|section|lot|part|item|id|serial|build|year|company|founded|published|released|university|museum)\b", re.I)
 
 
 def _digits(s: str) -> str:
@@ -78,6 +100,9 @@ def weak_spans(t: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
         out += [("national_id", *m.span()) for m in NATIONAL.finditer(t)]
         out += [("phone_local", *m.span()) for m in PHONE_LOCAL.finditer(t) if 9 <= len(_digits(m[0])) <= 13]
         out += [("iban", *m.span()) for m in IBAN.finditer(t)]
+        out += [("street", *m.span()) for m in STREET.finditer(t)]
+        out += [("birth_date", *m.span()) for m in BIRTH.finditer(t)]
+    out += [("name", *m.span()) for m in NAME.finditer(t) if m[1] or m[2].lower() in GIVEN]
     if out and base:
         start = np.sort([b for _, b, _ in base])
         end = np.sort([e for _, _, e in base])
@@ -99,11 +124,15 @@ def label(t: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         check = 1
     elif kind in ("phone", "phone_local"):
         check = 0 if 10 <= len(d) <= 12 else -1
+    elif kind == "birth_date":
+        parts = sorted(int(x) for x in re.split("[./-]", s))
+        check = 0 if parts[0] and parts[0] <= 12 and parts[1] and parts[1] <= 31 else -1
     elif kind == "national_id":
         check = -1 if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000" else 0
     else:
         check = 0
-    return (1 if kind in BASE else -1, 1 if cue and not other else -1 if other and not cue else 0, place, 0 if not d else -1 if len(set(d)) < 3 else 0, check)
+    known = kind == "street" or kind == "name" and any(x.lower() in GIVEN for x in re.findall("[A-Za-zà-ÿ]+", s))
+    return (int(kind in BASE), 1 if cue and not other else -1 if other and not cue else 0, int(known), place, 0 if not d else -1 if len(set(d)) < 3 else 0, check)
 
 
 SCAN = "doc_id long, base array<struct<kind:string,start:long,end:long>>, weak array<struct<kind:string,start:long,end:long,votes:array<int>>>, votes array<string>"
@@ -133,7 +162,7 @@ def train(scanned: DataFrame, steps: int = 300) -> np.ndarray:
 
     The label model's reliabilities are found over the vote table; the classifier is a logistic regression
     of its posteriors on kind and votes without the pattern labeler, so that it can tell weak spans apart.
-    The driver sees one row per kind and combination of votes: at most 8 * 3^5, however many spans there are.
+    The driver sees one row per kind and combination of votes: at most 11 * 3^6, however many spans there are.
     """
     parts = F.split("v", " ")
     rows = scanned.select(F.explode("votes").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
@@ -158,7 +187,9 @@ def train(scanned: DataFrame, steps: int = 300) -> np.ndarray:
 
 
 def accepted(weak: list, weights: np.ndarray, least: float = 0.5) -> list[tuple[str, int, int]]:
-    return [(k, i, j) for k, i, j, v in weak if 1 / (1 + np.exp(-_features(k, tuple(v)) @ weights)) >= least]
+    """The weak spans that have evidence and that the classifier takes."""
+    some = [(k, i, j, v) for k, i, j, v in weak if any(v[LABELERS.index(e)] > 0 for e in EVIDENCE)]
+    return [(k, i, j) for k, i, j, v in some if 1 / (1 + np.exp(-_features(k, tuple(v)) @ weights)) >= least]
 
 
 def _ordered(spans: list[tuple[str, int, int]]) -> str:

@@ -47,7 +47,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 80)
+    out = decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 80)
+    return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,52 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+#: Lower-cased (A-Z only) words w of the texts of a table.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w"
+_SHINGLE = "array_to_string(w[i : i + {0} - 1], ' ')"
+
 SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": f"""
+        WITH item AS (
+            SELECT item_id, w, len(w) AS n, greatest(len(w) - 4, 1) AS c, least(len(w), 5) AS size FROM (SELECT item_id, {_WORDS} FROM benchmark) WHERE len(w) > 0
+        ), kind AS (
+            SELECT item_id, n, c, size, s, count(*) AS k FROM (SELECT item_id, n, c, size, {_SHINGLE.format("size")} AS s FROM (SELECT *, unnest(range(1, c + 1)) AS i FROM item)) GROUP BY ALL
+        ), doc AS (
+            SELECT doc_id, {_WORDS} FROM documents
+        ), place AS (
+            SELECT doc_id, size, i, len(w) AS m, {_SHINGLE.format("size")} AS s
+            FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM item))
+        ), hit AS (
+            SELECT doc_id, item_id, n, c, k, s, unnest(range(greatest(i - c + 1, 1), least(i, m - n + 1) + 1)) AS start
+            FROM place JOIN kind USING (size, s) WHERE n <= m
+        ), win AS (
+            SELECT doc_id, item_id, c, start, sum(least(x, k)) AS shared FROM (SELECT doc_id, item_id, c, k, s, start, count(*) AS x FROM hit GROUP BY ALL) GROUP BY ALL
+        ), found AS (
+            SELECT doc_id, item_id, max(shared / (2 * c - shared)) AS similarity FROM win WHERE 100 * shared >= 80 * (2 * c - shared) GROUP BY ALL
+        ), per AS (
+            SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, round(max(similarity), 6) AS similarity FROM found GROUP BY doc_id
+        )
+        SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, '') AS item_ids, coalesce(similarity, 0.0) AS similarity FROM documents LEFT JOIN per USING (doc_id)
+    """,
+    "op8_minhash_near_dedup": f"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, {_WORDS} FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5({_SHINGLE.format("5")}) AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+        ), size AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), link AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (s) JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+            WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM size
+            UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+        ), comp AS (
+            SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
+    """,
     "op4_repeated_passages": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -6,6 +6,8 @@ import sentencepiece
 from gradeworks.llm import piece_sampling as ps
 from gradeworks.llm.queries import tokenizer
 
+from .common import odd
+
 MODEL = tokenizer("piece_bpe_32k.model")
 
 
@@ -52,3 +54,12 @@ def test_ends_of_texts_part_runs_of_spaces():
     every = batch(list(enumerate(texts)))
     assert every == {k: v for x in enumerate(texts) for k, v in batch([x]).items()}
     assert any(len(ps.vocabulary(MODEL)[0][i].strip()) == 0 and len(ps.vocabulary(MODEL)[0][i]) > 1 for v in every.values() for i in v)
+
+
+def test_table_is_decoded(spark):
+    docs = odd(spark)
+    out = ps.decoded(ps.sample(docs, MODEL, 2), MODEL)
+    want = {(r.doc_id, r.text or "") for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in out.collect()} == want
+    stage = ps.stage(docs, MODEL, 1)
+    assert stage.count() == docs.count() and ps.stage(docs.limit(0), MODEL).count() == 0

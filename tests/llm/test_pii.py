@@ -50,3 +50,24 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and rows(out.select("doc_id", "text")) == rows(docs.select("doc_id", "text"))
     empty = spark.createDataFrame([], COLUMNS)
     assert pii.personal(empty).count() == 0 and pii.stage(empty).count() == 0
+
+
+def test_spans_beyond_the_base_patterns(spark):
+    r = random.Random(2)
+    names, titles = ["Alice Moreau", "Peter Schmidt", "Carmen Ruiz", "John B. Smith"], ["Dr. Okafor Bello", "Frau Lindner Weiss"]
+    streets = ["12 Harbour Road", "Gartenstraße 14", "8 rue des Lilas", "Calle de Alcalá 33"]
+    good, texts = [], []
+    for i in range(240):
+        parts = [f"Customer name {r.choice(names)} signed.", f"dear {r.choice(titles)} yes", f"She lives at {r.choice(streets)} now.", f"born {r.randrange(1, 28)}.{r.randrange(1, 12)}.19{r.randrange(40, 99)} there", f"tel: 030 {r.randrange(1000, 9999)} {r.randrange(1000, 9999)} ok"]
+        text = parts[i % 5]
+        hit = [*names, *titles, *streets]
+        s = next((x for x in hit if x in text), None) or re.search(r"[0-9]+\.[0-9]+\.19[0-9]+|030 [0-9]+ [0-9]+", text)[0]
+        good.append((text.index(s), text.index(s) + len(s)))
+        texts.append(text)
+    clean = ["The The of Of Of For For.", "version 12.11.1999 of the build", "order 030 1234 5678 shipped", "Blue Harbour met Green Stone", "item 1999-12-11 released", "page 030 1111 2222"] * 10
+    got = {x.doc_id: x.spans for x in pii.personal(table(spark, texts + clean)).collect()}
+    found = {i: [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s] for i in got}
+    true = sum(good[i] in found[i] for i in range(240))
+    every = sum(len(found[i]) for i in found)
+    assert true >= 0.95 * 240 and true >= 0.95 * every, (true, every)
+    assert not any(found[i] for i in range(240, 300))
