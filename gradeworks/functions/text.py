@@ -21,9 +21,9 @@ def word_ngrams(tokens: Column, n: int) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """All substrings of n characters of the lower-cased text, white space included."""
-    low = F.lower(text)
-    at = F.sequence(F.lit(1), F.length(low) - n + 1)
-    return F.when(F.length(low) >= n, F.transform(at, lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    low = F.split(F.lower(text), "")
+    at = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.transform(at, lambda i: F.array_join(F.slice(low, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def estimate_tokens(text: Column, per_token: float = 3.0) -> Column:
@@ -62,13 +62,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm))
 
 
+# Why a call failed, in the order in which the rules are tried, and the marks that each looks for.
+REASONS = (
+    ("empty response", ("empty", "Empty")),
+    ("empty response", ("end-of-input", "No content to map")),
+    ("markdown in response", ("code 96", "```")),
+    ("text before JSON", ("Unrecognized token",)),
+    ("truncated JSON", ("closing quote", "Unexpected end")),
+    ("duplicate JSON key", ("No fallback setter/field", "duplicate")),
+    ("parse error", ("parse", "Parse", "JSON")),
+    ("timeout", ("timeout", "Timeout")),
+    ("rate limited", ("rate limit", "429")),
+    ("auth error", ("401", "Unauthorized")),
+    ("server error", ("500", "Internal Server")),
+)
+
+
 def short_reason(error: Column) -> Column:
-    """Why a call failed, in few words; the first rule that fits counts."""
-    rules = [("empty response", ["empty", "null content"]), ("markdown in response", ["```"]), ("text before JSON", ["Unrecognized token"]), ("truncated JSON", ["end-of-input"]), ("duplicate JSON key", ["Duplicate"]), ("parse error", ["JsonParseException", "parse"]), ("timeout", ["timeout", "timed out"]), ("rate limited", ["429", "rate limit"]), ("auth error", ["401", "403"]), ("server error", ["500", "502", "503"])]
-    out = F.when(error.isNull(), F.lit("unknown error"))
-    for name, keys in rules:
+    """Why a call failed, in few words; the first rule that fits counts, case matters; else at most 50 characters of the message.
+
+    Line feeds become spaces first. Null and blank messages are unknown errors.
+    """
+    clean = trimmed(F.replace(F.replace(error, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit("")))
+    out = F.when(error.isNull() | (clean == ""), F.lit("unknown error"))
+    for name, marks in REASONS:
         hit = F.lit(False)
-        for k in keys:
-            hit = hit | error.contains(k)
+        for m in marks:
+            hit = hit | clean.contains(m)
         out = out.when(hit, F.lit(name))
-    return out.otherwise(F.when(F.length(error) > 50, F.concat(F.substring(error, 1, 47), F.lit("..."))).otherwise(error))
+    return out.otherwise(F.when(F.length(clean) > 50, F.concat(F.substring(clean, 1, 47), F.lit("..."))).otherwise(clean))

@@ -14,9 +14,10 @@ from gradeworks.sources import derived
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-PAIRS = """p AS (
-    SELECT * FROM (SELECT doc_id AS sample_id, lang, array_to_string(list_slice(string_split(text, ' '), 1, 40), ' ') AS response,
-        array_to_string(list_slice(string_split(text, ' '), 6, 50), ' ') AS reference FROM documents)
+_LEN = "len(string_split(text, ' '))"
+PAIRS = f"""p AS (
+    SELECT * FROM (SELECT doc_id AS sample_id, lang, array_to_string(list_slice(string_split(text, ' '), 1, {_LEN} - {_LEN} // 2), ' ') AS response,
+        array_to_string(list_slice(string_split(text, ' '), {_LEN} - {_LEN} // 2 + 1, {_LEN}), ' ') AS reference FROM documents)
     WHERE response <> '' AND reference <> ''
 ), tok AS (
     SELECT sample_id, list_filter(regexp_split_to_array(regexp_replace(lower(response), '[^a-zа-яё0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS a,
@@ -120,10 +121,10 @@ def semantic_similarity(spark, d):
     return a.join(b, "sample_id").select("sample_id", F.round(tx.cosine(F.col("x"), F.col("y")), 9).alias("score"))
 
 
-@query("SELECT doc_id AS sample_id, CAST(ceil(coalesce(length(text), 0) / 3.0) AS BIGINT) AS tokens, CASE WHEN ceil(coalesce(length(text), 0) / 3.0) <= 512 THEN length(text) ELSE length(substr(text, 1, 1536)) END AS kept FROM documents")
+@query("SELECT doc_id AS sample_id, CAST(ceil(coalesce(length(text), 0) / 3.0) AS BIGINT) AS tokens, CASE WHEN ceil(coalesce(length(text), 0) / 3.0) <= 512 THEN length(text) ELSE length(substr(text, 1, 1536)) END AS kept, md5(CASE WHEN ceil(coalesce(length(text), 0) / 3.0) <= 512 THEN text ELSE substr(text, 1, 1536) END) AS kept_md5 FROM documents")
 def token_limits(spark, d):
     t = derived.table(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("sample_id"), tx.estimate_tokens(F.col("text")).alias("tokens"), F.length(tx.truncate_to_tokens(F.col("text"), 512)).cast("long").alias("kept"))
+    return t.select(F.col("doc_id").alias("sample_id"), tx.estimate_tokens(F.col("text")).alias("tokens"), F.length(tx.truncate_to_tokens(F.col("text"), 512)).cast("long").alias("kept"), F.md5(tx.truncate_to_tokens(F.col("text"), 512)).alias("kept_md5"))
 
 
 @query("""SELECT conv_id AS sample_id, string_agg('[' || CASE role WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' WHEN 'tool' THEN 'TOOL' ELSE 'UNKNOWN' END || ']: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS conversation,
@@ -170,10 +171,17 @@ def context_precision(spark, d):
 _ENT = "list_distinct(list_filter(list_transform(list_slice(string_split(text, ' '), {0}, {1}), lambda x: lower(regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'))), lambda x: x <> ''))"
 
 
-@query(f"SELECT sample_id, 'm0' AS model_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 9) AS score, CAST(len(a) - len(list_intersect(a, b)) AS BIGINT) AS n_missing FROM (SELECT doc_id AS sample_id, {_ENT.format(1, 12)} AS a, {_ENT.format(7, 24)} AS b FROM documents)")
+@query(f"SELECT sample_id, 'm0' AS model_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 9) AS score, CAST(len(a) - len(list_intersect(a, b)) AS BIGINT) AS n_missing FROM (SELECT doc_id AS sample_id, {_ENT.format(1, f'{_LEN} - {_LEN} // 4')} AS a, {_ENT.format(f'{_LEN} // 4 + 1', _LEN)} AS b FROM documents)")
 def context_entity_recall(spark, d):
+    return _entities(spark, d, 4)
+
+
+def _entities(spark, d, part):
+    """Recall of the words of all but the last ``part``-th of each text by those of all but the first (halves: of the other half)."""
     w = F.split("text", " ")
-    e = derived.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("m0").alias("model_id"), tx.normalized_entities(F.slice(w, 1, 12)).alias("reference"), tx.normalized_entities(F.slice(w, 7, 18)).alias("context"))
+    q = F.floor(F.size(w) / part).cast("int")
+    first = F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, 1, F.size(w) - q)))
+    e = derived.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("m0").alias("model_id"), first.alias("reference"), F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, q + 1, F.size(w)))).alias("context"))
     return _rounded(verdicts.entity_recall(e)).withColumn("n_missing", F.col("n_missing").cast("long"))
 
 
@@ -248,7 +256,7 @@ def regression_gate(spark, d):
 
 
 #: Pairs over whole texts: without the last quarter of words, without the first.
-WHOLE = PAIRS.replace("1, 40)", "1, len(string_split(text, ' ')) - len(string_split(text, ' ')) // 4)").replace("6, 50)", "len(string_split(text, ' ')) // 4 + 1, len(string_split(text, ' ')))")
+WHOLE = PAIRS.replace(f"1, {_LEN} - {_LEN} // 2)", f"1, {_LEN} - {_LEN} // 4)").replace(f"{_LEN} - {_LEN} // 2 + 1, {_LEN})", f"{_LEN} // 4 + 1, {_LEN})")
 
 
 def whole(f):
@@ -282,12 +290,9 @@ def whole_chrf_words(spark, d):
     return overlap.chrf(derived.whole_pairs(spark, d), word_order=2)
 
 
-_HALF = "len(string_split(text, ' ')) // 2"
+_HALF = f"{_LEN} // 2"
 
 
-@query(SQL["context_entity_recall"].replace(_ENT.format(1, 12), _ENT.format(1, f"len(string_split(text, ' ')) - {_HALF}")).replace(_ENT.format(7, 24), _ENT.format(f"{_HALF} + 1", "len(string_split(text, ' '))")))
+@query(SQL["context_entity_recall"].replace(_ENT.format(1, f"{_LEN} - {_LEN} // 4"), _ENT.format(1, f"{_LEN} - {_HALF}")).replace(_ENT.format(f"{_LEN} // 4 + 1", _LEN), _ENT.format(f"{_HALF} + 1", _LEN)))
 def whole_context_entity_recall(spark, d):
-    w = F.split("text", " ")
-    h = F.floor(F.size(w) / 2).cast("int")
-    e = derived.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("m0").alias("model_id"), F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, 1, F.size(w) - h))).alias("reference"), F.when(w.isNotNull(), tx.normalized_entities(F.slice(w, h + 1, F.size(w)))).alias("context"))
-    return _rounded(verdicts.entity_recall(e)).withColumn("n_missing", F.col("n_missing").cast("long"))
+    return _entities(spark, d, 2)

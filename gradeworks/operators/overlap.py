@@ -1,30 +1,104 @@
 """Scores of a response against a reference by shared n-grams. Tables ``pairs`` have sample_id, response, reference.
 
-Every score counts n-grams of both sides in one pass: rows are tagged with their side, exploded and summed
-by (sample, n, gram), then by (sample, n). The first sum combines on the map side, so a long text spreads
-over all tasks, and the two sides are never joined. A null or empty side gives a null score.
+Grams are counted inside the row, on Arrow batches, so nothing is exploded or shuffled: all texts of a batch
+are one array, and a sort per order counts the grams of both sides. Memory is bounded by a batch's texts.
+A null or empty side gives a null score; rows that repeat a sample_id are scored each on their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.functions.text import char_ngrams, tokenize, word_ngrams
+from gradeworks.functions.text import tokenize
+
+U = np.uint64
+#: Characters (or tokens) that are counted at a time; a longer text is taken whole.
+SLICE = 1 << 20
+COUNTS = "array<struct<n:int,overlap:long,resp_total:long,ref_total:long>>"
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits (the finalizer of splitmix64)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def count_grams(codes: np.ndarray, sizes: np.ndarray, orders: list[int]) -> np.ndarray:
+    """Overlap and totals of each row and order; ``codes`` holds response and reference of one row after another, of ``sizes`` codes each.
+
+    A gram is its row, 51 bits of a hash, and its side, so that one sort brings the equal grams of a row together.
+    """
+    rows = len(sizes) // 2
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((rows, len(orders), 3), np.int64)
+    h, value = np.zeros(len(codes), U), _mix(codes.astype(U) + U(0x9E3779B97F4A7C15))
+    for n in range(1, max(orders) + 1):
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        h = _mix(h[:m] + value[n - 1 : n - 1 + m])
+        if n not in orders:
+            continue
+        whole = owner[:m] == owner[n - 1 : n - 1 + m]
+        of = owner[:m][whole].astype(U)
+        key = np.sort(((of >> U(1)) << U(52)) | ((h[whole] >> U(13)) << U(1)) | (of & U(1)))
+        if not len(key):
+            continue
+        gram, side = key >> U(1), (key & U(1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        ref = np.add.reduceat(side, first)
+        resp = np.diff(first, append=len(gram)) - ref
+        row = (gram[first] >> U(51)).astype(np.int64)
+        for c, v in enumerate((np.minimum(ref, resp), resp, ref)):
+            out[:, orders.index(n), c] = np.bincount(row, v, rows).astype(np.int64)
+    return out
+
+
+def _counter(orders: list[int], kind: str):
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            both = [x for pair in zip(a, b, strict=True) for x in pair]
+            sizes = np.array([0 if x is None else len(x) for x in both], np.int64)
+            done, at, total = [], 0, np.cumsum(sizes)
+            while at < len(a):  # rows of about SLICE codes, and no more than the bits for rows allow
+                before = total[2 * at - 1] if at else 0
+                to = min(max(at + 1, int(np.searchsorted(total[1::2], before + SLICE))), at + 2048, len(a))
+                done += _counted(both[2 * at : 2 * to], sizes[2 * at : 2 * to], orders, kind)
+                at = to
+            yield pd.Series(done, dtype=object)
+
+    return F.pandas_udf(run, COUNTS)
+
+
+def _counted(both: list, sizes: np.ndarray, orders: list[int], kind: str) -> list[list[dict]]:
+    if kind == "char":
+        codes = np.frombuffer("".join(x or "" for x in both).encode("utf-32-le"), np.uint32)
+    else:
+        codes = pd.factorize(np.concatenate([np.asarray([] if x is None else x, object) for x in both]))[0]
+    counts = count_grams(codes, sizes, orders)
+    return [[dict(zip(("n", "overlap", "resp_total", "ref_total"), (n, *map(int, c)), strict=True)) for n, c in zip(orders, row, strict=True)] for row in counts]
+
+
+def overlap_counts(response: Column, reference: Column, orders: list[int], kind: str = "word") -> Column:
+    """One struct (n, overlap, resp_total, ref_total) per order; overlap sums the smaller counts of each gram."""
+    side = tokenize if kind == "word" else F.lower
+    return _counter(orders, kind)(side(response), side(reference))
 
 
-def _given(pairs: DataFrame) -> DataFrame:
-    return pairs.where((F.length("response") > 0) & (F.length("reference") > 0))
+def _given() -> Column:
+    return (F.length("response") > 0) & (F.length("reference") > 0)
 
 
 def ngram_overlap(pairs: DataFrame, orders: list[int], kind: str = "word") -> DataFrame:
-    """sample_id, n, overlap (sum of the smaller counts), resp_total, ref_total, for samples with both texts."""
-    sides = _given(pairs).select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("r"), F.col("response").alias("t")), F.struct(F.lit(0).alias("r"), F.col("reference").alias("t")))).alias("s")).select("sample_id", "s.r", (tokenize(F.col("s.t")) if kind == "word" else F.col("s.t")).alias("t"))
-    grams = word_ngrams if kind == "word" else char_ngrams
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), grams(F.col("t"), n).alias("g")) for n in orders])).alias("e")
-    rows = sides.select("sample_id", "r", each).select("sample_id", "r", "e.n", F.explode_outer("e.g").alias("gram"))
-    count = rows.groupBy("sample_id", "n", "gram").agg(F.sum(F.when(F.col("gram").isNotNull(), F.col("r")).otherwise(0)).alias("a"), F.sum(F.when(F.col("gram").isNotNull(), 1 - F.col("r")).otherwise(0)).alias("b"))
-    return count.groupBy("sample_id", "n").agg(F.sum(F.least("a", "b")).alias("overlap"), F.sum("a").alias("resp_total"), F.sum("b").alias("ref_total"))
+    """sample_id, n, overlap, resp_total, ref_total, for samples with both texts."""
+    counts = overlap_counts(F.col("response"), F.col("reference"), orders, kind)
+    return pairs.where(_given()).select("sample_id", counts.alias("c")).select("sample_id", F.inline("c"))
 
 
 def _harmonic(p: Column, r: Column, beta: float = 1.0) -> Column:
@@ -32,46 +106,54 @@ def _harmonic(p: Column, r: Column, beta: float = 1.0) -> Column:
     return F.when(p + r == 0, 0.0).otherwise((1 + b) * p * r / (b * p + r))
 
 
-def _scored(pairs: DataFrame, scores: DataFrame, name: str) -> DataFrame:
-    return pairs.select("sample_id").join(scores, "sample_id", "left").select("sample_id", F.round(F.col(name), 9).alias(name))
+def _counts(pairs: DataFrame, orders: list[int], kind: str = "word") -> DataFrame:
+    return pairs.select("sample_id", overlap_counts(F.col("response"), F.col("reference"), orders, kind).alias("c"), _given().alias("given"))
+
+
+def _scored(counts: DataFrame, score: Column, name: str) -> DataFrame:
+    return counts.select("sample_id", F.round(F.when(F.col("given"), score), 9).alias(name))
 
 
 def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True) -> DataFrame:
     """BLEU with add-one smoothing of every order and brevity penalty; 0 if a side has no token."""
-    c = ngram_overlap(pairs, list(range(1, max_ngram + 1)))
-    wide = c.groupBy("sample_id").agg(*[F.max(F.when(F.col("n") == 1, F.col(x))).alias(x) for x in ("resp_total", "ref_total")], F.collect_list(F.struct("n", "overlap", F.col("resp_total").alias("total"))).alias("orders"))
-    n, m = F.col("resp_total"), F.col("ref_total")
+    c = _counts(pairs, list(range(1, max_ngram + 1)))
+    n, m = F.get("c", F.lit(0))["resp_total"], F.get("c", F.lit(0))["ref_total"]
     if smoothing:
-        p = lambda o: F.when(o["total"] == 0, 1 / (n + 1)).otherwise((o["overlap"] + 1) / (o["total"] + 1))
+        p = lambda o: F.when(o["resp_total"] == 0, 1 / (n + 1)).otherwise((o["overlap"] + 1) / (o["resp_total"] + 1))
     else:
-        p = lambda o: F.when(o["total"] == 0, F.lit(0.0)).otherwise(o["overlap"] / o["total"])
-    ps = wide.withColumn("ps", F.transform(F.array_sort("orders"), p))
+        p = lambda o: F.when(o["resp_total"] == 0, F.lit(0.0)).otherwise(o["overlap"] / o["resp_total"])
+    ps = c.withColumn("ps", F.transform("c", p))
     logs = F.aggregate(F.filter("ps", lambda x: x > 0), F.lit(0.0), lambda s, x: s + F.log(x))
     penalty = F.when(n >= m, 1.0).otherwise(F.exp(1 - m / n))
     score = F.when((n == 0) | (m == 0) | ~F.exists("ps", lambda x: x > 0), 0.0).otherwise(F.least(F.lit(1.0), F.exp(logs / max_ngram) * penalty))
-    return _scored(pairs, ps.select("sample_id", score.alias("bleu")), "bleu")
+    return _scored(ps, score, "bleu")
 
 
 def rouge_n(pairs: DataFrame, n: int = 1, mode: str = "FMEASURE") -> DataFrame:
-    c = ngram_overlap(pairs, [1, n] if n > 1 else [1])
-    w = c.groupBy("sample_id").agg(*[F.max(F.when(F.col("n") == n, F.col(x))).alias(x) for x in ("overlap", "resp_total", "ref_total")], *[F.max(F.when(F.col("n") == 1, F.col(x))).alias(f"{x}_1") for x in ("resp_total", "ref_total")])
-    p, r = F.col("overlap") / F.col("resp_total"), F.col("overlap") / F.col("ref_total")
+    """ROUGE-N; 0 if a side has no token, 1 if neither has n of them."""
+    orders = [1, n] if n > 1 else [1]
+    one, o = F.get("c", F.lit(0)), F.get("c", F.lit(len(orders) - 1))
+    p, r = o["overlap"] / o["resp_total"], o["overlap"] / o["ref_total"]
     value = {"PRECISION": p, "RECALL": r, "FMEASURE": _harmonic(p, r)}[mode]
-    score = F.when((F.col("resp_total_1") == 0) | (F.col("ref_total_1") == 0), 0.0).when((F.col("resp_total") == 0) & (F.col("ref_total") == 0), 1.0).when((F.col("resp_total") == 0) | (F.col("ref_total") == 0), 0.0).otherwise(value)
-    return _scored(pairs, w.select("sample_id", score.alias("rouge")), "rouge")
+    score = F.when((one["resp_total"] == 0) | (one["ref_total"] == 0), 0.0).when((o["resp_total"] == 0) & (o["ref_total"] == 0), 1.0)
+    return _scored(_counts(pairs, orders), score.when((o["resp_total"] == 0) | (o["ref_total"] == 0), 0.0).otherwise(value), "rouge")
+
+
+def _mean_f(counts: str, beta: float) -> Column:
+    """Mean F-beta over orders: 1 where neither side has a gram, 0 where one has none."""
 
+    def f(o: Column) -> Column:
+        none = (o["resp_total"] == 0).cast("int") + (o["ref_total"] == 0).cast("int")
+        return F.when(none == 2, 1.0).when(none == 1, 0.0).otherwise(_harmonic(o["overlap"] / o["resp_total"], o["overlap"] / o["ref_total"], beta))
 
-def _f_orders(pairs: DataFrame, orders: list[int], kind: str, beta: float) -> DataFrame:
-    p, r = F.col("overlap") / F.col("resp_total"), F.col("overlap") / F.col("ref_total")
-    none = (F.col("resp_total") == 0).cast("int") + (F.col("ref_total") == 0).cast("int")
-    f = F.when(none == 2, 1.0).when(none == 1, 0.0).otherwise(_harmonic(p, r, beta))
-    return ngram_overlap(pairs, orders, kind).select("sample_id", f.alias("f")).groupBy("sample_id").agg(F.avg("f").alias("f"))
+    return F.aggregate(F.transform(counts, f), F.lit(0.0), lambda s, x: s + x) / F.size(counts)
 
 
 def chrf(pairs: DataFrame, char_order: int = 6, word_order: int = 0, beta: float = 2.0) -> DataFrame:
     """Mean F-beta over character n-grams; with word orders, the mean of that and of the word n-grams' mean."""
-    chars = _f_orders(pairs, list(range(1, char_order + 1)), "char", beta)
+    response, reference = F.col("response"), F.col("reference")
+    sides = [overlap_counts(response, reference, list(range(1, char_order + 1)), "char").alias("c")]
     if word_order:
-        words = _f_orders(pairs, list(range(1, word_order + 1)), "word", beta).withColumnRenamed("f", "w")
-        chars = chars.join(words, "sample_id").select("sample_id", ((F.col("f") + F.col("w")) / 2).alias("f"))
-    return _scored(pairs, chars.withColumnRenamed("f", "chrf"), "chrf")
+        sides.append(overlap_counts(response, reference, list(range(1, word_order + 1)), "word").alias("w"))
+    c = pairs.select("sample_id", _given().alias("given"), *sides)
+    return _scored(c, (_mean_f("c", beta) + _mean_f("w", beta)) / 2 if word_order else _mean_f("c", beta), "chrf")

@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 words of each document as response, words 6 to 50 as reference."""
-    w = F.split("text", " ")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.array_join(F.slice(w, 1, 40), " ").alias("response"), F.array_join(F.slice(w, 6, 45), " ").alias("reference"))
+    """The first half of each document's words as response, the second as reference."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.split("text", " ").alias("w"))
+    h = F.floor(F.size("w") / 2).cast("int")
+    d = d.where("w is not null").select("sample_id", "lang", F.array_join(F.slice("w", 1, F.size("w") - h), " ").alias("response"), F.array_join(F.slice("w", F.size("w") - h + 1, F.size("w")), " ").alias("reference"))
     return d.where("response <> '' and reference <> ''")
 
 
