@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,9 +26,22 @@ def simple_criteria(v: DataFrame, low: float = 0, high: float = 5) -> DataFrame:
 
 
 def rubrics_score(v: DataFrame) -> DataFrame:
+    """The level that was chosen, as it is; a null level counts as 0."""
     return v.groupBy(KEY).agg(F.avg(F.coalesce("score", F.lit(0))).alias("score"))
 
 
+def rubric_range(rubric: Column) -> Column:
+    """Struct (low, high) of the levels in a rubric's keys, of those above 0; 1 and 5 without any."""
+    level = F.filter(F.transform(F.map_keys(F.coalesce(rubric, F.create_map().cast("map<string,string>"))), lambda k: F.regexp_replace(k, "[^0-9]", "").try_cast("int")), lambda x: x > 0)
+    return F.struct(F.coalesce(F.array_min(level), F.lit(1)).alias("low"), F.coalesce(F.array_max(level), F.lit(5)).alias("high"))
+
+
+def normalize_rubric(score: Column, rubric: Column) -> Column:
+    """Where a level lies on its rubric's scale, 0 to 1; 0 on a scale of one level."""
+    r = rubric_range(rubric)
+    return F.when(r["high"] > r["low"], (score - r["low"]) / (r["high"] - r["low"])).otherwise(F.when(score.isNotNull(), 0.0))
+
+
 def faithfulness(v: DataFrame) -> DataFrame:
     """Share of statements with flag 1."""
     return v.groupBy(KEY).agg(F.avg(F.when(F.col("flag") == 1, 1.0).otherwise(0.0)).alias("score"))
@@ -49,6 +65,18 @@ def context_precision(v: DataFrame) -> DataFrame:
     return precision_at_k(v).groupBy(KEY).agg(F.when(hits == 0, 0.0).otherwise(F.sum("precision_at") / hits).alias("score"))
 
 
+def precision_strategy(reference: Column, requested: str | None = None) -> Column:
+    """REFERENCE or RESPONSE: what contexts are compared with; a blank reference can't be asked for."""
+    has = F.coalesce(F.length(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", "")) > 0, F.lit(False))
+    return F.lit("RESPONSE") if requested == "RESPONSE" else F.when(has, "REFERENCE").otherwise("RESPONSE")
+
+
+def missing_entities(e: DataFrame) -> DataFrame:
+    """The names of ``reference`` that ``context`` lacks, sorted; both normalized."""
+    none = F.array().cast("array<string>")
+    return e.select(*KEY, F.array_sort(F.array_except(F.coalesce("reference", none), F.coalesce("context", none))).alias("missing"))
+
+
 def entity_recall(e: DataFrame) -> DataFrame:
     """``reference`` and ``context`` arrays of normalized names: share of the reference's that the context has."""
     n = F.size(F.coalesce("reference", F.array().cast("array<string>")))
@@ -91,10 +119,45 @@ def answer_correctness(factual: DataFrame, semantic: DataFrame, wf: float = 0.75
     return both.select("sample_id", mean.alias("score"))
 
 
+def _half(rating: Column) -> Column:
+    """A rating of 0 to 2 as a score of 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), rating / 2))
+
+
 def answer_accuracy(r: DataFrame) -> DataFrame:
-    """Ratings 0 to 2 halved; ratings of a second ``round`` replace the first round's."""
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 2))
-    return r.groupBy("sample_id").agg(F.coalesce(F.avg(F.when(F.col("round") == 2, x)), F.avg(F.when(F.col("round") == 1, x))).alias("score"))
+    """Mean of ratings 0 to 2 halved; if a second ``round`` has any, they replace all of the first. Null ratings are left out."""
+    rated = r.withColumn("x", F.when(F.col("score").isNotNull(), _half(F.col("score"))))
+    return rated.groupBy("sample_id").agg(F.coalesce(*[F.avg(F.when(F.col("round") == k, F.col("x"))) for k in (2, 1)]).alias("score")).where("score is not null")
+
+
+def dual_judge_seed(r: DataFrame) -> DataFrame:
+    """sample_id, rating, reasoning for the prompt of a second round: the first round's mean rounded to 0, 1 or 2, and its first model's reasoning."""
+    first = r.where((F.col("round") == 1) & F.col("score").isNotNull())
+    return first.groupBy("sample_id").agg(F.floor(F.avg(_half(F.col("score"))) * 2 + 0.5).cast("int").alias("rating"), F.min_by("reasoning", "model_pos").alias("reasoning"))
+
+
+def groundedness_shortcut(response: Column, contexts: Column) -> Column:
+    """1.0 if the response is one of the contexts, or part of them joined by empty lines (case aside); null if a judge must decide."""
+    strip = lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    own = F.lower(strip(response))
+    same = F.exists(contexts, lambda c: F.coalesce(F.lower(strip(c)) == own, F.lit(False)))
+    return F.when(same | F.lower(F.array_join(contexts, "\n\n")).contains(own), 1.0)
+
+
+def response_groundedness(samples: DataFrame, ratings: DataFrame, shortcuts: bool = True) -> DataFrame:
+    """sample_id, score: the shortcut if it decides, else the mean of ratings 0 to 2 halved.
+
+    Samples without contexts have no row; an empty response scores 0 with shortcuts on.
+    """
+    s = samples.where(F.col("contexts").isNotNull() & (F.size("contexts") > 0))
+    quick = F.when(F.coalesce(F.length("response"), F.lit(0)) == 0, 0.0).otherwise(groundedness_shortcut(F.col("response"), F.col("contexts"))) if shortcuts else F.lit(None).cast("double")
+    judged = ratings.where("score is not null").groupBy("sample_id").agg(F.avg(_half(F.col("score"))).alias("judged"))
+    return s.select("sample_id", quick.alias("quick")).join(judged, "sample_id", "left").select("sample_id", F.coalesce("quick", "judged").alias("score")).where("score is not null")
+
+
+def agent_goal(v: DataFrame) -> DataFrame:
+    """1 if the goal was reached, else 0; null counts as not."""
+    return v.select(*KEY, F.coalesce("goal_achieved", F.lit(False)).cast("double").alias("score"))
 
 
 def context_relevance(r: DataFrame) -> DataFrame:
@@ -107,26 +170,91 @@ def tool_calls_strict(calls: DataFrame) -> DataFrame:
     """Calls of ``side`` actual and reference, with name and ``args`` (sorted entries as text): multiset match without order."""
     n = calls.groupBy("sample_id", "name", "args").agg(*[F.sum((F.col("side") == s).cast("long")).alias(s) for s in ("actual", "reference")])
     g = n.groupBy("sample_id").agg(F.sum(F.least("actual", "reference")).alias("tp"), F.sum("actual").alias("a"), F.sum("reference").alias("r"))
+    return _f_of_calls(g)
+
+
+def pair_calls(actual: list, reference: list, threshold: float) -> list[float]:
+    """Score of each actual call (name, arguments) with the reference call it takes, or 0 if it takes none.
+
+    In order, each call takes the free reference call of its name whose arguments it matches best, the
+    earliest among equals, if the share of matching arguments reaches the threshold.
+    """
+    free, out = list(reference), []
+    for name, own in actual:
+        best, score = None, 0.0
+        for i, (other, want) in enumerate(free):
+            if other == name:
+                hit = sum(own.get(k) is not None and own.get(k) == v for k, v in want.items())
+                x = hit / len(want) if want else 0.5 if own else 1.0
+                if x > score:
+                    best, score = i, x
+        if best is not None and score >= threshold:
+            free.pop(best)
+            out.append(score)
+        else:
+            out.append(0.0)
+    return out
+
+
+def tool_calls_flexible(calls: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Calls (sample_id, side actual or reference, call_idx, name, arguments map) matched by ``pair_calls``: tp, fp, fn, F1.
+
+    Samples without reference calls have a null score, those without actual ones 0. A sample's calls are one row.
+    """
+
+    @F.pandas_udf("long")
+    def matched(actual: pd.Series, reference: pd.Series) -> pd.Series:
+        plain = lambda calls: [(c["name"], dict(c["arguments"] or {})) for c in calls]
+        return pd.Series([sum(x > 0 for x in pair_calls(plain(a), plain(r), threshold)) for a, r in zip(actual, reference, strict=True)], dtype="int64")
+
+    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("call_idx", "name", F.map_entries(F.coalesce("arguments", F.create_map().cast("map<string,string>"))).alias("arguments"))))), lambda c: F.struct(c["name"].alias("name"), F.map_from_entries(c["arguments"]).alias("arguments")))
+    g = calls.groupBy("sample_id").agg(side("actual").alias("actual"), side("reference").alias("reference"))
+    g = g.select("sample_id", matched("actual", "reference").alias("tp"), F.size("actual").alias("a"), F.size("reference").alias("r"))
+    return _f_of_calls(g)
+
+
+def _f_of_calls(g: DataFrame) -> DataFrame:
     p, r = F.col("tp") / F.col("a"), F.col("tp") / F.col("r")
     score = F.when(F.col("r") == 0, None).when((F.col("a") == 0) | (F.col("tp") == 0), 0.0).otherwise(2 * p * r / (p + r))
-    return g.select("sample_id", "tp", (F.col("a") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), score.alias("score"))
+    return g.select("sample_id", "tp", (F.col("a") - F.col("tp")).cast("long").alias("fp"), (F.col("r") - F.col("tp")).cast("long").alias("fn"), score.alias("score"))
+
 
+def topic_adherence(t: DataFrame, topics: DataFrame, mode: str = "F1", calls: DataFrame | None = None) -> DataFrame:
+    """``on_topic`` and ``matched`` of extracted topics, against ``n_topics`` reference topics per sample.
 
-def topic_adherence(t: DataFrame, topics: DataFrame, mode: str = "F1") -> DataFrame:
-    """``on_topic`` and ``matched`` of extracted topics, against ``n_topics`` reference topics per sample."""
+    Samples of ``topics`` where no model's ``calls`` (sample_id, model_id, ok) or topics are known score 0 under a null
+    model: no topic was extracted. A successful call that classified nothing scores 0. Samples without reference topics have no row.
+    """
     on = F.coalesce("on_topic", F.lit(False))
-    g = t.groupBy(KEY).agg(F.avg(on.cast("int")).alias("p"), F.countDistinct(F.when(on & (F.col("matched") != ""), F.col("matched"))).alias("m")).join(topics, "sample_id")
-    r = F.col("m") / F.col("n_topics")
-    f = F.when(F.col("p") + r == 0, 0.0).otherwise(2 * F.col("p") * r / (F.col("p") + r))
-    return g.select(*KEY, {"F1": f, "PRECISION": F.col("p"), "RECALL": r}[mode].alias("score"))
+    g = t.groupBy(KEY).agg(F.avg(on.cast("int")).alias("p"), F.countDistinct(F.when(on & (F.col("matched") != ""), F.col("matched"))).alias("m"))
+    if calls is not None:
+        g = calls.where("ok").select(*KEY).distinct().join(g, KEY, "left")
+    g = topics.where("n_topics > 0").join(g, "sample_id", "left")
+    p, r = F.coalesce("p", F.lit(0.0)), F.coalesce("m", F.lit(0)) / F.col("n_topics")
+    f = F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
+    return g.select(*KEY, {"F1": f, "PRECISION": p, "RECALL": r}[mode].cast("double").alias("score"))
+
 
+def over_models(scores: DataFrame, how: str | Callable[[Column], Column] = "average", tolerance: float = 0.1) -> DataFrame:
+    """One score per sample: average, median, min, max, majority_voting, consensus, or any aggregate of the score column.
 
-def over_models(scores: DataFrame, how: str = "average", tolerance: float = 0.1) -> DataFrame:
-    """One score per sample: average, median, min, max, majority_voting or consensus (null where models differ by more than the tolerance)."""
+    Null scores are left out. consensus is null where models differ by more than the tolerance, see ``consensus``.
+    """
     s = F.col("score")
     votes = F.sum((s >= 0.5).cast("int"))
-    value: Column = {"average": F.avg(s), "median": F.median(s), "min": F.min(s), "max": F.max(s), "majority_voting": (votes * 2 > F.count(s)).cast("double"), "consensus": F.when(F.max(s) - F.min(s) <= tolerance + 1e-12, F.avg(s))}[how]
-    return scores.groupBy("sample_id").agg(value.alias("score"))
+    known = {"average": F.avg(s), "median": F.median(s), "min": F.min(s), "max": F.max(s), "majority_voting": (votes * 2 > F.count(s)).cast("double"), "consensus": F.when(_agree(tolerance), F.avg(s))}
+    return scores.groupBy("sample_id").agg((how(s) if callable(how) else known[how]).alias("score"))
+
+
+def _agree(tolerance: float) -> Column:
+    """Whether the largest and least score differ by no more than the tolerance, to 12 digits."""
+    return F.round(F.max("score") - F.min("score"), 12) <= tolerance
+
+
+def consensus(scores: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """sample_id, score, status, error: the mean where models agree, else FAILED with the range and the tolerance."""
+    message = F.format_string("range %.4f exceeds tolerance %.4f", F.max("score") - F.min("score"), F.lit(float(tolerance)))
+    return scores.groupBy("sample_id").agg(F.when(_agree(tolerance), F.avg("score")).alias("score"), F.when(_agree(tolerance), "OK").otherwise("FAILED").alias("status"), F.when(~_agree(tolerance), message).alias("error"))
 
 
 def score_level(score: Column) -> Column:
@@ -137,14 +265,28 @@ def score_level_inverted(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score <= 0.1, "excellent").when(score <= 0.3, "good").when(score <= 0.5, "moderate").otherwise("poor")
 
 
-def report_class(metric: Column, score: Column) -> Column:
-    low = F.lower(metric).contains("noise") | F.lower(metric).contains("sensitivity")
-    x = F.when(low, 1 - score).otherwise(score)
-    return F.when(score.isNull(), "unknown").when(x >= 0.8, "excellent").when(x >= 0.6, "good").when(x >= 0.4, "moderate").otherwise("poor")
+def is_good(score: Column) -> Column:
+    """Whether an inverted score is good."""
+    return F.coalesce(score <= 0.2, F.lit(False))
+
+
+def report_class(metric: Column, score: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """A report's word for a score: by its place on the scale for rubrics, by inverted limits for noise metrics."""
+    low, high = (F.lit(1) if low is None else low), (F.lit(5) if high is None else high)
+    name = F.lower(F.coalesce(metric, F.lit("")))
+    place = F.when(high > low, (score - low) / (high - low)).otherwise(0.0)
+    rubric = F.when(place <= 0.33, "poor").when(place <= 0.66, "moderate").otherwise("good")
+    plain = F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "moderate").otherwise("poor")
+    return F.when(score.isNull(), "unknown").when(name.contains("rubrics"), rubric).when(name.contains("noise") | name.contains("sensitivity"), score_level_inverted(score)).otherwise(plain)
 
 
-def format_score(score: Column) -> Column:
-    return F.when(score.isNull(), "N/A").otherwise(F.format_string("%.2f%%", score * 100))
+def format_score(score: Column, metric: Column | None = None, low: Column | None = None, high: Column | None = None) -> Column:
+    """A score as percent; a rubric's level with its scale and place on it; N/A for null."""
+    low, high = (F.lit(1) if low is None else low), (F.lit(5) if high is None else high)
+    name = F.lower(F.coalesce(F.lit(None).cast("string") if metric is None else metric, F.lit("")))
+    place = F.when(high > low, (score - low) / (high - low)).otherwise(0.0)
+    level = F.format_string("%.1f / %d \u2192 %.2f%%", score.cast("double"), high.cast("int"), place.cast("double") * 100)
+    return F.when(score.isNull(), "N/A").when(name.contains("rubrics"), level).otherwise(F.format_string("%.2f%%", score.cast("double") * 100))
 
 
 def agreement(v: DataFrame) -> DataFrame:
@@ -153,22 +295,50 @@ def agreement(v: DataFrame) -> DataFrame:
     return v.groupBy("sample_id").agg((F.greatest(p, n - p) / n * 100).alias("percent"), ((p > 0) & (p < n)).alias("disagree"))
 
 
+def iteration_agreement(v: DataFrame) -> DataFrame:
+    """Mean over models of the agreement of each model's iterations, in percent, and whether any model disagrees with itself."""
+    p, n = F.sum(F.coalesce("verdict", F.lit(False)).cast("int")), F.count("*")
+    per = v.groupBy(*KEY).agg((F.greatest(p, n - p) / n * 100).alias("percent"), ((p > 0) & (p < n)).alias("disagree"))
+    return per.groupBy("sample_id").agg(F.avg("percent").alias("percent"), F.max("disagree").alias("disagree"))
+
+
 def model_stats(scores: DataFrame) -> DataFrame:
     """Least, largest and mean score per sample, with the models that hold them (the first by name among equals)."""
     low, high = F.min(F.struct("score", "model_id")), F.min(F.struct((-F.col("score")).alias("s"), "model_id"))
     return scores.where("score is not null").groupBy("sample_id").agg(low["score"].alias("low"), low["model_id"].alias("low_model"), (-high["s"]).alias("high"), high["model_id"].alias("high_model"), F.avg("score").alias("mean"))
 
 
-def gate(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Whether each sample passes every threshold of its metrics; null scores fail. ``thresholds`` has a row per metric."""
-    ok = F.coalesce(F.col("score") >= F.col("least"), F.lit(False))
-    return scores.join(F.broadcast(thresholds), "metric").groupBy("sample_id").agg(F.min(ok).alias("passed"), F.sum((~ok).cast("long")).alias("n_failed"))
+#: Least scores by metric, of a regression run with references, of a production run, and those below which production alerts.
+REGRESSION = {"tool_call_accuracy": 0.9, "agent_goal": 1.0, "safety": 1.0, "completeness": 0.6, "topic_adherence": 0.5, "helpfulness": 0.7}
+PRODUCTION = {"safety": 1.0, "relevancy": 0.2, "agent_goal": 0.5, "helpfulness": 0.7, "tone": 0.5}
+ALERTS = {"safety": 1.0, "relevancy": 0.5, "agent_goal": 0.7, "helpfulness": 0.7, "tone": 0.6}
+
+
+def _limit(thresholds: dict[str, float]) -> Column:
+    """The least score of the row's metric; null if it has none."""
+    out = F.lit(None).cast("double")
+    for metric, least in thresholds.items():
+        out = F.when(F.col("metric") == metric, float(least)).otherwise(out)
+    return out
+
+
+def gate(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """sample_id, passed, n_failed: whether a sample has every metric of ``thresholds`` at its limit or above.
+
+    Metrics that a sample lacks, or whose score is null, fail. Of a metric that a sample repeats the least counts.
+    Other metrics have no say. Samples with none of the metrics fail in all.
+    """
+    ok = [F.coalesce(F.min(F.when(F.col("metric") == m, F.coalesce(F.col("score"), F.lit(float("-inf"))))) >= float(least), F.lit(False)).cast("long") for m, least in thresholds.items()]
+    n = sum(ok[1:], ok[0])
+    return scores.groupBy("sample_id").agg((n == len(ok)).alias("passed"), (len(ok) - n).alias("n_failed"))
 
 
-def alerts(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return scores.join(F.broadcast(thresholds), "metric").where("score < least").select("sample_id", "metric", "score", "least")
+def alerts(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """The scores below their metric's limit. A null score alerts nobody."""
+    return scores.withColumn("least", _limit(thresholds)).where("score < least").select("sample_id", "metric", "score", "least")
 
 
-def sample_traffic(rows: DataFrame, key: str, keep: int, of: int) -> DataFrame:
-    """A repeatable share of rows, by a hash of their key."""
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(of)) < keep)
+def sample_traffic(rows: DataFrame, key: str, keep: int, of: int, seed: str = "") -> DataFrame:
+    """A repeatable share of rows, by a hash of their key; rows without one are left out."""
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.where(hashed % of < keep)
