@@ -103,9 +103,12 @@ class Lattices:
         for own, w in ((np.flatnonzero(bare), -12.0), (np.flatnonzero(tail), 0.0)):
             edge.append((own, np.ones(len(own), int), self.zero + lead[own].astype(int), np.full(len(own), w)))
         node, step, ids, weight = (np.concatenate(c) for c in zip(*edge, strict=True))
-        order = np.argsort(rem[node] * len(at) + node, kind="stable")
+        order = np.argsort(node, kind="stable")  # runs that ascend: merged, not sorted
         node, step, ids, weight = node[order], step[order], ids[order], weight[order]
         level = rem[node]
+        by_level = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
+        inner = (node, step, ids)
+        node, step, ids, weight, level = (x[by_level] for x in (node, step, ids, weight, level))
         beta = np.zeros(len(at) + int(step.max(initial=0)) + 1)
         value = np.empty(len(node))
         cut = np.flatnonzero(np.diff(level, prepend=0))
@@ -118,8 +121,9 @@ class Lattices:
             total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), heads))
             beta[node[lo:hi][heads]] = total
             value[lo:hi] = v - np.repeat(total, width)
-        order = np.argsort(node, kind="stable")
-        node, step, ids, value, final = node[order], step[order], ids[order], value[order], final[order]
+        (node, step, ids), ordered = inner, np.empty_like(value)
+        ordered[by_level] = value
+        value, final = ordered, rem[node] == step
         heads = np.flatnonzero(np.diff(node, prepend=-1))
         width = np.diff(heads, append=len(node))
         cum = np.cumsum(np.exp(value))
@@ -212,16 +216,16 @@ def _rest(lp: np.ndarray) -> np.ndarray:
         return np.log(np.where(p > 1e-12, p, 0.0))
 
 
-def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi: int, top: float, scopes: np.ndarray) -> tuple[list, float]:
-    """As many segmentations as ``scopes``, of the largest perturbed log probabilities, best first, and the next largest perturbation.
+def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi: int, top: float, rests: list[np.ndarray], noise: list[np.ndarray]) -> tuple[list, float]:
+    """As many segmentations as ``draws``, of the largest perturbed log probabilities, best first, and the next largest perturbation.
 
     Top-down search over sets of segmentations: a set is a prefix of words, a word some of whose
     segmentations are taken, and free words after it. The best set gives its best member; what is left of
     it is split by the first word that differs, each part with a Gumbel truncated at its parent's. So the
     result is an exact sample without replacement, and all its members differ. ``top`` is the Gumbel of all
-    segmentations, and a scope seeds the Gumbels of one split.
+    segmentations; of each draw's words, ``rests`` holds the log mass of all other segmentations and ``noise`` the Gumbels of a split there.
     """
-    n, k = hi - lo, len(scopes)
+    n, k = hi - lo, len(draws)
     lps = [d[0][lo:hi] for d in draws]
     found: list = []
     queue: list = [(top, None)]  # (largest perturbation, sets it came from)
@@ -248,11 +252,11 @@ def search(lat: Lattices, node: np.ndarray, seed: int, draws: list, lo: int, hi:
         y = {"src": src, "swap": swap, "lp": lp}
         found.append((value, float(lp.sum()), y))
         before = np.concatenate(([0.0], np.cumsum(lp)))[at:n]
-        phi = before + _rest(lp[at:])
+        phi = before + rests[s][lo + at : hi]
         if taken:
             phi[0] = before[0] + _rest(np.log(np.array([sum(np.exp(x) for x, _ in taken) + max(np.exp(lp[at]), 1e-300)])))[0]
         with np.errstate(divide="ignore"):
-            g = phi + _gumbel(_unit(_with(scopes[s], np.arange(at, n))))
+            g = phi + noise[s][lo + at : hi]
             g = np.where(np.isfinite(phi), -np.logaddexp(-value, -g), -np.inf)
         if n:
             queue.append((float(g.max()), {"g": g, "of": y, "from": at, "taken": taken}))
@@ -327,14 +331,15 @@ def _sampled(lat: Lattices, model: str, k: int, doc_ids: list, texts: list[bytes
     draws = [draw(lat, node, own, s, by_node) for s in range(k)]
     base = _with(np.zeros(1, U), seeds)
     tops = _gumbel(_unit(_with(base, 1))).tolist()
-    scopes = np.stack([_with(base, 2 + s) for s in range(k)], axis=1)
+    rests = [_rest(d[0]) for d in draws]
+    noise = [_gumbel(_unit(_with(_with(base, 2 + s)[row], unit))) for s in range(k)]
     out: list[list] = [[] for _ in range(8)]
     for d, t in enumerate(texts):
         a, b = (int(first[d]), int(first[d + 1])) if t else (0, 0)
         if not t:
             made, limit = [(0.0, 0.0, {"src": np.empty(0, int), "swap": {}, "lp": np.empty(0)})], -np.inf
         else:
-            made, limit = search(lat, node, int(seeds[d]), draws, a, b, tops[d], scopes[d])
+            made, limit = search(lat, node, int(seeds[d]), draws, a, b, tops[d], rests, noise)
         for s, (value, lp, y) in enumerate(made):
             ids = _joined(y, draws, a, b - a)
             inside = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 50.0))))
