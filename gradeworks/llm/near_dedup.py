@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         return found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
     degree = cut(shared.join(shared.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("id").agg(F.sum("c").alias("degree")))
-    links = None if same_doc.isEmpty() else same_doc
+    several_texts = not same_doc.isEmpty()
+    links = same_doc if several_texts else None
     comp = ids.select("id", F.col("id").alias("comp"))
     if links is not None:
         comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    if links is not None:  # ends of links between texts of one document may share no band
+    if several_texts:  # sets that one document links may share no band, so they have no component yet
         comp = components(links)
     of = cut(nodes.join(comp, "id", "left").select("id", "rows", "doc", F.coalesce("comp", "id").alias("comp")))
     least = of.groupBy("comp").agg(F.min("doc").alias("group"), F.count("*").alias("sets"))
