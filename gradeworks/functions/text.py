@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 LETTERS = "[^a-zа-яё0-9\\s]"
 
 
+def parted(text: Column) -> Column:
+    """The lower-cased text with a space for every other character than a-z, а-я, ё, digits and white space."""
+    return F.regexp_replace(F.lower(text), LETTERS, " ")
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-cased tokens; every other character than a-z, а-я, ё, digits and white space parts tokens."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), LETTERS, " "), r"\s+"), lambda x: x != "")
+    """The tokens of ``parted`` text, between white space."""
+    return F.filter(F.split(parted(text), r"\s+"), lambda x: x != "")
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:

@@ -64,8 +64,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {PAIRS}, {_grams('o', 1)} SELECT lang, round(avg(CASE WHEN ra = 0 OR rb = 0 THEN 0 WHEN ov = 0 THEN 0 ELSE 2.0 * ov / (ra + rb) END), 9) AS rouge1, count(*) AS n FROM o JOIN p USING (sample_id) GROUP BY lang")
 def rouge1_by_language(spark, d):
-    p = derived.pairs(spark, d)
-    return overlap.rouge_n(p, 1).join(p.select("sample_id", "lang"), "sample_id").groupBy("lang").agg(F.round(F.avg("rouge"), 9).alias("rouge1"), F.count("*").alias("n"))
+    return overlap.rouge_n(derived.pairs(spark, d), 1, keep=("lang",)).groupBy("lang").agg(F.round(F.avg("rouge"), 9).alias("rouge1"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {PAIRS}, {_grams('o', 2)} SELECT sample_id, round(CASE WHEN max(CASE WHEN n = 1 THEN ra END) = 0 OR max(CASE WHEN n = 1 THEN rb END) = 0 THEN 0
@@ -263,8 +262,7 @@ def whole(f):
 
 @whole
 def whole_rouge1_by_language(spark, d):
-    p = derived.whole_pairs(spark, d)
-    return overlap.rouge_n(p, 1).join(p.select("sample_id", "lang"), "sample_id").groupBy("lang").agg(F.round(F.avg("rouge"), 9).alias("rouge1"), F.count("*").alias("n"))
+    return overlap.rouge_n(derived.whole_pairs(spark, d), 1, keep=("lang",)).groupBy("lang").agg(F.round(F.avg("rouge"), 9).alias("rouge1"), F.count("*").alias("n"))
 
 
 @whole

@@ -8,13 +8,14 @@ A null or empty side gives a null score; rows that repeat a sample_id are scored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.functions.text import tokenize
+from gradeworks.functions.text import parted
 
 U = np.uint64
 #: Characters (or tokens) that are counted at a time; a longer text is taken whole.
@@ -63,8 +64,10 @@ def count_grams(codes: np.ndarray, sizes: np.ndarray, orders: list[int]) -> np.n
 def _counter(orders: list[int], kind: str):
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
-            both = [x for pair in zip(a, b, strict=True) for x in pair]
-            sizes = np.array([0 if x is None else len(x) for x in both], np.int64)
+            both = [x or "" for pair in zip(a, b, strict=True) for x in pair]
+            if kind == "word":
+                both = [x.split() for x in both]
+            sizes = np.array([len(x) for x in both], np.int64)
             done, at, total = [], 0, np.cumsum(sizes)
             while at < len(a):  # rows of about SLICE codes, and no more than the bits for rows allow
                 before = total[2 * at - 1] if at else 0
@@ -78,16 +81,16 @@ def _counter(orders: list[int], kind: str):
 
 def _counted(both: list, sizes: np.ndarray, orders: list[int], kind: str) -> list[list[dict]]:
     if kind == "char":
-        codes = np.frombuffer("".join(x or "" for x in both).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer("".join(both).encode("utf-32-le"), np.uint32)
     else:
-        codes = pd.factorize(np.concatenate([np.asarray([] if x is None else x, object) for x in both]))[0]
+        codes = pd.factorize(np.array(list(chain.from_iterable(both)), object))[0]
     counts = count_grams(codes, sizes, orders)
     return [[dict(zip(("n", "overlap", "resp_total", "ref_total"), (n, *map(int, c)), strict=True)) for n, c in zip(orders, row, strict=True)] for row in counts]
 
 
 def overlap_counts(response: Column, reference: Column, orders: list[int], kind: str = "word") -> Column:
     """One struct (n, overlap, resp_total, ref_total) per order; overlap sums the smaller counts of each gram."""
-    side = tokenize if kind == "word" else F.lower
+    side = parted if kind == "word" else F.lower
     return _counter(orders, kind)(side(response), side(reference))
 
 
@@ -106,12 +109,12 @@ def _harmonic(p: Column, r: Column, beta: float = 1.0) -> Column:
     return F.when(p + r == 0, 0.0).otherwise((1 + b) * p * r / (b * p + r))
 
 
-def _counts(pairs: DataFrame, orders: list[int], kind: str = "word") -> DataFrame:
-    return pairs.select("sample_id", overlap_counts(F.col("response"), F.col("reference"), orders, kind).alias("c"), _given().alias("given"))
+def _counts(pairs: DataFrame, orders: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+    return pairs.select("sample_id", *keep, overlap_counts(F.col("response"), F.col("reference"), orders).alias("c"), _given().alias("given"))
 
 
-def _scored(counts: DataFrame, score: Column, name: str) -> DataFrame:
-    return counts.select("sample_id", F.round(F.when(F.col("given"), score), 9).alias(name))
+def _scored(counts: DataFrame, score: Column, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return counts.select("sample_id", *keep, F.round(F.when(F.col("given"), score), 9).alias(name))
 
 
 def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True) -> DataFrame:
@@ -129,14 +132,14 @@ def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True) -> DataFr
     return _scored(ps, score, "bleu")
 
 
-def rouge_n(pairs: DataFrame, n: int = 1, mode: str = "FMEASURE") -> DataFrame:
-    """ROUGE-N; 0 if a side has no token, 1 if neither has n of them."""
+def rouge_n(pairs: DataFrame, n: int = 1, mode: str = "FMEASURE", keep: tuple[str, ...] = ()) -> DataFrame:
+    """ROUGE-N, beside the columns ``keep``; 0 if a side has no token, 1 if neither has n of them."""
     orders = [1, n] if n > 1 else [1]
     one, o = F.get("c", F.lit(0)), F.get("c", F.lit(len(orders) - 1))
     p, r = o["overlap"] / o["resp_total"], o["overlap"] / o["ref_total"]
     value = {"PRECISION": p, "RECALL": r, "FMEASURE": _harmonic(p, r)}[mode]
     score = F.when((one["resp_total"] == 0) | (one["ref_total"] == 0), 0.0).when((o["resp_total"] == 0) & (o["ref_total"] == 0), 1.0)
-    return _scored(_counts(pairs, orders), score.when((o["resp_total"] == 0) | (o["ref_total"] == 0), 0.0).otherwise(value), "rouge")
+    return _scored(_counts(pairs, orders, keep), score.when((o["resp_total"] == 0) | (o["ref_total"] == 0), 0.0).otherwise(value), "rouge", keep)
 
 
 def _mean_f(counts: str, beta: float) -> Column:

@@ -12,9 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes from fewer files than those, which may be no more tasks than files; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return texts.select(F.col("doc_id").alias("sample_id"), "lang", F.split("text", " ").alias("w"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each document's words as response, the second as reference."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.split("text", " ").alias("w"))
+    d = _words(spark, sf_dir)
     h = F.floor(F.size("w") / 2).cast("int")
     d = d.where("w is not null").select("sample_id", "lang", F.array_join(F.slice("w", 1, F.size("w") - h), " ").alias("response"), F.array_join(F.slice("w", F.size("w") - h + 1, F.size("w")), " ").alias("reference"))
     return d.where("response <> '' and reference <> ''")
@@ -22,7 +33,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without its last quarter of words as response, without its first quarter as reference."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.split("text", " ").alias("w"))
+    d = _words(spark, sf_dir)
     q = F.floor(F.size("w") / 4).cast("int")
     d = d.where("w is not null").select("sample_id", "lang", F.array_join(F.slice("w", 1, F.size("w") - q), " ").alias("response"), F.array_join(F.slice("w", q + 1, F.size("w")), " ").alias("reference"))
     return d.where("response <> '' and reference <> ''")
