@@ -15,10 +15,12 @@ from pyspark.sql.window import Window
 
 from gradeworks.llm.common import cut, join_counted
 
-#: Key ranges of a node that its parent joins.
+#: Key ranges of a node that its parent joins, at least.
 FAN = 64
-#: The range of rows without a key.
-KEYLESS = -1
+#: The same in an audit: few levels, and a node's line of children stays below a tenth of a megabyte.
+WIDE = 1024
+#: The columns of a node.
+NODE = ["side", "none", "node"]
 
 
 def record(url: Column, body: Column) -> Column:
@@ -29,22 +31,23 @@ def record(url: Column, body: Column) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(key, index, start, n_bytes, digest) of ``records`` (key: long, record: binary) in the order of key, then digest.
+    """(side, key, index, start, n_bytes, digest) of ``records`` (key: long, record: binary, side: boolean, false if lacking) in the order of key, then digest.
 
-    index and start count the records and bytes before: within a range partition by a window, across
-    partitions by a table of one row per partition. Null keys come first.
+    index and start count the records and bytes of the same side before: within a range partition by a window, across
+    partitions by a table of two rows per partition at most. Null keys come first.
     """
-    rows = records.select(F.col("key").cast("long").alias("key"), F.coalesce(F.col("record"), F.lit(b"")).alias("record"))
-    rows = rows.select("key", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest"))
-    rows = cut(rows.repartitionByRange("key", "digest").sortWithinPartitions("key", "digest").withColumn("at", F.monotonically_increasing_id()))
+    side = F.col("side") if "side" in records.columns else F.lit(False)
+    rows = records.select(side.alias("side"), F.col("key").cast("long").alias("key"), F.coalesce(F.col("record"), F.lit(b"")).alias("record"))
+    rows = rows.select("side", "key", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("digest"))
+    order = ["side", "key", "digest"]
+    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     rows = rows.withColumn("part", F.shiftright("at", 33))
-    sums = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
-    order = Window.orderBy("part")
-    base = sums.select("part", (F.sum("n").over(order) - F.col("n")).alias("n0"), (F.sum("b").over(order) - F.col("b")).alias("b0"))
-    own = F.sum("n_bytes").over(Window.partitionBy("part").orderBy("at")) - F.col("n_bytes")
-    index = F.col("n0") + F.col("at").bitwiseAND((1 << 33) - 1)
-    placed = rows.withColumn("own", own).join(base, "part").select("key", index.alias("index"), (F.col("b0") + F.col("own")).alias("start"), "n_bytes", "digest")
-    return placed
+    sums = rows.groupBy("side", "part").agg(F.min("at").alias("at0"), F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
+    before = Window.partitionBy("side").orderBy("part")
+    base = sums.select("side", "part", "at0", (F.sum("n").over(before) - F.col("n")).alias("n0"), (F.sum("b").over(before) - F.col("b")).alias("b0"))
+    own = F.sum("n_bytes").over(Window.partitionBy("side", "part").orderBy("at")) - F.col("n_bytes")
+    placed = rows.withColumn("own", own).join(base, ["side", "part"])
+    return placed.select("side", "key", (F.col("n0") + F.col("at") - F.col("at0")).alias("index"), (F.col("b0") + F.col("own")).alias("start"), "n_bytes", "digest")
 
 
 def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -53,53 +56,58 @@ def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return join_counted(rows, first, by, max(rows.count(), 1)).withColumn(name, F.col("index") - F.col("first")).drop("first")
 
 
-def _node(levels: int) -> list[Column]:
+def _node(levels: int, fan: int) -> list[Column]:
     """Whether a record has no key, and its lowest node: the key, or one by its bytes."""
-    hashed = F.pmod(F.xxhash64("digest"), F.lit(FAN ** min(levels - 1, 10)).cast("long"))
+    hashed = F.pmod(F.xxhash64("digest"), F.lit(min(fan ** (levels - 1), 2**60)).cast("long"))
     return [F.col("key").isNull().alias("none"), F.coalesce("key", hashed).alias("node")]
 
 
-def tree(leaf: DataFrame, levels: int) -> list[DataFrame]:
-    """Nodes (none, node, start, n_bytes, digest) of each level: the lowest holds the records of each key, the last is the root.
+def tree(leaf: DataFrame, levels: int, fan: int = FAN) -> list[DataFrame]:
+    """Nodes (side, none, node, start, n_bytes, digest) of each level: the lowest holds the records of each key, the last is the root of each side.
 
-    A node stands for a range of FAN ranges below it, empty ones left out. Its digest is that of its
+    A node stands for a range of ``fan`` ranges below it, empty ones left out. Its digest is that of its
     children's: of each its place in the range, its offset from the node's first byte, its length and its digest. So a lost,
     added or moved record changes the nodes above it and no others. The records of one key are hashed in
-    chunks of FAN first. Records without a key have no place: they are dealt by their digests and counted.
+    chunks of ``fan`` first. Records without a key have no place: they are dealt by their digests and counted.
+    The two lowest levels are written; those above have at most one node in ``fan`` squared keys and follow from them.
     """
-    none = leaf.where("key is null").groupBy("key", "digest").agg(F.count("*").alias("nth"), F.sum("n_bytes").alias("n_bytes")).withColumn("start", F.lit(0).cast("long"))
-    keyed = _numbered(leaf.where("key is not null"), ["key"], "nth").select(*none.columns)
+    none = leaf.where("key is null").groupBy("side", "key", "digest").agg(F.count("*").alias("nth"), F.sum("n_bytes").alias("n_bytes")).withColumn("start", F.lit(0).cast("long"))
+    keyed = _numbered(leaf.where("key is not null"), ["side", "key"], "nth").select(*none.columns)
     child = F.struct("nth", "digest", "start", "n_bytes").alias("c")
-    chunk = F.when(F.col("key").isNotNull(), F.floor(F.col("nth") / FAN)).otherwise(0).alias("chunk")
+    chunk = F.when(F.col("key").isNotNull(), F.floor(F.col("nth") / fan)).otherwise(0).alias("chunk")
     line = lambda c: F.concat_ws(":", c["nth"].cast("string"), (c["start"] - F.col("start")).cast("string"), c["n_bytes"].cast("string"), c["digest"])
     digest = F.sha2(F.array_join(F.transform("c", line), ","), 256).alias("digest")
     sums = [F.array_sort(F.collect_list("c")).alias("c"), F.min("c.start").alias("start"), F.sum("c.n_bytes").alias("n_bytes")]
-    rows = keyed.unionByName(none).select(*_node(levels), chunk, child).groupBy("none", "node", "chunk").agg(*sums)
-    rows, out = rows.select("none", "node", F.struct(F.col("chunk").alias("nth"), digest, "start", "n_bytes").alias("c")), []
+    rows = keyed.unionByName(none).select("side", *_node(levels, fan), chunk, child).groupBy(*NODE, "chunk").agg(*sums)
+    rows, out = rows.select(*NODE, F.struct(F.col("chunk").alias("nth"), digest, "start", "n_bytes").alias("c")), []
     for level in range(levels + 1):
-        out.append(cut(rows.groupBy("none", "node").agg(*sums).select("none", "node", "start", "n_bytes", digest)))
-        up = F.floor(F.col("node") / FAN).cast("long") if level < levels - 1 else F.lit(0).cast("long")
+        nodes = rows.groupBy(*NODE).agg(*sums).select(*NODE, "start", "n_bytes", digest)
+        out.append(cut(nodes) if level < 2 else nodes)
+        up = F.floor(F.col("node") / fan).cast("long") if level < levels - 1 else F.lit(0).cast("long")
         none = F.col("none") if level < levels - 1 else F.lit(False)
-        rows = out[-1].select(none.alias("none"), up.alias("up"), F.struct((F.col("node") * 2 + F.col("none").cast("int")).alias("nth"), "digest", "start", "n_bytes").alias("c")).withColumnRenamed("up", "node")
+        nth = (F.col("node") * 2 + F.col("none").cast("int")).alias("nth")
+        rows = out[-1].select("side", none.alias("none"), up.alias("up"), F.struct(nth, "digest", "start", "n_bytes").alias("c")).withColumnRenamed("up", "node")
     return out
 
 
-def differing(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
-    """(none, node) of the keys whose records differ: from the root down, only children of differing nodes are compared."""
-    top, last = None, len(one) - 1
+def differing(levels: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """(none, node) of the keys whose records differ between the sides: from the roots down, only children of differing nodes are compared."""
+    bad, last = None, len(levels) - 1
     for level in range(last, -1, -1):
-        a, b = one[level], two[level]
-        if top is not None:
-            whole = level >= last - 1  # the root's children all have the same parent
-            up = F.lit(0).cast("long") if whole else F.floor(F.col("node") / FAN).cast("long")
+        nodes = levels[level]
+        if bad is not None:
+            whole = level == last - 1  # the root's children all have the same parent
+            up = F.lit(0).cast("long") if whole else F.floor(F.col("node") / fan).cast("long")
             none = F.lit(False) if whole else F.col("none")
-            a, b = (x.withColumn("p", none).withColumn("up", up).join(top, ["p", "up"], "left_semi") for x in (a, b))
-        both = a.select("none", "node", F.struct("n_bytes", "digest").alias("x")).join(b.select("none", "node", F.struct("n_bytes", "digest").alias("y")), ["none", "node"], "full_outer")
-        top = cut(both.where(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("none").alias("p"), F.col("node").alias("up")))
-    return top.select(F.col("p").alias("none"), F.col("up").alias("node"))
+            parent = bad.select(F.col("none").alias("p"), F.col("node").alias("up"))
+            nodes = nodes.withColumn("p", none).withColumn("up", up).join(parent, ["p", "up"], "left_semi")
+        what = F.struct("n_bytes", "digest")
+        ours, theirs = (F.max(F.when(F.col("side") == side, what)) for side in (False, True))
+        bad = nodes.groupBy("none", "node").agg(ours.alias("ours"), theirs.alias("theirs")).where("not (ours <=> theirs)").select("none", "node")
+    return cut(bad)
 
 
-def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
+def audit(records: DataFrame, replica: DataFrame, fan: int = WIDE) -> DataFrame:
     """One row per record of either side: key, record (index), start, n_bytes, digest, state.
 
     state: intact, altered (the replica's record of that key has other bytes), missing (the replica lacks
@@ -109,25 +117,25 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     located alone. Null keys come first. Null urls, bodies and records count as empty. Empty tables: no
     rows, or every record missing or added.
     """
-    a, b = cut(leaves(records)), cut(leaves(replica))
-    span = a.select("key").union(b.select("key")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    levels, ranges = 1, max(abs(span["lo"] or 0), abs(span["hi"] or 0)) + 1
+    sides = [x.select("key", "record", F.lit(side).alias("side")) for x, side in ((records, False), (replica, True))]
+    leaf = cut(leaves(sides[0].union(sides[1])))
+    span = leaf.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).first()
+    levels, ranges = 1, max(abs(span["lo"] or 0), abs(span["hi"] or 0), span["n"]) + 1  # keyless records need as many nodes
     while ranges > 1:
-        ranges, levels = -(-ranges // FAN), levels + 1
-    bad = differing(tree(a, levels), tree(b, levels))
-    ours, theirs = (x.select(*_node(levels), "*") for x in (a, b))
-    same = ours.join(bad, ["none", "node"], "left_anti").withColumn("state", F.lit("intact"))
+        ranges, levels = -(-ranges // fan), levels + 1
+    bad = differing(tree(leaf, levels, fan), fan)
+    rows = leaf.select(*_node(levels, fan), "*")
+    same = rows.where("not side").join(bad, ["none", "node"], "left_anti").withColumn("state", F.lit("intact"))
     # in keys that differ, equal records are intact; what is left of a key is paired in order
-    left, right = (cut(_numbered(cut(x.join(bad, ["none", "node"], "left_semi")), ["none", "node", "digest"], "copy")) for x in (ours, theirs))
-    found = left.join(right.select("none", "node", "digest", "copy"), ["none", "node", "digest", "copy"], "left_semi").withColumn("state", F.lit("intact"))
-    rest = Window.partitionBy("none", "node", F.when(F.col("none"), F.col("index"))).orderBy("index")
-    l2, r2 = (x.join(y.select("none", "node", "digest", "copy"), ["none", "node", "digest", "copy"], "left_anti").withColumn("pair", F.row_number().over(rest)) for x, y in ((left, right), (right, left)))
-    l2, r2 = (x.withColumn("pair", F.when(~F.col("none"), F.col("pair"))) for x in (l2, r2))
-    other = r2.select("none", "node", "pair", F.lit(True).alias("other"))
-    hurt = l2.join(other, ["none", "node", "pair"], "left").withColumn("state", F.when(F.col("other"), "altered").otherwise("missing"))
-    more = r2.join(l2.select("none", "node", "pair"), ["none", "node", "pair"], "left_anti").withColumn("state", F.lit("added"))
+    hurt = _numbered(cut(rows.join(bad, ["none", "node"], "left_semi")), [*NODE, "digest"], "copy")
+    hurt = hurt.withColumn("equal", F.count("*").over(Window.partitionBy("none", "node", "digest", "copy")) == 2)
+    rest = Window.partitionBy(*NODE, "equal", F.when(F.col("none") | F.col("equal"), F.col("index"))).orderBy("index")
+    hurt = hurt.withColumn("pair", F.row_number().over(rest))
+    other = F.count("*").over(Window.partitionBy("none", "node", "equal", "pair", F.when(F.col("none") | F.col("equal"), F.struct("side", "index")))) == 2
+    alone = F.when(F.col("side"), "added").otherwise("missing")
+    hurt = hurt.withColumn("state", F.when(F.col("equal"), "intact").when(other, "altered").otherwise(alone)).where("not side or state = 'added'")
     cols = ["key", F.col("index").alias("record"), "start", "n_bytes", "digest", "state"]
-    return same.select(*cols).union(found.select(*cols)).union(hurt.select(*cols)).union(more.select(*cols))
+    return same.select(*cols).union(hurt.select(*cols))
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
