@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradeworks.llm.common import cut
+from gradeworks.llm.common import cut, small
 from gradeworks.llm.words import U, prefix_sums, slices, span_hash, split
 
 #: Bits of an id on each level, and bits of a continuation bitmap for each entry of its rank directory.
@@ -27,7 +27,7 @@ KIND = np.array([1 if chr(b).isalpha() else 2 if 0x20 < b < 0x7F and chr(b) not
 MARK, TOGETHER = "\x01", 48
 #: Words that a task remembers the ids of.
 MOST_WORDS = 1 << 20
-BLOCK = "part int, seq long, n long, doc_ids binary, named binary, counts binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
+BLOCK = "part int, seq long, n long, own long, doc_ids binary, named binary, counts binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 
 
 def encode_codes(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -148,17 +148,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(tokenizer, end), TaskContext.get().partitionId(), 0
+        encode, part, seq, before = Encoder(tokenizer, end), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts):
                 ids, counts = encode(texts[lo:hi])
                 levels, bitmaps, ranks = encode_codes(ids)
                 own = batch.column(0).slice(lo, hi - lo)
-                one = [part, seq, len(ids), own.fill_null(0).to_numpy().astype("<i8").tobytes(), own.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), counts.astype("<i8").tobytes(), levels, bitmaps, ranks]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.list_(pa.binary())] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types, strict=True)], ["part", "seq", "n", "doc_ids", "named", "counts", "levels", "bitmaps", "ranks"])
-                seq += 1
+                one = [part, seq, len(ids), before, own.fill_null(0).to_numpy().astype("<i8").tobytes(), own.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), counts.astype("<i8").tobytes(), levels, bitmaps, ranks]
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.list_(pa.binary())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types, strict=True)], ["part", "seq", "n", "own", "doc_ids", "named", "counts", "levels", "bitmaps", "ranks"])
+                seq, before = seq + 1, before + len(ids)
 
     return cut(rows.mapInArrow(run, BLOCK))
 
@@ -184,17 +184,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(blocks: DataFrame) -> DataFrame:
-    """(part, seq, n, before) of each block: the ids of all files before it."""
+    """``blocks`` with ``before``: the ids of all files before the block. A block knows those of its own file, so only a row per file is joined."""
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that wrote
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    own = blocks.select("part", "seq", "n").withColumn("own", F.sum("n").over(Window.partitionBy("part").orderBy("seq")) - F.col("n"))
-    return own.join(base, "part").select("part", "seq", "n", (F.col("base") + F.col("own")).alias("before"))
+    files = blocks.select("part").distinct().count()
+    return blocks.join(small(base, files), "part").withColumn("before", F.col("base") + F.col("own")).drop("base", "own")
 
 
 def token_table(blocks: DataFrame) -> DataFrame:
     """One row per text in the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
-    place = _placed(blocks).drop("n")
-    return blocks.join(place, ["part", "seq"]).select("doc_ids", "named", "counts", "levels", "bitmaps", "ranks", "before").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(blocks).select("doc_ids", "named", "counts", "levels", "bitmaps", "ranks", "before").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +209,7 @@ def tokens_at(blocks: DataFrame, places: DataFrame) -> DataFrame:
     The directory of blocks, not the blocks, meets the places: both are dealt by ranges of BUCKET ids, so a
     place meets only blocks of its range. Only blocks with a wanted place are read further.
     """
-    place = _placed(blocks)
+    place = _placed(blocks.select("part", "seq", "n", "own"))
     end = F.greatest(F.col("before") + F.col("n") - 1, F.col("before"))
     dealt = place.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / BUCKET), F.floor(end / BUCKET))))
     want = places.select(F.col("at").cast("long").alias("at")).where("at >= 0").distinct().withColumn("bucket", F.floor(F.col("at") / BUCKET))
