@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeworks.llm import decontaminate, fixity, near_dedup, pii, piece_sampling, quality, repeats, secrets, token_files, toxicity
+from gradeworks.llm import byte_bpe, codebooks, decontaminate, fixity, near_dedup, pii, piece_sampling, quality, repeats, secrets, token_files, toxicity, whitening
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,23 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"), 2)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = byte_bpe.encode(_docs(spark, sf_dir), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    hashed = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *hashed)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codebooks.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
