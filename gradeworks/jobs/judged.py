@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from gradeworks.jobs.queries import PAIRS, QUERIES, _grams, _rounded, query
 from gradeworks.operators import embedding, judging, outcomes, reports, similarity, verdicts
+from gradeworks.operators.calls import CallLog
 from gradeworks.sources import derived
+from gradeworks.sources.shared import new_folder
 from gradeworks.streaming import monitor
 
 MODELS = list(derived.MODELS)
@@ -97,17 +99,17 @@ def failure_reasons(spark, d):
 # A judge whose reply follows from the prompt alone: some calls fail, some replies are no JSON.
 def _reply(make):
     def judge(prompts: pd.Series, models: pd.Series) -> list:
-        out = []
         for p, m in zip(prompts, models, strict=True):
             n = int(hashlib.md5(f"{m}|{p}".encode()).hexdigest()[:6], 16)
-            if n % 13 == 0:
-                raise ValueError("HTTP 429")
-            out.append("sorry" if n % 17 == 0 else json.dumps(make(n)))
-        return out
+            yield ValueError("HTTP 429") if n % 13 == 0 else "sorry" if n % 17 == 0 else json.dumps(make(n))
 
     return judge
 
 
+def _log(spark):
+    return CallLog(spark, new_folder(spark, "calls"))
+
+
 def _n(prompt: str) -> str:
     return f"CAST('0x' || substr(md5(model_id || '|' || {prompt}), 1, 6) AS BIGINT)"
 
@@ -127,7 +129,7 @@ _CTX = f"""q AS (SELECT *, {_sql_prompt('relevance', user_input='lang', answer="
 def _context_prompts(spark, d, iterations=1):
     h = F.floor(F.length("text") / 2).cast("int")
     s = _docs(spark, d).where("text is not null").select("sample_id", F.col("lang").alias("user_input"), F.col("source").alias("answer"), F.array(F.substring(F.col("text"), F.lit(1), h), F.substring(F.col("text"), h + 1, F.length("text"))).alias("contexts"))
-    return judging.render_prompts(judging.fan_out(s, MODELS, iterations, "contexts"), "relevance")
+    return judging.fan_out(judging.render_prompts(judging.each_context(s), "relevance").select("sample_id", "ctx_idx", "prompt"), MODELS, iterations)
 
 
 @query(f"WITH {_CTX} SELECT sample_id, model_id, ctx_idx, it AS iteration, md5(prompt) AS prompt_md5 FROM q, (SELECT unnest(range(1, 3)) AS it)")
@@ -142,7 +144,7 @@ def context_prompts(spark, d):
 def context_precision_run(spark, d):
     """Prompts for each context and model, the judge, its replies parsed; a failed call counts as not relevant."""
     make = _reply(lambda n: {"relevant": None if n % 5 == 0 else n % 5 < 3, "reasoning": "r"})
-    r = judging.parse_responses(judging.run_judge(_context_prompts(spark, d).drop("contexts"), make), "relevance").select("sample_id", "model_id", "ctx_idx", "ok", F.col("parsed.relevant").alias("relevant"))
+    r = judging.parse_responses(_log(spark).ask(_context_prompts(spark, d), make), "relevance").select("sample_id", "model_id", "ctx_idx", "ok", F.col("parsed.relevant").alias("relevant"))
     score = _rounded(verdicts.context_precision(r))
     return score.join(r.groupBy("sample_id", "model_id").agg(F.sum((~F.col("ok")).cast("long")).alias("n_failed")), ["sample_id", "model_id"])
 
@@ -174,10 +176,10 @@ def regression_run(spark, d):
         "safety": ("aspect", {"definition": "harmless", "response": ""}, lambda n: {"criteria": "c", "verdict": n % 7 > 0, "reasoning": "r"}, lambda p: verdicts.aspect_critic(p.select("sample_id", "model_id", F.col("parsed.verdict").alias("verdict")))),
         "completeness": ("rubrics", {"response": "", "reference": ""}, lambda n: {"score": 1 + n % 5, "rubric_level": "l", "reasoning": "r"}, lambda p: verdicts.rubrics_score(p.select("sample_id", "model_id", F.col("parsed.score").alias("score")))),
     }
-    scores = None
+    scores, log = None, _log(spark)
     for name, (metric, values, make, score) in runs.items():
-        prompts = judging.render_prompts(judging.fan_out(c, MODELS), metric, **values).select("sample_id", "model_id", "model_pos", "prompt")
-        parsed = judging.parse_responses(judging.run_judge(prompts, _reply(make)), metric).where("ok")
+        prompts = judging.fan_out(judging.render_prompts(c, metric, **values).select("sample_id", "prompt"), MODELS)
+        parsed = judging.parse_responses(log.ask(prompts, _reply(make)), metric).where("ok")
         one = verdicts.over_models(score(parsed)).select("sample_id", F.lit(name).alias("metric"), F.col("score").cast("double").alias("score"))
         scores = one if scores is None else scores.unionByName(one)
     every = c.select("sample_id", F.explode(F.array(*[F.lit(m) for m in runs])).alias("metric")).join(scores, ["sample_id", "metric"], "left")

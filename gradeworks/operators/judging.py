@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeworks.functions.text import short_reason
+from gradeworks.operators.calls import run_hook
 
 KEY = ["sample_id", "model_id"]
 CALL = "struct<name:string,arguments:map<string,string>>"
@@ -123,47 +123,30 @@ def render_prompts(df: DataFrame, metric: str, **values: str | int) -> DataFrame
     return df.withColumn("prompt", F.concat(*parts))
 
 
-def fan_out(requests: DataFrame, models: list[str], iterations: int = 1, contexts: str | None = None) -> DataFrame:
-    """A row per request, model (model_id, model_pos), iteration (from 1) and, if named, element of the array ``contexts`` (ctx_idx, context)."""
-    m = F.explode(F.array(*[F.struct(F.lit(x).alias("model_id"), F.lit(i).alias("model_pos")) for i, x in enumerate(models)])).alias("m")
-    out = requests.select("*", m).select("*", "m.model_id", "m.model_pos").drop("m")
-    out = out.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    return out.select("*", F.posexplode(contexts).alias("ctx_idx", "context")) if contexts else out
+def fan_out(requests: DataFrame, models: list[str], iterations: int = 1) -> DataFrame:
+    """A row per request, model (model_id, model_pos) and iteration (from 1). Columns of these names are replaced, all others stay."""
+    own = ("model_id", "model_pos", "iteration")
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("model_id"), F.lit(i).alias("model_pos"), F.lit(t).alias("iteration")) for i, x in enumerate(models) for t in range(1, iterations + 1)]))
+    out = requests.drop(*own).select(F.struct("*").alias("request"), each.alias("to"))
+    return out.select("request.*", *[f"to.{c}" for c in own])
 
 
-def run_judge(requests: DataFrame, judge: Callable[[pd.Series, pd.Series], list]) -> DataFrame:
-    """``requests`` (prompt, model_id and other columns) with ok, response_json, error and duration_ms.
+def each_context(samples: DataFrame, contexts: str = "contexts") -> DataFrame:
+    """A row per element of the array ``contexts``, which gives way to ctx_idx and context; samples whose array is null or empty have none.
 
-    ``judge`` takes a batch's prompts and models and returns a reply or an exception for each. If it raises,
-    it is called again with each row alone, so one bad call is one failed row and never a failed job.
+    Render prompts before models are attached (``fan_out``), so each is made once and no row carries the array.
     """
-    names = requests.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes) + ", ok boolean, response_json string, error string, duration_ms long"
-
-    def each(prompts: pd.Series, models: pd.Series) -> list:
-        out = []
-        for i in range(len(prompts)):
-            try:
-                out += list(judge(prompts.iloc[i : i + 1], models.iloc[i : i + 1]))
-            except Exception as e:  # noqa: BLE001
-                out.append(e)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            began = time.monotonic()
-            try:
-                replies = list(judge(df["prompt"], df["model_id"]))
-                if len(replies) != len(df):
-                    raise ValueError("a judge must reply to every prompt")
-            except Exception:  # noqa: BLE001
-                replies = each(df["prompt"], df["model_id"])
-            ms = int((time.monotonic() - began) * 1000 / max(len(df), 1))
-            bad = [isinstance(r, BaseException) or r is None for r in replies]
-            more = {"ok": [not b for b in bad], "response_json": [None if b else r for r, b in zip(replies, bad, strict=True)], "error": [str(r) or type(r).__name__ if b and r is not None else None for r, b in zip(replies, bad, strict=True)]}
-            yield df.assign(**more, duration_ms=ms)[[*names, *more, "duration_ms"]]
-
-    return requests.mapInPandas(run, schema)
+    rest = [c for c in samples.columns if c not in (contexts, "ctx_idx", "context")]
+    return samples.select(*rest, F.posexplode(contexts).alias("ctx_idx", "context"))
+
+
+def run_judge(requests: DataFrame, judge: Callable[[pd.Series, pd.Series], Iterable]) -> DataFrame:
+    """``requests`` (prompt, model_id and other columns) with ok, response_json, error and duration_ms; a bad call is a failed row, never a failed job.
+
+    ``judge`` takes a batch's prompts and models and yields a reply or an exception for each (``calls.answers``). The
+    result is lazy: every use of it asks the judge. ``calls.CallLog`` keeps replies.
+    """
+    return run_hook(requests, judge, "prompt", "response_json", "string")
 
 
 def parse_responses(results: DataFrame, kind: str) -> DataFrame:

@@ -261,6 +261,11 @@ def score_level(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score >= 0.9, "excellent").when(score >= 0.7, "good").when(score >= 0.5, "moderate").otherwise("poor")
 
 
+def score_level_index(score: Column) -> Column:
+    """The place of ``score_level`` on its scale, from 0 (excellent) to 3 (poor, and unknown)."""
+    return F.when(score >= 0.9, 0).when(score >= 0.7, 1).when(score >= 0.5, 2).otherwise(3)
+
+
 def score_level_inverted(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score <= 0.1, "excellent").when(score <= 0.3, "good").when(score <= 0.5, "moderate").otherwise("poor")
 
