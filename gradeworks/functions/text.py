@@ -18,17 +18,26 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(parted(text), r"\s+"), lambda x: x != "")
 
 
+def _runs(items: Column, n: int, sep: str) -> Column:
+    """n consecutive items joined. The items are evaluated once, and n shifted copies of them are put together place by place."""
+
+    def each(w: Column) -> Column:
+        out = F.slice(w, F.lit(1), F.size(w) - n + 1)
+        for k in range(2, n + 1):
+            out = F.zip_with(out, F.slice(w, F.lit(k), F.size(w) - n + 1), lambda x, y: F.concat(x, F.lit(sep), y))
+        return F.when(F.size(w) >= n, out).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(items), each), F.lit(0))
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """n consecutive tokens joined by a space, with repeats; none if there are fewer than n."""
-    at = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return _runs(tokens, n, " ")
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """All substrings of n characters of the lower-cased text, white space included."""
-    low = F.split(F.lower(text), "")
-    at = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.transform(at, lambda i: F.array_join(F.slice(low, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    return _runs(F.split(F.lower(text), ""), n, "")
 
 
 def estimate_tokens(text: Column, per_token: float = 3.0) -> Column:
@@ -50,11 +59,6 @@ def join_contexts(contexts: Column, sep: str) -> Column:
     return F.array_join(contexts, sep)
 
 
-def numbered(items: Column) -> Column:
-    """Items as numbered lines."""
-    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("\n"))), "")
-
-
 def normalized_entities(items: Column) -> Column:
     """Distinct trimmed lower-cased names without blanks."""
     return F.array_distinct(F.filter(F.transform(items, lambda x: F.lower(trimmed(x))), lambda x: x.isNotNull() & (x != "")))

@@ -225,11 +225,7 @@ HOW = {"average": "avg(score)", "median": "median(score)", "min": "min(score)",
 
 @query(f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT sample_id, '{k}' AS how, round({v}, 9) AS score FROM s GROUP BY sample_id" for k, v in HOW.items()))
 def aggregators(spark, d):
-    s, out = derived.scores_by_model(spark, d), None
-    for how in HOW:
-        one = _rounded(verdicts.over_models(s, how, 0.3)).select("sample_id", F.lit(how).alias("how"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _rounded(verdicts.over_models_by(derived.scores_by_model(spark, d), list(HOW), 0.3))
 
 
 @query(f"WITH {SCORES} SELECT sample_id, min(score) AS low, arg_min(model_id, (score, model_id)) AS low_model, max(score) AS high, arg_min(model_id, (-score, model_id)) AS high_model, round(avg(score), 9) AS mean, CASE WHEN avg(score) >= 0.9 THEN 'excellent' WHEN avg(score) >= 0.7 THEN 'good' WHEN avg(score) >= 0.5 THEN 'moderate' ELSE 'poor' END AS level FROM s GROUP BY sample_id")

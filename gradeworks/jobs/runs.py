@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gradeworks.functions import text as tx
 from gradeworks.jobs.judged import _CONV, MODELS, _docs, _log, _messages, _n, _reply, _rounded, _sql_prompt
 from gradeworks.jobs.queries import SQL, query
 from gradeworks.operators import embedding, goals, judging, outcomes, verdicts
@@ -193,5 +194,32 @@ def level_index(spark, d):
     return s.withColumn("level", verdicts.score_level_index(F.col("score")))
 
 
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zа-яё0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS sample_id, {_TOKENS} AS w, lower(text) AS t FROM documents WHERE text IS NOT NULL)
+    SELECT sample_id, greatest(len(w) - 2, 0) AS n_words, md5(array_to_string(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')), chr(30))) AS words_md5,
+        greatest(length(t) - 3, 0) AS n_chars, md5(array_to_string(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)), chr(30))) AS chars_md5 FROM t""")
+def text_ngrams(spark, d):
+    """Three words and four characters in a row, of every whole text."""
+    t = _docs(spark, d).where("text is not null")
+    w, c = tx.word_ngrams(tx.tokenize(F.col("text")), 3), tx.char_ngrams(F.col("text"), 4)
+    t = t.select("sample_id", w.alias("w"), c.alias("c"))
+    joined = {k: F.md5(F.array_join(k, "\x1e")) for k in "wc"}
+    return t.select("sample_id", F.size("w").cast("long").alias("n_words"), joined["w"].alias("words_md5"), F.size("c").cast("long").alias("n_chars"), joined["c"].alias("chars_md5"))
+
+
+@query("""WITH h AS (SELECT doc_id AS sample_id, coalesce(lang, '') AS lang, list_value(substr(text, 1, CAST(length(text) // 2 AS BIGINT)), substr(text, CAST(length(text) // 2 AS BIGINT) + 1)) AS c FROM documents WHERE text IS NOT NULL)
+    SELECT sample_id, md5(c[1] || chr(10) || chr(10) || c[2]) AS contexts_md5, '1. ' || lang || chr(10) || '2. ' || sample_id || chr(10) AS numbered, lang || chr(10) || sample_id AS plain FROM h""")
+def prompt_parts(spark, d):
+    """Contexts and statements as prompts hold them."""
+    n = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.substring(F.col("text"), F.lit(1), n), F.substring(F.col("text"), n + 1, F.length("text")))
+    items = F.array(F.coalesce("lang", F.lit("")), F.col("sample_id").cast("string"))
+    t = _docs(spark, d).where("text is not null")
+    parts = [judging.format_statements(items).alias("numbered"), judging.format_statements(items, False).alias("plain")]
+    return t.select("sample_id", F.md5(tx.join_contexts(halves, "\n\n")).alias("contexts_md5"), *parts)
+
+
 SQL["text_chunks"] = f"""SELECT doc_id AS sample_id, len(c) AS n_chunks, list_max(list_transform(c, lambda x: length(x))) AS longest, md5(array_to_string(c, chr(30))) AS chunks_md5
     FROM (SELECT doc_id, {_CHUNKS.format('text', 300)} AS c FROM documents)"""

@@ -117,9 +117,9 @@ def _scored(counts: DataFrame, score: Column, name: str, keep: tuple[str, ...] =
     return counts.select("sample_id", *keep, F.round(F.when(F.col("given"), score), 9).alias(name))
 
 
-def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True) -> DataFrame:
-    """BLEU with add-one smoothing of every order and brevity penalty; 0 if a side has no token."""
-    c = _counts(pairs, list(range(1, max_ngram + 1)))
+def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """BLEU with add-one smoothing of every order and brevity penalty, beside the columns ``keep``; 0 if a side has no token."""
+    c = _counts(pairs, list(range(1, max_ngram + 1)), keep)
     n, m = F.get("c", F.lit(0))["resp_total"], F.get("c", F.lit(0))["ref_total"]
     if smoothing:
         p = lambda o: F.when(o["resp_total"] == 0, 1 / (n + 1)).otherwise((o["overlap"] + 1) / (o["resp_total"] + 1))
@@ -129,7 +129,7 @@ def bleu(pairs: DataFrame, max_ngram: int = 4, smoothing: bool = True) -> DataFr
     logs = F.aggregate(F.filter("ps", lambda x: x > 0), F.lit(0.0), lambda s, x: s + F.log(x))
     penalty = F.when(n >= m, 1.0).otherwise(F.exp(1 - m / n))
     score = F.when((n == 0) | (m == 0) | ~F.exists("ps", lambda x: x > 0), 0.0).otherwise(F.least(F.lit(1.0), F.exp(logs / max_ngram) * penalty))
-    return _scored(ps, score, "bleu")
+    return _scored(ps, score, "bleu", keep)
 
 
 def rouge_n(pairs: DataFrame, n: int = 1, mode: str = "FMEASURE", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,11 +152,11 @@ def _mean_f(counts: str, beta: float) -> Column:
     return F.aggregate(F.transform(counts, f), F.lit(0.0), lambda s, x: s + x) / F.size(counts)
 
 
-def chrf(pairs: DataFrame, char_order: int = 6, word_order: int = 0, beta: float = 2.0) -> DataFrame:
+def chrf(pairs: DataFrame, char_order: int = 6, word_order: int = 0, beta: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mean F-beta over character n-grams; with word orders, the mean of that and of the word n-grams' mean."""
     response, reference = F.col("response"), F.col("reference")
     sides = [overlap_counts(response, reference, list(range(1, char_order + 1)), "char").alias("c")]
     if word_order:
         sides.append(overlap_counts(response, reference, list(range(1, word_order + 1)), "word").alias("w"))
-    c = pairs.select("sample_id", _given().alias("given"), *sides)
-    return _scored(c, (_mean_f("c", beta) + _mean_f("w", beta)) / 2 if word_order else _mean_f("c", beta), "chrf")
+    c = pairs.select("sample_id", *keep, _given().alias("given"), *sides)
+    return _scored(c, (_mean_f("c", beta) + _mean_f("w", beta)) / 2 if word_order else _mean_f("c", beta), "chrf", keep)

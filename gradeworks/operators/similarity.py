@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,27 +18,79 @@ def _both(a: Column, b: Column, score: Column) -> Column:
 
 
 def levenshtein_similarity(a: Column, b: Column, case_sensitive: bool = False) -> Column:
+    """By the built-in distance, whose time grows with the product of the lengths; ``levenshtein_of_texts`` is for whole documents."""
     a, b = (a, b) if case_sensitive else (F.lower(a), F.lower(b))
     return _both(a, b, 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def levenshtein(a: str, b: str, most: int | None = None) -> int | None:
+    """Edit distance, a bit for each character of the shorter text; None as soon as it must exceed ``most``."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if most is not None and len(b) - len(a) > most:
+        return None
+    if not a:
+        return len(b)
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    equal = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+    m = len(a)
+    full, top = (1 << m) - 1, m - 1
+    up, down, far = full, 0, m  # where the next row's cell is one more, or less, than this one's
+    for i, c in enumerate(b):
+        eq = equal.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(across | up)), up & across
+        far += (more >> top & 1) - (less >> top & 1)
+        if most is not None and far - (len(b) - i - 1) > most:
+            return None
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        diagonal = eq | down
+        up, down = less | (full & ~(diagonal | more)), more & diagonal
+    return far
+
+
+def levenshtein_of_texts(a: Column, b: Column, case_sensitive: bool = False, least: float = 0.0) -> Column:
+    """``levenshtein_similarity`` of long texts, bit-parallel; null for a similarity below ``least``, which ends the work early."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(x, y, strict=True):
+            n = max(len(s), len(t)) if s and t else 0
+            d = levenshtein(s, t, math.floor(n * (1 - least) + 1e-9)) if n else None
+            out.append(None if d is None else 1 - d / n)
+        return pd.Series(out, dtype="float64")
+
+    return run(*((a, b) if case_sensitive else (F.lower(a), F.lower(b))))
+
+
 def hamming_similarity(a: Column, b: Column, case_sensitive: bool = False) -> Column:
-    """The shorter string is padded with spaces on the right."""
+    """The shorter string is padded with spaces on the right. Both are split once."""
     a, b = (a, b) if case_sensitive else (F.lower(a), F.lower(b))
     n = F.greatest(F.length(a), F.length(b))
-    chars = lambda x: F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.rpad(x, n, F.lit(" ")), i, F.lit(1)))
-    differ = F.size(F.filter(F.zip_with(chars(a), chars(b), lambda x, y: x != y), lambda x: x))
-    return _both(a, b, 1 - differ / n)
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x, F.lit(" ")) != F.coalesce(y, F.lit(" ")))
+    return _both(a, b, 1 - F.size(F.filter(differ, lambda x: x)) / n)
 
 
 def _matches(s: str, t: str, reach: int) -> tuple[str, str]:
-    free, left = [True] * len(t), []
+    """Characters of ``s`` and of ``t`` that match, each in its order: the earliest free one within ``reach``.
+
+    The window only moves on, so each character's places in ``t`` are passed once.
+    """
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(t):
+        places.setdefault(c, []).append(j)
+    at, free, left = dict.fromkeys(places, 0), bytearray(b"\1") * len(t), []
     for i, c in enumerate(s):
-        for j in range(max(0, i - reach), min(len(t), i + reach + 1)):
-            if free[j] and t[j] == c:
-                free[j] = False
+        own = places.get(c)
+        if own:
+            k = at[c]
+            while k < len(own) and own[k] < i - reach:
+                k += 1
+            if k < len(own) and own[k] <= i + reach:
+                free[own[k]] = 0
                 left.append(c)
-                break
+                k += 1
+            at[c] = k
     return "".join(left), "".join(c for c, f in zip(t, free, strict=True) if not f)
 
 

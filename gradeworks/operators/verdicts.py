@@ -235,15 +235,26 @@ def topic_adherence(t: DataFrame, topics: DataFrame, mode: str = "F1", calls: Da
     return g.select(*KEY, {"F1": f, "PRECISION": p, "RECALL": r}[mode].cast("double").alias("score"))
 
 
+def _ways(tolerance: float) -> dict[str, Column]:
+    s = F.col("score")
+    votes = F.sum((s >= 0.5).cast("int"))
+    return {"average": F.avg(s), "median": F.median(s), "min": F.min(s), "max": F.max(s), "majority_voting": (votes * 2 > F.count(s)).cast("double"), "consensus": F.when(_agree(tolerance), F.avg(s))}
+
+
 def over_models(scores: DataFrame, how: str | Callable[[Column], Column] = "average", tolerance: float = 0.1) -> DataFrame:
     """One score per sample: average, median, min, max, majority_voting, consensus, or any aggregate of the score column.
 
     Null scores are left out. consensus is null where models differ by more than the tolerance, see ``consensus``.
     """
-    s = F.col("score")
-    votes = F.sum((s >= 0.5).cast("int"))
-    known = {"average": F.avg(s), "median": F.median(s), "min": F.min(s), "max": F.max(s), "majority_voting": (votes * 2 > F.count(s)).cast("double"), "consensus": F.when(_agree(tolerance), F.avg(s))}
-    return scores.groupBy("sample_id").agg((how(s) if callable(how) else known[how]).alias("score"))
+    return scores.groupBy("sample_id").agg((how(F.col("score")) if callable(how) else _ways(tolerance)[how]).alias("score"))
+
+
+def over_models_by(scores: DataFrame, hows: list[str], tolerance: float = 0.1) -> DataFrame:
+    """sample_id, how, score: ``over_models`` in several ways, from one pass over ``scores``."""
+    ways = _ways(tolerance)
+    one = scores.groupBy("sample_id").agg(*[ways[h].alias(f"_{h}") for h in hows])
+    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("how"), F.col(f"_{h}").cast("double").alias("score")) for h in hows])).alias("s")
+    return one.select("sample_id", rows).select("sample_id", "s.*")
 
 
 def _agree(tolerance: float) -> Column:

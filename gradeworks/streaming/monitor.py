@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.operators import overlap, verdicts
+from gradeworks.operators import overlap, similarity, verdicts
 from gradeworks.sources.shared import new_folder
 
 
@@ -22,6 +22,37 @@ def scored(pairs: DataFrame) -> DataFrame:
     return overlap.rouge_n(pairs, 1)
 
 
+#: The scores that need no judge, by metric.
+DETERMINISTIC = {
+    "rouge1": lambda p, keep: overlap.rouge_n(p, 1, keep=keep).withColumnRenamed("rouge", "score"),
+    "rouge2": lambda p, keep: overlap.rouge_n(p, 2, keep=keep).withColumnRenamed("rouge", "score"),
+    "bleu": lambda p, keep: overlap.bleu(p, keep=keep).withColumnRenamed("bleu", "score"),
+    "chrf": lambda p, keep: overlap.chrf(p, keep=keep).withColumnRenamed("chrf", "score"),
+    "rouge_l": lambda p, keep: p.select("sample_id", *keep, F.round(similarity.rouge_l(F.col("response"), F.col("reference")), 9).alias("score")),
+    **{
+        name: lambda p, keep, f=f: p.select("sample_id", *keep, F.round(f(F.col("response"), F.col("reference")), 9).alias("score"))
+        for name, f in (("levenshtein", similarity.levenshtein_of_texts), ("hamming", similarity.hamming_similarity), ("jaro", similarity.jaro_similarity), ("jaro_winkler", similarity.jaro_winkler_similarity))
+    },
+    "groundedness": lambda p, keep: p.select("sample_id", *keep, F.round(verdicts.groundedness_shortcut(F.col("response"), F.array("reference")), 9).alias("score")),
+}
+
+
+def scores(pairs: DataFrame, metrics: list[str]) -> DataFrame:
+    """sample_id, the other columns of ``pairs`` but its texts, metric, score: a row per pair and metric of DETERMINISTIC, without state.
+
+    Each pair's texts pass through the metrics one after the other and are then dropped, so a stream is read once. A
+    null score means that the metric says nothing: a side is missing, or for groundedness a judge is needed.
+    """
+    keep = tuple(c for c in pairs.columns if c not in ("sample_id", "metric", "score"))
+    out, made = pairs.select("sample_id", *keep), []
+    for m in metrics:
+        out = DETERMINISTIC[m](out, (*keep, *made)).withColumnRenamed("score", f"_{m}")
+        made.append(f"_{m}")
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_{m}").cast("double").alias("score")) for m in metrics])).alias("s")
+    rest = [c for c in keep if c not in ("response", "reference")]
+    return out.select("sample_id", *rest, rows).select("sample_id", *rest, "s.metric", "s.score")
+
+
 def score_alerts(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Scores (sample_id, metric, score) below their metric's limit, as they come."""
     return verdicts.alerts(scores, thresholds)
