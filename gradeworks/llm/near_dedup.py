@@ -20,6 +20,8 @@ BANDS, ROWS = 25, 5
 STEP, RATE, LARGEST = 1.02, 20.0, 65534
 #: Sets, and shingles in them, in a block of those that are tested against each other.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
+#: Sets in a list of the index whose pairs are tested one by one; longer lists are cut into blocks.
+LIST = 64
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 
 
@@ -151,6 +153,55 @@ def _crossed(percent: int):
     return run
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()]
+        for i in range(0, len(sets), 64):  # some sets at a time
+            size = np.array([len(s) for s in sets[i : i + 64]])
+            own = [np.repeat(batch.column(c).slice(i, 64).to_numpy(), size) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(np.concatenate(sets[i : i + 64]))], ["id", "n", "shingle"])
+
+
+def _prefixes(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, shingle, probe): an index of ``some`` sets (id, n) in which every two that are similar enough share a shingle that one of them probes.
+
+    In an order of all shingles by rarity, the first one that two sets share has at least as many shingles of each
+    set from there on as the two have in common. The smaller set, of n shingles, shares 2tn/(1+t) at least and
+    probes those before; the larger one, of m, shares tm at least and lists those before. A shingle of one set
+    alone comes first and is listed nowhere, so a set made of a common template and enough words of its own lists none.
+    """
+    rows = some.join(sets, "id").select("id", "n", "set").mapInArrow(_shingled, "id long, n long, shingle long")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("df", F.col("rows"))
+    total = some.agg(F.sum("n")).first()[0]
+    shared = join_counted(rows, counts, ["shingle"], total)
+    lists = shared.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    lists = lists.where(F.col("k") * 100 >= F.col("n") * percent)
+    long = F.col("k") + 1 - F.ceil(F.col("n") * percent / 100 - 1e-9)
+    short = F.col("k") + 1 - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - 1e-9)
+    first = lists.select("id", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("at", "e"))
+    return first.select("id", F.col("e.shingle").alias("shingle"), (F.col("at") < F.col("short")).alias("probe"))
+
+
+def _grid(apart: DataFrame, nodes: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between groups of ``apart`` (id, comp, band and its centre), by blocks of about BLOCK sets that share a band."""
+    cluster = components(apart.select(F.col("id").alias("a"), F.col("centre").alias("b"))).select("id", F.col("comp").alias("cluster"))
+    rest = cut(apart.select("id", "comp").distinct().join(cluster, "id").join(nodes.select("id", "n"), "id"))
+    blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    sizes = rest.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("length"))
+    sizes = sizes.withColumn("own", (F.col("size") >= BLOCK) | (F.col("length") >= BLOCK_SHINGLES))
+    few = sizes.where("not own").groupBy("cluster").agg(blocks(F.sum("size"), F.sum("length")).alias("few"))
+    many = rest.join(sizes, ["cluster", "comp"]).join(few, "cluster", "left")
+    block = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("id"), blocks(F.col("size"), F.col("length"))))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("comp"), F.col("few"))))
+    placed = cut(many.select("id", "comp", F.when(F.col("own"), F.col("comp")).alias("pure"), block.alias("block")))
+    packs = cut(placed.join(sketches, "id").join(sets, "id").groupBy("block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "set")).alias("pack")))
+    met = cut(apart.select("id", "band").join(placed.select("id", "pure", "block"), "id").groupBy("band", "block").agg(F.first("pure").alias("pure")))
+    grid = met.select("band", F.col("block").alias("x"), F.col("pure").alias("p")).join(met.select("band", F.col("block").alias("y"), F.col("pure").alias("q")), "band")
+    grid = grid.where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("x", "y").distinct()
+    for x in "xy":
+        grid = grid.join(packs.select(F.col("block").alias(x), F.col("pack").alias(f"pack_{x}")), x)
+    return cut(grid.select("pack_x", "pack_y").mapInArrow(_crossed(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least ``percent`` / 100 of their 5-word shingle sets.
 
@@ -158,9 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
     The graph's nodes are the distinct sets; rows that repeat a doc_id with different texts link their sets.
     Sets that share a band of SetSketch registers are candidates: they are
     tested against a centre of their band first: the smallest id, then the one that shares most bands, then
-    any. What those links leave apart within a band is cut into blocks of about BLOCK sets, and blocks that
-    share a band are tested against each other, so no candidate link between groups is left untested and none
-    within a group is needed. Tested means: a plausible joint likelihood of the sketches, then the full sets.
+    any. What those links leave apart within a band goes into an index of rare shingles (``_prefixes``), in which similar sets
+    must meet: texts of one template don't, however many they are. Sets of short lists are tested pair by pair, long
+    lists are cut into blocks of about BLOCK sets and blocks that share a list are tested against each other, so no
+    candidate link between groups is left untested and none within a group is needed. Tested means: a plausible
+    joint likelihood of the sketches, then the full sets.
 
     Null and empty texts (and those of white space only): n_shingles 0, linked with nothing, kept. Rows
     without doc_id take part; their component_id is the smallest doc_id linked, else null, and they are kept
@@ -213,28 +266,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
             links = new if links is None else links.union(new)
             comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
     member = shared.join(comp, "id")
-    mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("centre")).where("lo <> hi").select("band", "centre")
-    apart = cut(member.join(mixed, "band").select("id", "comp", "centre", "band"))
-    if not apart.isEmpty():
-        cluster = components(apart.select(F.col("id").alias("a"), F.col("centre").alias("b"))).select("id", F.col("comp").alias("cluster"))
-        rest = cut(apart.select("id", "comp").distinct().join(cluster, "id").join(nodes.select("id", "n"), "id"))
-        blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES))
-        sizes = rest.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("length"))
-        sizes = sizes.withColumn("own", (F.col("size") >= BLOCK) | (F.col("length") >= BLOCK_SHINGLES))
-        few = sizes.where("not own").groupBy("cluster").agg(blocks(F.sum("size"), F.sum("length")).alias("few"))
-        many = rest.join(sizes, ["cluster", "comp"]).join(few, "cluster", "left")
-        block = F.when(F.col("own"), F.xxhash64("comp", F.pmod(F.xxhash64("id"), blocks(F.col("size"), F.col("length"))))).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("comp"), F.col("few"))))
-        placed = cut(many.select("id", "comp", F.when(F.col("own"), F.col("comp")).alias("pure"), block.alias("block")))
-        packs = cut(placed.join(sketches, "id").join(sets, "id").groupBy("block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch", "set")).alias("pack")))
-        met = cut(apart.select("id", "band").join(placed.select("id", "pure", "block"), "id").groupBy("band", "block").agg(F.first("pure").alias("pure")))
-        grid = met.select("band", F.col("block").alias("x"), F.col("pure").alias("p")).join(met.select("band", F.col("block").alias("y"), F.col("pure").alias("q")), "band")
-        grid = grid.where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("p") == F.col("q"), F.lit(False))).select("x", "y").distinct()
-        for x in "xy":
-            grid = grid.join(packs.select(F.col("block").alias(x), F.col("pack").alias(f"pack_{x}")), x)
-        new = cut(grid.select("pack_x", "pack_y").mapInArrow(_crossed(percent), "a long, b long"))
+    mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    ids_apart = cut(member.join(mixed.select("band"), "band").select("id").distinct())
+    entries = cut(_prefixes(ids_apart.join(nodes.select("id", "n"), "id"), sets, percent)) if not ids_apart.isEmpty() else None
+    if entries is not None and not entries.isEmpty():
+        long = F.col("members") > LIST
+        by_list = entries.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
+        listed = entries.join(by_list, "shingle").join(comp, "id")
+        # short lists: those that probe meet the others
+        few = listed.where(~long)
+        probe, other = few.where("probe").select("shingle", F.col("id").alias("p"), F.col("comp").alias("pc")), few.select("shingle", F.col("id").alias("q"), F.col("comp").alias("qc"))
+        pairs = probe.join(other, "shingle").where("pc <> qc").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        new = cut(verified(pairs))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+        member = entries.join(by_list.where(long).select("shingle"), "shingle").join(comp, "id").withColumnRenamed("shingle", "band")
+        mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("centre"), F.max("probe").alias("probe")).where("lo <> hi and probe").select("band", "centre")
+        apart = cut(member.join(mixed, "band").select("id", "comp", "centre", "band"))
+        new = _grid(apart, nodes, sketches, sets, percent) if not apart.isEmpty() else None
+        if new is not None and not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
     if several_texts:  # sets that one document links may share no band, so they have no component yet
         comp = components(links)
     of = cut(nodes.join(comp, "id", "left").select("id", "rows", "doc", F.coalesce("comp", "id").alias("comp")))

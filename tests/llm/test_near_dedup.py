@@ -100,3 +100,59 @@ def test_repeated_ids_and_changed_texts(spark):
     assert sorted(c for d, c in got if d == 9) == [8, 9, 9]
     more = spark.createDataFrame([(i, a if i % 3 else a + f" z{i}") for i in range(600)], "doc_id long, text string")
     assert {c for _, c in rows(nd.near_duplicates(more), "doc_id", "component_id")} == {0}
+
+
+def templates(r, n, own):
+    """Texts of two templates with words of their own, some of them near each other."""
+    heads = [[f"h{k}x{i}" for i in range(90)] for k in range(2)]
+    texts = []
+    for _ in range(n):
+        w = heads[r.randrange(2)] + [f"w{r.randrange(own)}" for _ in range(20)]
+        texts.append(" ".join(w))
+        if r.random() < 0.3:
+            w[r.randrange(90)] = "x"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_templates_against_all_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    for own, most in ((10**6, 64), (12, 64), (12, 1)):
+        monkeypatch.setattr(nd, "LIST", most)  # with 1, every list goes by blocks
+        texts = templates(r, 60, own)
+        got = rows(nd.near_duplicates(table(spark, texts), 85), "doc_id", "n_shingles", "component_id", "kept")
+        assert got == brute(list(enumerate(texts)), 85)
+
+
+def test_index_holds_every_similar_pair(spark):
+    r = random.Random(4)
+    made = []
+    for _ in range(60):
+        base = set(r.sample(range(400), r.randrange(5, 80)))
+        made.append(base)
+        for _ in range(3):
+            made.append((base | set(r.sample(range(400), r.randrange(0, 8)))) - set(r.sample(sorted(base), r.randrange(0, min(8, len(base))))))
+    made = [np.array(sorted(s), np.int64) for s in {frozenset(m) for m in made} if s]
+    sets = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(made)], "id long, set binary")
+    some = spark.createDataFrame([(i, len(s)) for i, s in enumerate(made)], "id long, n long")
+    lists = {}
+    for e in nd._prefixes(some, sets, 85).collect():
+        lists.setdefault(e.shingle, []).append((e.id, e.probe))
+    met = {frozenset((a, b)) for own in lists.values() for a, p in own for b, q in own if a != b and (p or q)}
+    n_links = 0
+    for i, a in enumerate(made):
+        for j in range(i):
+            c = len(np.intersect1d(a, made[j]))
+            if 100 * c >= 85 * (len(a) + len(made[j]) - c):
+                n_links += 1
+                assert frozenset((i, j)) in met
+    assert n_links > 20 and len(met) < len(made) ** 2 / 4
+
+
+def test_template_texts_list_nothing(spark):
+    r = random.Random(5)
+    head = " ".join(f"h{i}" for i in range(90))
+    texts = [f"{head} " + " ".join(f"w{r.randrange(10**9)}" for _ in range(20)) for _ in range(300)]
+    sets = table(spark, texts).selectExpr("cast(text as binary) as text").mapInArrow(nd._sets, "id long, set binary")
+    some = sets.selectExpr("id", "cast(length(set) / 8 as long) as n")
+    assert nd._prefixes(some, sets, 85).count() == 0
