@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import os
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,47 +135,120 @@ def audit(records: DataFrame, replica: DataFrame, fan: int = WIDE) -> DataFrame:
     return same.select(*cols).union(hurt.select(*cols))
 
 
-def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write ``record`` (binary) of each row as a gzip member of WARC files in ``folder``, which all executors share; (file, n_records, n_bytes).
+def write_warc(records: DataFrame, folder: str, compression: str = "none") -> None:
+    """Write ``record`` (binary) of each row to files in ``folder``, by Spark's writer, so on any file system and committed as a whole.
 
-    A task writes under a name of its own and renames it at its end, so a task that runs again leaves one file.
+    A record ends with a line end, as WARC records do; to others one is added, and null ones count as empty. With the
+    compression ``gzip`` a file is one member of many records. An existing folder is an error; an empty table leaves
+    a folder without records.
     """
-    os.makedirs(folder, exist_ok=True)
+    body = F.coalesce(F.col("record").cast("binary"), F.lit(b""))
+    ended = F.substring(body, -2, 2) == F.lit(b"\r\n")
+    text = F.when(ended, F.substring(body, F.lit(1), F.octet_length(body) - 2)).otherwise(body)
+    # the text writer puts the bytes of a string down as they are and ends each with the line end
+    records.select(text.cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", compression).text(folder)
+
+
+#: Where a record may begin after a damaged one, and a gzip member.
+START, MEMBER = b"\r\n\r\nWARC/1.", b"\x1f\x8b\x08"
+#: Bytes that are decompressed at a time where a member is damaged, and of records in a batch.
+STEP, FULL = 1 << 14, 1 << 22
+
+
+def _inflated(content: bytes, at: int) -> tuple[bytes, int, bool]:
+    """The bytes of the gzip member at a place, where the next one begins, and whether it is undamaged."""
+    member = zlib.decompressobj(31)
+    try:
+        raw = member.decompress(content[at:])
+        if member.eof:
+            return raw, len(content) - len(member.unused_data), True
+    except zlib.error:
+        member, some = zlib.decompressobj(31), []
+        try:
+            for i in range(at, len(content), STEP):
+                some.append(member.decompress(content[i : i + STEP]))
+        except zlib.error:
+            pass
+        raw = b"".join(some)
+    after = content.find(MEMBER, at + 1)
+    while after >= 0:  # the next place where a member with a record begins
+        try:
+            if zlib.decompressobj(31).decompress(content[after : after + STEP], 5) == b"WARC/":
+                return raw, after, False
+        except zlib.error:
+            pass
+        after = content.find(MEMBER, after + 1)
+    return raw, len(content), False
+
+
+def _records(raw: bytes, whole: bool) -> Iterator[tuple[int, str | None, bytes, bytes, bool]]:
+    """(place, url, body, record, whole) of each record in ``raw``; after one whose length is wrong it goes on where the next one begins."""
+    at = 0
+    while at < len(raw):
+        head, found, rest = raw[at : at + (1 << 16)].partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+        n = fields.get("Content-Length", "").strip()
+        body = at + len(head) + 4
+        end = body + int(n) + 4 if found and n.isdecimal() and len(n) < 16 else -1
+        good = end >= 0 and raw[end - 4 : end] == b"\r\n\r\n" and raw[at : at + 7] == b"WARC/1."
+        if not good:
+            after = raw.find(START, at)
+            end = len(raw) if after < 0 else after + 4
+        yield at, fields.get("WARC-Target-URI"), raw[body : end - 4 if good else end], raw[at:end], good and (whole or end < len(raw))
+        at = end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        path, n = f"{folder}/part-{task.partitionId():05d}.warc.gz", 0
-        with open(f"{path}.{task.taskAttemptId()}", "wb") as f:
-            for batch in batches:
-                for r in batch.column(0).to_pylist():
-                    f.write(gzip.compress(r or b"", mtime=0))
-                    n += 1
-            size = f.tell()
-        os.replace(f"{path}.{task.taskAttemptId()}", path)
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "n_records", "n_bytes"])
 
-    return cut(records.select("record").mapInArrow(run, "file string, n_records long, n_bytes long"))
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each file, some megabytes in a batch."""
+    names = ["file", "offset", "place", "size", "url", "body", "record", "whole"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
+    rows, held = [], 0
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each gzip member of each file: offset, bytes, and what its header says."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             left, at = content.as_py(), 0
-            while left:
-                member = zlib.decompressobj(31)
-                raw = member.decompress(left)
-                size = len(left) - len(member.unused_data)
-                head, _, rest = raw.partition(b"\r\n\r\n")
-                fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-                n = int(fields.get("Content-Length", len(rest)))
-                one = [path, at, size, fields.get("WARC-Target-URI"), rest[:n], raw, len(rest) == n + 4]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types, strict=True)], ["file", "offset", "size", "url", "body", "record", "whole"])
-                left, at = member.unused_data, at + size
+            while at < len(left):
+                packed = left[at : at + 3] == MEMBER
+                raw, end, fine = _inflated(left, at) if packed else (left[at:], len(left), True)
+                if packed and not raw:
+                    rows.append((path, at, 0, end - at, None, b"", b"", False))
+                for place, url, body, one, whole in _records(raw, fine):
+                    rows.append((path, at, place, end - at, url, body, one, whole) if packed else (path, at + place, 0, len(one), url, body, one, whole))
+                    held += len(one)
+                    if held > FULL:
+                        yield out()
+                        rows, held = [], 0
+                at = end
+    if rows:
+        yield out()
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, offset, size, url, body, record, whole) of each record in the WARC files of ``folder``; a file is read by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("path", "content").mapInArrow(_members, "file string, offset long, size long, url string, body binary, record binary, whole boolean")
+    """(file, offset, place, size, url, body, record, whole) of each record in the WARC files of ``folder``, packed by gzip or not.
+
+    offset and size are those of the record's gzip member in the file, and place is where it begins within; unpacked,
+    they are those of the record. A damaged member gives what can be read of it, with ``whole`` false, and reading
+    goes on at the next one; so does a record whose length isn't what its header says. Several records in a
+    member are told apart. Files are read through Spark, each by one task and of two gigabytes at most; names that begin
+    with _ or . are no data. A folder without files gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(folder)
+    return files.select("path", "content").mapInArrow(_members, "file string, offset long, place long, size long, url string, body binary, record binary, whole boolean")
+
+
+def audit_files(spark: SparkSession, folder: str, replica: str) -> DataFrame:
+    """``audit`` of the WARC files of two folders, by url: url, state, file, offset, place, whole of each record.
+
+    The place is that in ``folder``, of added records that in the replica. Records that repeat url and bytes share the first
+    one's place. A url that is damaged itself makes a missing record and an added one.
+    """
+    sides = [read_warc(spark, f).withColumn("key", F.shiftright(F.xxhash64(F.coalesce("url", F.lit(""))), 2)) for f in (folder, replica)]
+    found = audit(*[x.select("key", "record") for x in sides])
+    where = F.min(F.struct("file", "offset", "place", "whole", "url")).alias("w")
+    places = [x.groupBy("key", F.sha2("record", 256).alias("digest")).agg(where).withColumn("replica", F.lit(r)) for x, r in zip(sides, (False, True), strict=True)]
+    at = places[0].union(places[1])
+    rows = found.select("key", "digest", "state", (F.col("state") == "added").alias("replica")).join(at, ["key", "digest", "replica"])
+    return rows.select("w.url", "state", "w.file", "w.offset", "w.place", "w.whole")

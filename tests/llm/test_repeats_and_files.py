@@ -1,6 +1,9 @@
+import gzip
 import hashlib
+import pathlib
 import random
 import re
+import shutil
 import time
 import zlib
 from collections import defaultdict
@@ -87,12 +90,66 @@ def test_lost_record_touches_only_nodes_above_it(spark):
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}" if i else None, "é" * i if i != 4 else None) for i in range(40)], "key long, url string, html string").repartition(3)
     made = pages.select("key", fixity.record(F.col("url"), F.col("html")).alias("record"))
-    files = fixity.write_warc(made, str(tmp_path / "warc")).collect()
-    assert sum(f.n_records for f in files) == 40
-    back = fixity.read_warc(spark, str(tmp_path / "warc"))
-    assert rows(back.select("record")) == rows(made.select("record"))
-    assert all(r.whole for r in back.collect())
-    assert {(r.url, r.body.decode()) for r in back.collect()} == {("" if not i else f"http://x/{i}", "" if i == 4 else "é" * i) for i in range(40)}
+    for how in ("none", "gzip"):
+        folder = str(tmp_path / f"warc-{how}")
+        fixity.write_warc(made, folder, how)
+        back = fixity.read_warc(spark, folder)
+        assert rows(back.select("record")) == rows(made.select("record"))
+        assert all(r.whole for r in back.collect())
+        assert {(r.url, r.body.decode()) for r in back.collect()} == {("" if not i else f"http://x/{i}", "" if i == 4 else "é" * i) for i in range(40)}
+    for r in fixity.read_warc(spark, str(tmp_path / "warc-none")).collect():
+        assert pathlib.Path(r.file.removeprefix("file:")).read_bytes()[r.offset : r.offset + r.size] == r.record
+    odd_bytes = spark.createDataFrame([(bytes(range(256)),), (b"",), (None,), (b"no end",)], "record binary")
+    fixity.write_warc(odd_bytes.coalesce(1), str(tmp_path / "odd"))
+    assert b"".join(sorted(p.read_bytes() for p in (tmp_path / "odd").glob("part*"))) == bytes(range(256)) + b"\r\n" + b"\r\n" * 2 + b"no end\r\n"
+    fixity.write_warc(made.limit(0), str(tmp_path / "empty"))
+    assert fixity.read_warc(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_damaged_warc_files(spark, tmp_path):
+    one = lambda i, n=None: f"WARC/1.1\r\nWARC-Target-URI: u{i}\r\nContent-Length: {len(f'body {i}') if n is None else n}\r\n\r\nbody {i}\r\n\r\n".encode()
+    members = [gzip.compress(one(i), mtime=0) for i in range(10)]
+    hurt = bytearray(b"".join(members))
+    at = [sum(map(len, members[:i])) for i in range(10)]
+    hurt[at[3] + len(members[3]) // 2] ^= 16  # one bit in the middle of a member
+    hurt[at[6] - 6] ^= 1  # in the check sum of another one
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/bits.warc.gz").write_bytes(bytes(hurt))
+    (tmp_path / "w/cut.warc.gz").write_bytes(b"".join(members[:5])[:-9])
+    (tmp_path / "w/many.warc.gz").write_bytes(gzip.compress(b"".join(one(i) for i in range(50)), mtime=0))
+    (tmp_path / "w/lengths.warc").write_bytes(one(0) + one(1, 3) + one(2, 10**6) + one(3, "x") + one(4))
+    (tmp_path / "w/none.warc.gz").write_bytes(b"")
+    (tmp_path / "w/noise.warc.gz").write_bytes(b"\x1f\x8b\x08 noise")
+    got = {}
+    for r in fixity.read_warc(spark, str(tmp_path / "w")).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+    whole = lambda name: [r.url for r in sorted(got[name], key=lambda r: (r.offset, r.place)) if r.whole]
+    assert whole("bits.warc.gz") == [f"u{i}" for i in range(10) if i not in (3, 5)]
+    assert sorted({r.offset for r in got["bits.warc.gz"] if not r.whole}) == [at[3], at[5]]
+    assert whole("cut.warc.gz") == [f"u{i}" for i in range(4)]
+    assert whole("many.warc.gz") == [f"u{i}" for i in range(50)]
+    assert whole("lengths.warc") == ["u0", "u4"] and len(got["lengths.warc"]) == 5
+    assert "none.warc.gz" not in got and [r.whole for r in got["noise.warc.gz"]] == [False]
+
+
+def test_audit_of_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"text {i}") for i in range(60)], "key long, url string, html string").repartition(3, "key")
+    made = pages.select("key", fixity.record(F.col("url"), F.col("html")).alias("record"))
+    fixity.write_warc(made, str(tmp_path / "a"))
+    shutil.copytree(tmp_path / "a", tmp_path / "b", ignore=shutil.ignore_patterns(".*"))
+    files = sorted((tmp_path / "b").glob("part*"))
+    raw = bytearray(files[0].read_bytes())
+    hit = raw.index(b"text ")
+    raw[hit] ^= 1
+    files[0].write_bytes(bytes(raw))
+    lost = files[1].read_bytes()
+    first = lost.index(b"WARC/1.1", 1)
+    files[1].write_bytes(lost[first:])
+    got = fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).where("state <> 'intact'").collect()
+    want = {(files[0].name, "altered"), (files[1].name, "missing")}
+    assert {(r.file.rsplit("/", 1)[1], r.state) for r in got} == want
+    assert {r.state: r.offset for r in got}["missing"] == 0 and {r.state: r.offset for r in got}["altered"] < hit
+    assert fixity.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).count() == 60
 
 
 def test_secrets_link_parts(spark):
