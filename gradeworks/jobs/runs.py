@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradeworks.functions import text as tx
 from gradeworks.jobs.judged import _CONV, MODELS, _docs, _log, _messages, _n, _reply, _rounded, _sql_prompt
 from gradeworks.jobs.queries import SQL, query
-from gradeworks.operators import embedding, goals, judging, outcomes, verdicts
+from gradeworks.operators import embedding, goals, judging, metrics, outcomes, verdicts
 from gradeworks.sources import derived, tables
 from gradeworks.sources.shared import new_folder
 
@@ -221,5 +221,53 @@ def prompt_parts(spark, d):
     return t.select("sample_id", F.md5(tx.join_contexts(halves, "\n\n")).alias("contexts_md5"), *parts)
 
 
+_WORDS = "unnest(string_split({0}, ' '))"
+
+
+@query(f"""WITH h AS (SELECT doc_id, lang, text, CAST(length(text) // 2 AS BIGINT) AS k FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT coalesce(lang, '') AS sample_id, 'm' || doc_id % 2 AS model_id, {_WORDS.format("substr(text, 1, k)")} AS e, 1 AS r FROM h UNION ALL SELECT coalesce(lang, ''), 'm' || doc_id % 2, {_WORDS.format("substr(text, k + 1)")}, 0 FROM h),
+    n AS (SELECT sample_id, model_id, lower(regexp_replace(e, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS e, max(r) AS r, max(1 - r) AS c FROM e GROUP BY ALL)
+    SELECT sample_id, model_id, round(CASE WHEN sum(r) > 0 THEN sum(r * c) / sum(r) ELSE 0 END, 9) AS score, CAST(sum(r) - sum(r * c) AS BIGINT) AS n_missing FROM n WHERE e <> '' GROUP BY ALL""")
+def entity_recall_large(spark, d):
+    """All words of all first halves of a language's texts as the reference's names, those of the second halves as the context's."""
+    t = derived.table(spark, d, "documents").where("text is not null")
+    n = F.floor(F.length("text") / 2).cast("int")
+    side = lambda s, x: F.struct(F.lit(s).alias("side"), F.split(x, " ").alias("w"))
+    halves = F.explode(F.array(side("reference", F.substring(F.col("text"), F.lit(1), n)), side("context", F.substring(F.col("text"), n + 1, F.length("text")))))
+    e = t.select(F.coalesce("lang", F.lit("")).alias("sample_id"), F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model_id"), halves.alias("h"))
+    e = e.select("sample_id", "model_id", "h.side", F.explode("h.w").alias("entity"))
+    return _rounded(verdicts.entity_recall_of_rows(verdicts.entity_flags(e)))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS sample_id, lang, CASE WHEN doc_id % 6 > 0 THEN text END AS response FROM documents),
+    q AS (SELECT sample_id, 'm' || pos AS model_id, it, 'How short is this ' || coalesce(lang, '') || ' text?' || chr(10) || response AS p FROM d, (SELECT unnest(range(3)) AS pos), (SELECT unnest(range(2)) AS it) WHERE length(response) > 0),
+    n AS (SELECT *, {_n('p')} AS n FROM q), g AS (SELECT sample_id, model_id, avg((n % 11) / 10.0) AS s FROM n WHERE n % 13 <> 0 AND n % 17 <> 0 GROUP BY ALL), b AS (SELECT sample_id, median(s) AS s FROM g GROUP BY sample_id),
+    a AS (SELECT sample_id, avg(CASE WHEN n % 7 > 0 THEN 1.0 ELSE 0.0 END) AS s FROM (SELECT *, {_n('p')} AS n FROM (SELECT sample_id, 'm' || pos AS model_id, {_sql_prompt('aspect', definition="'plain'", user_input="coalesce(lang, '')", response="coalesce(response, '')")} AS p FROM d, (SELECT unnest(range(3)) AS pos))) WHERE n % 13 <> 0 AND n % 17 <> 0 GROUP BY sample_id)
+    SELECT d.sample_id, 'brevity' AS metric, CASE WHEN coalesce(response, '') = '' THEN 0.0 ELSE round(b.s, 9) END AS score, CASE WHEN coalesce(response, '') = '' THEN 'ZERO_INPUT' WHEN b.s IS NULL THEN 'FAILED' ELSE 'OK' END AS status FROM d LEFT JOIN b USING (sample_id)
+    UNION ALL SELECT d.sample_id, 'plain', round(a.s, 9), CASE WHEN a.s IS NULL THEN 'FAILED' ELSE 'OK' END FROM d LEFT JOIN a USING (sample_id)""")
+def own_metrics(spark, d):
+    """Two metrics of a caller's own, evaluated together: one asks twice, takes the median of models and scores empty responses zero."""
+    i = F.col("sample_id")
+    samples = _docs(spark, d).select("sample_id", F.col("lang").alias("user_input"), F.when(i % 6 > 0, F.col("text")).alias("response"))
+    brevity = metrics.Metric(
+        "brevity",
+        "How short is this {user_input} text?\n{response}",
+        "score double, reasoning string",
+        lambda p: p.groupBy("sample_id", "model_id").agg(F.avg("parsed.score").alias("score")),
+        needs=("response",),
+        outcome="ZERO_INPUT",
+        iterations=2,
+        over_models="median",
+    )
+    plain = metrics.Metric("plain", judging.TEMPLATES["aspect"].replace("{definition}", "plain"), judging.SCHEMAS["aspect"], lambda p: verdicts.aspect_critic(p.select("sample_id", "model_id", F.col("parsed.verdict").alias("verdict"))))
+
+    def judge(prompts: pd.Series, models: pd.Series):
+        short, other = (_reply(f) for f in (lambda n: {"score": n % 11 / 10, "reasoning": "r"}, lambda n: {"criteria": "c", "verdict": n % 7 > 0, "reasoning": "r"}))
+        for (p, a), b in zip(zip(prompts, short(prompts, models), strict=True), other(prompts, models), strict=True):
+            yield a if p.startswith("How short") else b
+
+    return _rounded(metrics.evaluate(samples, [brevity, plain], _log(spark), judge, MODELS))
+
+
 SQL["text_chunks"] = f"""SELECT doc_id AS sample_id, len(c) AS n_chunks, list_max(list_transform(c, lambda x: length(x))) AS longest, md5(array_to_string(c, chr(30))) AS chunks_md5
     FROM (SELECT doc_id, {_CHUNKS.format('text', 300)} AS c FROM documents)"""

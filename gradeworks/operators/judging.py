@@ -77,10 +77,21 @@ def _entries(arguments: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ", ")
 
 
-def format_conversation(messages: DataFrame) -> DataFrame:
-    """sample_id, conversation: the turns of ``messages`` (sample_id, turn, role, content, tool_calls) in order, one a line."""
-    lines = F.array_sort(F.collect_list(F.struct("turn", _line().alias("line"))))
-    return messages.groupBy("sample_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("conversation"))
+def format_conversation(messages: DataFrame, chunk: int | None = None) -> DataFrame:
+    """sample_id, conversation: the turns of ``messages`` (sample_id, turn, role, content, tool_calls) in order, one a line.
+
+    With ``chunk``, turns are first put together within ranges of so many turn numbers, then the ranges, so a
+    conversation of very many turns is sorted by many tasks. Equal turns are ordered by their lines.
+    """
+
+    def joined(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+        lines = F.array_sort(F.collect_list(F.struct(at, "line")))
+        return rows.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("line"))
+
+    rows = messages.select("sample_id", "turn", _line().alias("line"))
+    if chunk:
+        rows = joined(rows.withColumn("turns", F.floor(F.col("turn") / chunk)), ["sample_id", "turns"], "turn").withColumnRenamed("turns", "turn")
+    return joined(rows, ["sample_id"], "turn").withColumnRenamed("line", "conversation")
 
 
 def last_message(role: str) -> Column:
@@ -116,8 +127,13 @@ def format_rubrics(rubric: Column) -> Column:
 
 def render_prompts(df: DataFrame, metric: str, **values: str | int) -> DataFrame:
     """``df`` with ``prompt``: the metric's template, its names filled from ``values`` or else from columns."""
+    return render(df, TEMPLATES[metric], **values)
+
+
+def render(df: DataFrame, template: str, **values: str | int) -> DataFrame:
+    """``render_prompts`` for a template of the caller's own."""
     parts = []
-    for i, part in enumerate(re.split(r"\{(\w+)\}", TEMPLATES[metric])):
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
         known = F.lit(str(values[part])) if i % 2 and part in values else None
         parts.append(F.lit(part) if i % 2 == 0 else known if known is not None else F.coalesce(F.col(part).cast("string"), F.lit("")))
     return df.withColumn("prompt", F.concat(*parts))
@@ -151,7 +167,12 @@ def run_judge(requests: DataFrame, judge: Callable[[pd.Series, pd.Series], Itera
 
 def parse_responses(results: DataFrame, kind: str) -> DataFrame:
     """``results`` with ``parsed`` (struct of the kind's schema); replies that are no such JSON turn into failures."""
-    schema = f"{SCHEMAS[kind]}, broken string"
+    return parse(results, SCHEMAS[kind])
+
+
+def parse(results: DataFrame, fields: str) -> DataFrame:
+    """``parse_responses`` for fields of the caller's own. A column ``parsed`` of the caller's is replaced."""
+    schema = f"{fields}, broken string"
     p = results.withColumn("parsed", F.from_json("response_json", schema, {"columnNameOfCorruptRecord": "broken"}))
     bad = F.col("ok") & (F.col("parsed").isNull() | F.col("parsed.broken").isNotNull())
     error = F.when(bad, F.concat(F.lit("JSON parse error: "), F.coalesce("response_json", F.lit("")))).otherwise(F.col("error"))

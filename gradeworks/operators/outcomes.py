@@ -36,9 +36,14 @@ POLICY: dict[str, tuple[tuple[str, ...], str, str]] = {
 LISTS = ("contexts", "messages", "topics", "reference_calls")
 
 
-def lacking(metric: str) -> Column:
+def policy(metric: str | tuple) -> tuple:
+    """Needed columns, what counts as lacking, and the outcome, of a known metric or as the caller gives them."""
+    return metric if isinstance(metric, tuple) else POLICY.get(metric, ((), "empty", "SKIPPED"))
+
+
+def lacking(metric: str | tuple) -> Column:
     """Whether a sample lacks an input of the metric."""
-    columns, rule, _ = POLICY.get(metric, ((), "empty", "SKIPPED"))
+    columns, rule, _ = policy(metric)
     out = F.lit(False)
     for c in columns:
         x = F.col(c)
@@ -60,13 +65,13 @@ def complete(scores: DataFrame, calls: DataFrame, empty: float | None = 0.0) ->
     return good.join(scores.withColumn("scored", F.lit(True)), KEY, "left").select(*KEY, score.cast("double").alias("score"))
 
 
-def with_outcome(samples: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
+def with_outcome(samples: DataFrame, scores: DataFrame, metric: str | tuple) -> DataFrame:
     """sample_id, score, status for each row of ``samples``; ``scores`` has a row per sample that some model scored.
 
     A sample whose input is lacking gets the metric's outcome whatever ``scores`` say; one without a score, or
     with a null one, FAILED.
     """
-    outcome = POLICY.get(metric, ((), "empty", "SKIPPED"))[2]
+    outcome = policy(metric)[2]
     status = F.when(F.col("lacks"), F.lit(outcome)).when(F.col("score").isNull(), F.lit("FAILED")).otherwise(F.lit("OK"))
     rows = samples.select("sample_id", lacking(metric).alias("lacks")).join(scores.select("sample_id", F.col("score").cast("double").alias("score")), "sample_id", "left")
     value = F.when(~F.col("lacks"), F.col("score"))

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gradeworks.operators import calls, embedding, goals, judging
+from gradeworks.operators import calls, embedding, goals, judging, metrics, verdicts
 from gradeworks.operators.calls import CallLog
 from gradeworks.sources import tables
 
@@ -225,3 +225,34 @@ def test_goals_by_mode(spark, tmp_path):
     assert run("WITHOUT_REFERENCE")[5] == none and run("WITH_REFERENCE")[6] == none
     with pytest.raises(ValueError):
         run("OTHER")
+
+
+def test_long_conversations_in_chunks(spark):
+    r = random.Random(3)
+    rows = [(s, t, r.choice(["user", "assistant", None]), f"{s}-{t}" if r.random() < 0.9 else None) for s in range(3) for t in range(500 if s == 1 else 3)]
+    rows.append((1, 7, "user", "a second turn of that number"))
+    r.shuffle(rows)
+    m = spark.createDataFrame([(*x, None) for x in rows], f"sample_id long, turn int, role string, content string, tool_calls array<{judging.CALL}>")
+    whole = sorted(map(tuple, judging.format_conversation(m).collect()))
+    assert whole == sorted(map(tuple, judging.format_conversation(m, 10).collect())) and whole[1][1].count("\n") == 500
+    assert judging.format_conversation(m.limit(0), 10).count() == 0
+
+
+def test_entities_as_rows(spark):
+    rows = [("s", "m", "reference", x) for x in [" Paris", "paris ", "ROME", "", None, "Oslo"]] + [("s", "m", "context", x) for x in ["PARIS", "x"]] + [("t", "m", "context", "x"), ("u", "m", "reference", "a")]
+    flags = verdicts.entity_flags(spark.createDataFrame(rows, "sample_id string, model_id string, side string, entity string"))
+    assert {r.sample_id: (round(r.score, 6), r.n_missing) for r in verdicts.entity_recall_of_rows(flags).collect()} == {"s": (0.333333, 2), "t": (0.0, 0), "u": (0.0, 1)}
+    assert sorted(r.entity for r in verdicts.missing_entity_rows(flags).where("sample_id = 's'").collect()) == ["oslo", "rome"]
+    assert verdicts.entity_flags(flags.selectExpr("sample_id", "model_id", "'context' as side", "entity").limit(0)).count() == 0
+
+
+def test_own_metrics_ask_only_where_input_is(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+    s = spark.createDataFrame([(1, "a", "x"), (2, " ", "x"), (3, None, "x")], "sample_id long, response string, parsed string")
+    m = metrics.Metric("own", "Rate {response} {parsed}", "score int", lambda p: p.select("sample_id", "model_id", F.col("parsed.score").cast("double").alias("score")), needs=("response",), lacking="trimmed", outcome="SKIPPED", over_models=lambda c: F.max(c))
+    log, judge = CallLog(spark, str(tmp_path / "log")), counted(tmp_path / "asked", lambda t: '{"score": 4}')
+    got = metrics.evaluate(s, [m, m], log, judge, ["m0", "m1"])
+    assert sorted(map(tuple, got.distinct().collect()), key=str) == [(1, "own", 4.0, "OK"), (2, "own", None, "SKIPPED"), (3, "own", None, "SKIPPED")]
+    assert asked(tmp_path / "asked") == [("m0", "Rate a x"), ("m1", "Rate a x")]
+    tables.write_scores(got.distinct(), str(tmp_path / "scores"))
+    assert tables.read_scores(spark, str(tmp_path / "scores"), ["own"]).count() == 3
