@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it comes from fewer files than those, which may be no more tasks than files; else as it is."""
+    """``df`` dealt over all cores if its scan has fewer tasks than those; else as it is, so large inputs are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
