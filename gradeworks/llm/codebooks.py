@@ -16,7 +16,7 @@ from gradeworks.llm.vectors import integers, matrix
 #: Integers per unit, parts of a vector, entries of a codebook, and rounds.
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: A grid cell spans 2 to this power in each dimension.
-CELL = 5
+CELL = 4
 #: Cells tested against a codebook at a time, points evaluated at a time, and cells that a task remembers for a codebook.
 TOGETHER, BLOCK, MOST = 256, 1024, 1 << 16
 #: Below this all sums of squares are exact in double precision.
@@ -39,19 +39,35 @@ class Cells:
         """Doubles where they are exact, Python's integers beyond."""
         return float if max(self.most, int(x.max(initial=0)), -int(x.min(initial=0))) < EXACT else object
 
+    def _close(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells and entries, pair by pair, without those that are dominated even for the balls around the boxes.
+
+        An entry farther from the centre than the nearest one and the ball's diameter is dominated in the ball, and so
+        in the box; the entry whose farthest point is nearest is never one of these.
+        """
+        book, centre = self.book.astype(float), low.astype(float) + (2**self.cell - 1) / 2
+        square = (centre * centre).sum(1)[:, None] + (book * book).sum(1) - 2 * centre @ book.T
+        far = np.sqrt(np.maximum(square, 0))
+        slack = 1e-6 * (1 + np.abs(centre).max(initial=0) + np.abs(book).max(initial=0))  # above all rounding
+        reach = far.min(1, keepdims=True) + np.sqrt(low.shape[1]) * (2**self.cell - 1) + slack
+        return np.nonzero(far <= reach)
+
     def candidates(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each cell the entries that aren't dominated, by index."""
         out = []
         for i in range(0, len(cells), TOGETHER):
             low = cells[i : i + TOGETHER] << self.cell
             kind = self._kind(low)
-            low, book = low.astype(kind)[:, None, :], self.book.astype(kind)[None]
-            above = low - book  # how far the box begins above the entry
+            if kind is float:
+                at, entry = self._close(low)
+            else:
+                at, entry = np.repeat(np.arange(len(low)), len(self.book)), np.tile(np.arange(len(self.book)), len(low))
+            above = low.astype(kind)[at] - self.book.astype(kind)[entry]  # how far the box begins above the entry
             below = -above - (2**self.cell - 1)  # how far it ends below
             near, far = np.maximum(np.maximum(above, below), 0), np.maximum(-above, -below)
-            least, most = _squares(near), _squares(far)
-            able = least <= most.min(1, keepdims=True)
-            out += np.split(np.nonzero(able)[1], np.cumsum(able.sum(1))[:-1])
+            first = np.searchsorted(at, np.arange(len(low)))
+            able = _squares(near) <= np.minimum.reduceat(_squares(far), first)[at]
+            out += np.split(entry[able], np.cumsum(np.bincount(at[able], minlength=len(low)))[:-1])
         return out
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
