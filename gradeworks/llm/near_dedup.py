@@ -174,12 +174,11 @@ def _prefixes(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("df", F.col("rows"))
     total = some.agg(F.sum("n")).first()[0]
     shared = join_counted(rows, counts, ["shingle"], total)
-    lists = shared.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    lists = lists.where(F.col("k") * 100 >= F.col("n") * percent)
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("k", F.count("*").over(own)).where(F.col("k") * 100 >= F.col("n") * percent).withColumn("at", F.row_number().over(own.orderBy("df", "shingle")))
     long = F.col("k") + 1 - F.ceil(F.col("n") * percent / 100 - 1e-9)
     short = F.col("k") + 1 - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - 1e-9)
-    first = lists.select("id", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("at", "e"))
-    return first.select("id", F.col("e.shingle").alias("shingle"), (F.col("at") < F.col("short")).alias("probe"))
+    return ranked.where(F.col("at") <= long).select("id", "shingle", (F.col("at") <= short).alias("probe"))
 
 
 def _grid(apart: DataFrame, nodes: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
