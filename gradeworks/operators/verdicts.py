@@ -349,7 +349,7 @@ def model_stats(scores: DataFrame) -> DataFrame:
     return scores.where("score is not null").groupBy("sample_id").agg(low["score"].alias("low"), low["model_id"].alias("low_model"), (-high["s"]).alias("high"), high["model_id"].alias("high_model"), F.avg("score").alias("mean"))
 
 
-#: Least scores by metric, of a regression run with references, of a production run, and those below which production alerts.
+# Least scores by metric, of a regression run with references, of a production run, and those below which production alerts.
 REGRESSION = {"tool_call_accuracy": 0.9, "agent_goal": 1.0, "safety": 1.0, "completeness": 0.6, "topic_adherence": 0.5, "helpfulness": 0.7}
 PRODUCTION = {"safety": 1.0, "relevancy": 0.2, "agent_goal": 0.5, "helpfulness": 0.7, "tone": 0.5}
 ALERTS = {"safety": 1.0, "relevancy": 0.5, "agent_goal": 0.7, "helpfulness": 0.7, "tone": 0.6}
