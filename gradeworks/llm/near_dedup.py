@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeworks.llm.common import cut, join_counted, packed, small
 from gradeworks.llm.components import components
-from gradeworks.llm.words import U, mix, shingles, slices, split
+from gradeworks.llm.words import U, mix, shingles, split
 
 #: Bands and registers in a band: at a similarity of 0.85 a pair shares no band once in two million.
 BANDS, ROWS = 25, 5
@@ -22,6 +23,8 @@ STEP, RATE, LARGEST = 1.02, 20.0, 65534
 BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Sets in a list of the index whose pairs are tested one by one; longer lists are cut into blocks.
 LIST = 64
+#: Bytes of texts or sets, and pairs of sketches, that a task works on at a time; a longer text is taken whole.
+PART, PAIRS = 1 << 18, 1024
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 
 
@@ -58,6 +61,11 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
     follow from the similarity and the (known) set sizes. Plausible: the likelihood at ``least`` or above
     is within a factor of e^14 of the largest (5.3 standard deviations).
     """
+    runs = [_likely(*(x[i : i + PAIRS] for x in (a, b, na, nb)), least) for i in range(0, max(len(a), 1), PAIRS)]
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
+
+
+def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     more, less = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
     same = a.shape[1] - more - less
     u = (na / (na + nb))[:, None]
@@ -69,6 +77,18 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
     return grid[np.arange(len(grid)), fit.argmax(1)], (most[:, 0] >= least - 1e-9) & (top >= fit.max(1) - 14)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of a binary column of about PART bytes, which cover it."""
+    at = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        total += n
+        if total >= PART:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(column):
+        yield at, len(column)
+
+
 def _print(s: np.ndarray) -> list[int]:
     """128 bits that identify a set."""
     return [int(x.sum(dtype=U).view(np.int64)) for x in (mix(s), mix(s ^ U(0x5851F42D4C957F2D)))]
@@ -76,9 +96,8 @@ def _print(s: np.ndarray) -> list[int]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            w = split(texts[lo:hi], lower=True)
+        for lo, hi in _parts(batch.column(1)):
+            w = split(batch.column(1).slice(lo, hi - lo).to_pylist(), lower=True)
             sets = [shingles(w.hash[w.first[i] : w.first[i + 1]], 5) for i in range(hi - lo)]
             n = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(n)
@@ -91,9 +110,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in slices(texts):
-            w = split(texts[lo:hi], lower=True)
+        for lo, hi in _parts(batch.column(0)):
+            w = split(batch.column(0).slice(lo, hi - lo).to_pylist(), lower=True)
             sets = [shingles(w.hash[w.first[i] : w.first[i + 1]], 5) for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([pa.array([_print(x)[0] if len(x) else 0 for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set"])
 
@@ -111,9 +129,11 @@ def _plausible(least: float):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [[np.frombuffer(x, U) for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")]
-        common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*both, strict=True)]
-        total = [len(x) + len(y) - c for x, y, c in zip(*both, common, strict=True)]
+        common, total = [], []
+        for pair in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            x, y = (np.frombuffer(s.as_buffer(), U) for s in pair)
+            common.append(len(np.intersect1d(x, y, assume_unique=True)))
+            total.append(len(x) + len(y) - common[-1])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
 
@@ -155,11 +175,10 @@ def _crossed(percent: int):
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()]
-        for i in range(0, len(sets), 64):  # some sets at a time
-            size = np.array([len(s) for s in sets[i : i + 64]])
-            own = [np.repeat(batch.column(c).slice(i, 64).to_numpy(), size) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(np.concatenate(sets[i : i + 64]))], ["id", "n", "shingle"])
+        for lo, hi in _parts(batch.column(2)):
+            sets = [np.frombuffer(s, np.int64) for s in batch.column(2).slice(lo, hi - lo).to_pylist()]
+            own = [np.repeat(batch.column(c).slice(lo, hi - lo).to_numpy(), [len(s) for s in sets]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(np.concatenate(sets))], ["id", "n", "shingle"])
 
 
 def _prefixes(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from gradeworks.llm import near_dedup as nd
 from gradeworks.llm.components import components
@@ -156,3 +157,17 @@ def test_template_texts_list_nothing(spark):
     sets = table(spark, texts).selectExpr("cast(text as binary) as text").mapInArrow(nd._sets, "id long, set binary")
     some = sets.selectExpr("id", "cast(length(set) / 8 as long) as n")
     assert nd._prefixes(some, sets, 85).count() == 0
+
+
+def test_parts_cover_columns_and_likelihoods_agree(monkeypatch):
+    monkeypatch.setattr(nd, "PART", 10)
+    texts = [b"abc", None, b"", b"x" * 100, b"y" * 9, b"z", None]
+    found = list(nd._parts(pa.array(texts, pa.binary())))
+    assert [i for lo, hi in found for i in range(lo, hi)] == list(range(len(texts))) and len(found) == 3
+    assert list(nd._parts(pa.array([], pa.binary()))) == []
+    r = np.random.default_rng(1)
+    a, b = (r.integers(0, 3, (50, len(nd.FACTORS))).astype(np.uint16) for _ in range(2))
+    na, nb = (r.integers(1, 9, 50).astype(float) for _ in range(2))
+    whole = nd.likely(a, b, na, nb, 0.5)
+    monkeypatch.setattr(nd, "PAIRS", 7)
+    assert all((x == y).all() for x, y in zip(whole, nd.likely(a, b, na, nb, 0.5), strict=True))
