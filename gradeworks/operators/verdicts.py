@@ -344,9 +344,14 @@ def iteration_agreement(v: DataFrame) -> DataFrame:
 
 
 def model_stats(scores: DataFrame) -> DataFrame:
-    """Least, largest and mean score per sample, with the models that hold them (the first by name among equals)."""
+    """Least, largest and mean score per sample, with the models that hold them (the first by name among equals).
+
+    Scores are added by model's name, so the mean doesn't depend on the order in which rows arrive.
+    """
+    each = F.transform(F.array_sort(F.collect_list(F.struct("model_id", "score"))), lambda x: x["score"].cast("double"))
+    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.count("*")
     low, high = F.min(F.struct("score", "model_id")), F.min(F.struct((-F.col("score")).alias("s"), "model_id"))
-    return scores.where("score is not null").groupBy("sample_id").agg(low["score"].alias("low"), low["model_id"].alias("low_model"), (-high["s"]).alias("high"), high["model_id"].alias("high_model"), F.avg("score").alias("mean"))
+    return scores.where("score is not null").groupBy("sample_id").agg(low["score"].alias("low"), low["model_id"].alias("low_model"), (-high["s"]).alias("high"), high["model_id"].alias("high_model"), mean.alias("mean"))
 
 
 # Least scores by metric, of a regression run with references, of a production run, and those below which production alerts.
