@@ -1,97 +1,81 @@
 """Scores of a response against a reference by shared n-grams. Tables ``pairs`` have sample_id, response, reference.
 
-Grams are counted inside the row, on Arrow batches, so nothing is exploded or shuffled: all texts of a batch
-are one array, and a sort per order counts the grams of both sides. Memory is bounded by a batch's texts.
+Grams are counted inside the row, on Arrow batches, so nothing is exploded or shuffled: a batch is taken in parts of
+``batches.SLICE`` bytes, all texts of a part are one array, and a sort per order counts the grams of both sides. So
+beside the batch itself a task holds the arrays of one part only.
 A null or empty side gives a null score; rows that repeat a sample_id are scored each on their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.functions.text import parted
+from gradeworks.functions.batches import U, mix, parts, points, tokens
 
-U = np.uint64
-#: Characters (or tokens) that are counted at a time; a longer text is taken whole.
-SLICE = 1 << 20
 COUNTS = "array<struct<n:int,overlap:long,resp_total:long,ref_total:long>>"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values over all bits (the finalizer of splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def count_grams(codes: np.ndarray, sizes: np.ndarray, orders: list[int]) -> np.ndarray:
     """Overlap and totals of each row and order; ``codes`` holds response and reference of one row after another, of ``sizes`` codes each.
 
-    A gram is its row, 51 bits of a hash, and its side, so that one sort brings the equal grams of a row together.
+    A gram is its row, 51 bits of a hash, and its side, so that one sort brings the equal grams of a row together,
+    those of the response right before those of the reference.
     """
     rows = len(sizes) // 2
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=U), sizes)
+    top = ((owner >> U(1)) << U(52)) | (owner & U(1))
     out = np.zeros((rows, len(orders), 3), np.int64)
-    h, value = np.zeros(len(codes), U), _mix(codes.astype(U) + U(0x9E3779B97F4A7C15))
+    h, value = np.zeros(len(codes), U), mix(codes.astype(U) + U(0x9E3779B97F4A7C15))
     for n in range(1, max(orders) + 1):
         m = len(codes) - n + 1
         if m <= 0:
             break
-        h = _mix(h[:m] + value[n - 1 : n - 1 + m])
+        h = mix(h[:m] + value[n - 1 : n - 1 + m])
         if n not in orders:
             continue
-        whole = owner[:m] == owner[n - 1 : n - 1 + m]
-        of = owner[:m][whole].astype(U)
-        key = np.sort(((of >> U(1)) << U(52)) | ((h[whole] >> U(13)) << U(1)) | (of & U(1)))
+        key = ((h >> U(13)) << U(1)) | top[:m]
+        key = np.sort(key if n == 1 else key[top[:m] == top[n - 1 : n - 1 + m]])
         if not len(key):
             continue
-        gram, side = key >> U(1), (key & U(1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        ref = np.add.reduceat(side, first)
-        resp = np.diff(first, append=len(gram)) - ref
-        row = (gram[first] >> U(51)).astype(np.int64)
-        for c, v in enumerate((np.minimum(ref, resp), resp, ref)):
-            out[:, orders.index(n), c] = np.bincount(row, v, rows).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        run, times = key[first], np.diff(first, append=len(key))
+        both = np.flatnonzero((run[1:] ^ run[:-1]) == U(1))
+        shared = np.minimum(times[both], times[both + 1])
+        total = np.maximum(sizes - n + 1, 0)
+        at = orders.index(n)
+        out[:, at, 0] = np.bincount((run[both] >> U(52)).astype(np.int64), shared, rows).astype(np.int64)
+        out[:, at, 1], out[:, at, 2] = total[::2], total[1::2]
     return out
 
 
-def _counter(orders: list[int], kind: str):
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in parts:
-            both = [x or "" for pair in zip(a, b, strict=True) for x in pair]
-            if kind == "word":
-                both = [x.split() for x in both]
-            sizes = np.array([len(x) for x in both], np.int64)
-            done, at, total = [], 0, np.cumsum(sizes)
-            while at < len(a):  # rows of about SLICE codes, and no more than the bits for rows allow
-                before = total[2 * at - 1] if at else 0
-                to = min(max(at + 1, int(np.searchsorted(total[1::2], before + SLICE))), at + 2048, len(a))
-                done += _counted(both[2 * at : 2 * to], sizes[2 * at : 2 * to], orders, kind)
-                at = to
-            yield pd.Series(done, dtype=object)
+def _array(counts: np.ndarray, orders: list[int]) -> pa.Array:
+    n = pa.array(np.tile(np.array(orders, np.int32), len(counts)))
+    each = pa.StructArray.from_arrays([n, *[pa.array(counts[:, :, k].ravel()) for k in range(3)]], ["n", "overlap", "resp_total", "ref_total"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * len(orders)), each)
 
-    return F.pandas_udf(run, COUNTS)
 
+def _counter(orders: dict[str, list[int]]):
+    """Counts by kind (char, word) of lower-cased texts, all kinds from one pass."""
 
-def _counted(both: list, sizes: np.ndarray, orders: list[int], kind: str) -> list[list[dict]]:
-    if kind == "char":
-        codes = np.frombuffer("".join(both).encode("utf-32-le"), np.uint32)
-    else:
-        codes = pd.factorize(np.array(list(chain.from_iterable(both)), object))[0]
-    counts = count_grams(codes, sizes, orders)
-    return [[dict(zip(("n", "overlap", "resp_total", "ref_total"), (n, *map(int, c)), strict=True)) for n, c in zip(orders, row, strict=True)] for row in counts]
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in columns:
+            for lo, hi in parts((a, b)):
+                both = [x or "" for pair in zip(a[lo:hi].to_pylist(), b[lo:hi].to_pylist(), strict=True) for x in pair]
+                codes, sizes = points(both)
+                made = [_array(count_grams(*((codes, sizes) if kind == "char" else tokens(codes, sizes)), own), own) for kind, own in orders.items()]
+                yield pa.StructArray.from_arrays(made, list(orders))
+
+    return F.arrow_udf(run, "struct<" + ",".join(f"{kind}:{COUNTS}" for kind in orders) + ">")
 
 
 def overlap_counts(response: Column, reference: Column, orders: list[int], kind: str = "word") -> Column:
     """One struct (n, overlap, resp_total, ref_total) per order; overlap sums the smaller counts of each gram."""
-    side = parted if kind == "word" else F.lower
-    return _counter(orders, kind)(side(response), side(reference))
+    return _counter({kind: orders})(F.lower(response), F.lower(reference))[kind]
 
 
 def _given() -> Column:
@@ -154,9 +138,8 @@ def _mean_f(counts: str, beta: float) -> Column:
 
 def chrf(pairs: DataFrame, char_order: int = 6, word_order: int = 0, beta: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mean F-beta over character n-grams; with word orders, the mean of that and of the word n-grams' mean."""
-    response, reference = F.col("response"), F.col("reference")
-    sides = [overlap_counts(response, reference, list(range(1, char_order + 1)), "char").alias("c")]
-    if word_order:
-        sides.append(overlap_counts(response, reference, list(range(1, word_order + 1)), "word").alias("w"))
-    c = pairs.select("sample_id", *keep, _given().alias("given"), *sides)
+    orders = {"char": list(range(1, char_order + 1))} | ({"word": list(range(1, word_order + 1))} if word_order else {})
+    counts = _counter(orders)(F.lower("response"), F.lower("reference"))
+    c = pairs.select("sample_id", *keep, _given().alias("given"), counts.alias("k"))
+    c = c.select("sample_id", *keep, "given", F.col("k.char").alias("c"), *([F.col("k.word").alias("w")] if word_order else []))
     return _scored(c, (_mean_f("c", beta) + _mean_f("w", beta)) / 2 if word_order else _mean_f("c", beta), "chrf", keep)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeworks.functions.text import tokenize
+from gradeworks.functions.batches import parts, points, tokens
 
 
 def _both(a: Column, b: Column, score: Column) -> Column:
@@ -117,7 +119,7 @@ def jaro_winkler(s: str, t: str) -> float:
     return score if score < 0.7 else score + 0.1 * prefix * (1 - score)
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
+def lcs_length(a: list, b: list) -> int:
     """Longest common subsequence, a bit for each token of a."""
     places: dict[str, int] = {}
     for i, x in enumerate(a):
@@ -146,15 +148,21 @@ def jaro_winkler_similarity(a: Column, b: Column, case_sensitive: bool = False)
     return _pairwise(jaro_winkler)(*((a, b) if case_sensitive else (F.lower(a), F.lower(b))))
 
 
-@F.pandas_udf(T.LongType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _lcs(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Common subsequence and numbers of tokens of lower-cased texts."""
+    for a, b in columns:
+        for lo, hi in parts((a, b)):
+            both = [x or "" for pair in zip(a[lo:hi].to_pylist(), b[lo:hi].to_pylist(), strict=True) for x in pair]
+            hashed, n = tokens(*points(both))
+            own = np.split(hashed, np.cumsum(n)[:-1])
+            common = np.array([lcs_length(x.tolist(), y.tolist()) for x, y in zip(own[::2], own[1::2], strict=True)], np.int64)
+            yield pa.StructArray.from_arrays([pa.array(common), pa.array(n[::2]), pa.array(n[1::2])], ["lcs", "a", "b"])
 
 
 def rouge_l(response: Column, reference: Column, mode: str = "FMEASURE") -> Column:
     """By the longest common subsequence of tokens; 0 if a side has no token."""
-    a, b = tokenize(F.coalesce(response, F.lit(""))), tokenize(F.coalesce(reference, F.lit("")))
-    n = _lcs(a, b)
-    p, r = n / F.size(a), n / F.size(b)
+    c = F.arrow_udf(_lcs, "struct<lcs:long,a:long,b:long>")(F.lower(response), F.lower(reference))
+    n = c["lcs"]
+    p, r = n / c["a"], n / c["b"]
     value = {"PRECISION": p, "RECALL": r, "FMEASURE": F.when(n == 0, 0.0).otherwise(2 * p * r / (p + r))}[mode]
-    return F.when((F.length(response) > 0) & (F.length(reference) > 0), F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value))
+    return F.when((F.length(response) > 0) & (F.length(reference) > 0), F.when((c["a"] == 0) | (c["b"] == 0), 0.0).otherwise(value))
