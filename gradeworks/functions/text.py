@@ -52,7 +52,12 @@ def truncate_to_tokens(text: Column, most: int, per_token: float = 3.0) -> Colum
 
 def trimmed(text: Column) -> Column:
     """Without control characters and spaces at both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(33)))))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is null or holds nothing but white space; looks no further than its first other character."""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def join_contexts(contexts: Column, sep: str) -> Column:

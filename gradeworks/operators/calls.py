@@ -7,8 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from gradeworks.functions.batches import parts
 
 #: A key that more than one in so many rows have is frequent; there are no more such keys than this.
 FREQUENT = 1000
@@ -54,19 +59,29 @@ def answers(hook: Callable, texts: pd.Series, models: pd.Series) -> list[tuple]:
     return out
 
 
-def run_hook(requests: DataFrame, hook: Callable, text: str, reply: str, kind: str) -> DataFrame:
-    """``requests`` (with model_id and ``text``) with ok, ``reply`` (of type ``kind``), error and duration_ms; a bad call is a failed row."""
-    names = requests.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes) + f", ok boolean, {reply} {kind}, error string, duration_ms long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            got = answers(hook, df[text], df["model_id"])
-            bad = [isinstance(r, BaseException) or r is None for r, _ in got]
-            more = {"ok": [not b for b in bad], reply: [None if b else r for (r, _), b in zip(got, bad, strict=True)], "error": [str(r) or type(r).__name__ if b and r is not None else None for (r, _), b in zip(got, bad, strict=True)]}
-            yield df.assign(**more, duration_ms=[ms for _, ms in got])[[*names, *more, "duration_ms"]]
+def run_hook(requests: DataFrame, hook: Callable, text: str, reply: str, kind: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``requests`` (with model_id and ``text``) without ``drop``, with ok, ``reply`` (of type ``kind``), error and duration_ms; a bad call is a failed row.
 
-    return requests.mapInPandas(run, schema)
+    The hook gets parts of a batch, of ``batches.SLICE`` bytes of texts each; other columns pass as they are.
+    """
+    names = [n for n in requests.columns if n not in drop]
+    schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes if n not in drop) + f", ok boolean, {reply} {kind}, error string, duration_ms long"
+    arrow = to_arrow_type(T.StructType.fromDDL(f"r {kind}")["r"].dataType)
+    told = ["ok", reply, "error", "duration_ms"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text)
+            for lo, hi in parts((texts,)):
+                part = batch.slice(lo, hi - lo)
+                got = answers(hook, part.column(text).to_pandas(), part.column("model_id").to_pandas())
+                bad = [isinstance(r, BaseException) or r is None for r, _ in got]
+                replies = pa.array([None if b else r for (r, _), b in zip(got, bad, strict=True)], arrow)
+                errors = pa.array([str(r) or type(r).__name__ if b and r is not None else None for (r, _), b in zip(got, bad, strict=True)], pa.string())
+                made = [pa.array([not b for b in bad], pa.bool_()), replies, errors, pa.array([ms for _, ms in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *told])
+
+    return requests.mapInArrow(run, schema)
 
 
 class CallLog:
@@ -124,6 +139,6 @@ class CallLog:
             todo = once.join(known.select("call"), "call", "left_anti")
             if tasks:
                 todo = todo.repartition(tasks, "call")
-            got = run_hook(todo.select("call", "model_id", "text"), hook, "text", self.reply, self.kind)
-            got.drop("text").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self._folder())
+            got = run_hook(todo.select("call", "model_id", "text"), hook, "text", self.reply, self.kind, ("text",))
+            got.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self._folder())
         return join_hot(named, self.replies().drop("model_id"), "call").drop("call")

@@ -7,13 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeworks.functions.text import cosine, truncate_to_tokens
+from gradeworks.functions.batches import parts
+from gradeworks.functions.text import blank, cosine, truncate_to_tokens
 from gradeworks.operators.calls import CallLog
 
 KEY = ["sample_id", "model_id"]
@@ -43,11 +43,12 @@ def pack_sentences(text: str, most: int, per_token: float) -> list[str]:
 def split_into_chunks(text: Column, most: int, per_token: float = 3.0) -> Column:
     """``pack_sentences`` of each text; an empty text is one empty chunk, null has none."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else pack_sentences(t, most, per_token))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            for lo, hi in parts((texts,)):
+                yield pa.array([None if t is None else pack_sentences(t, most, per_token) for t in texts[lo:hi].to_pylist()], pa.list_(pa.string()))
 
-    return run(text)
+    return F.arrow_udf(run, "array<string>")(text)
 
 
 def prepared(text: Column, strategy: str = "CHUNK", most: int = 512, per_token: float = 3.0) -> Column:
@@ -150,8 +151,7 @@ def semantic_similarity_of_texts(samples: DataFrame, log: CallLog, embedder: Cal
     ``outcomes.with_outcome``.
     """
     side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("whole")) for s in ("response", "reference")]))
-    blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("")) == ""
-    sides = samples.where(~blank("response") & ~blank("reference")).select("sample_id", side.alias("s")).select("sample_id", "s.*")
+    sides = samples.where(~blank(F.col("response")) & ~blank(F.col("reference"))).select("sample_id", side.alias("s")).select("sample_id", "s.*")
     pieces = sides.select("sample_id", "side", F.explode(prepared(F.col("whole"), strategy, most, per_token)).alias("text"))
     made = embed(pieces, log, embedder, models)
     failed = made.where(~F.col("ok")).select(*KEY).distinct()

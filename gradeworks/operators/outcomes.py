@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.functions.text import trimmed
+from gradeworks.functions.text import blank, trimmed
 
 KEY = ["sample_id", "model_id"]
 TEXTS = ("response", "reference")
@@ -51,9 +51,10 @@ def lacking(metric: str | tuple) -> Column:
             bad = x.isNull()
         elif c in LISTS:
             bad = x.isNull() | (F.size(x) <= 0)
+        elif rule == "blank":
+            bad = blank(x)
         else:
-            inner = {"empty": x, "trimmed": trimmed(x), "blank": F.regexp_replace(x, r"(?U)\s+", "")}[rule]
-            bad = x.isNull() | (F.length(inner) == 0)
+            bad = x.isNull() | ({"empty": x, "trimmed": trimmed(x)}[rule] == "")
         out = out | bad
     return out
 

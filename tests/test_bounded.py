@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gradeworks.functions import batches
 from gradeworks.functions import text as tx
-from gradeworks.operators import overlap, similarity, verdicts
+from gradeworks.llm import repeats
+from gradeworks.operators import calls, embedding, overlap, similarity, verdicts
 
 
 def peak(f) -> float:
@@ -58,3 +59,39 @@ def test_parts_cover_all_rows():
     got = list(batches.parts(texts))
     assert [x for lo, hi in got for x in range(lo, hi)] == list(range(15)) and len(got) == 7
     assert list(batches.parts([pa.array([], pa.string())])) == [] and isinstance(got[0][1], (int, np.integer))
+
+
+def test_hooks_get_parts_of_a_batch(spark):
+    rows = spark.range(4000).select(F.lit("m").alias("model_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("x"), 1000)).alias("prompt")).coalesce(1)
+    got = calls.run_hook(rows, lambda texts, models: [str(len(texts))] * len(texts), "prompt", "reply", "string", ("prompt",))
+    sizes = [int(r.reply) for r in got.collect()]
+    assert len(sizes) == 4000 and max(sizes) < 300 and got.columns == ["model_id", "ok", "reply", "error", "duration_ms"]
+
+
+def test_chunks_are_made_in_parts_of_a_batch(spark):
+    texts = pa.array(["One two three. " * 300] * 3000)  # 13 MB
+    run = embedding.split_into_chunks
+    made = []
+    found = F.arrow_udf
+    try:
+        F.arrow_udf = lambda f, kind: made.append(f) or (lambda c: c)
+        run(F.lit("x"), 10)
+    finally:
+        F.arrow_udf = found
+    sizes = [len(x) for x in made[0]([texts])]
+    assert sum(sizes) == 3000 and max(sizes) < 100
+
+
+def test_repeats_are_cut_in_parts_of_a_batch():
+    texts = pa.array([b"one two three four " * 250] * 400)  # 2 MB
+    block = [{"lo": i, "hi": i, "ref": {"h": 1, "lo": 0, "id": 1}} for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), texts, pa.array([block] * 400), pa.array([None] * 400, pa.list_(pa.int32()))], ["id", "text", "blocks", "ends"])
+    sizes = [b.num_rows for b in repeats._without(35)([batch])]
+    assert sum(sizes) == 400 and max(sizes) < 100
+
+
+def test_blank_and_trimmed(spark):
+    texts = [None, "", " \t\n", "  ", " a ", "\x00\x1fb\x00", "c\u0085", " d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.blank(F.col("t"))).collect()] == [True] * 4 + [False] * 4
+    assert [r[0] for r in df.select(tx.trimmed(F.col("t"))).collect()] == [None, "", "", "  ", "a", "b", "c\u0085", " d"]
