@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeworks.functions.batches import parts
 from gradeworks.llm.common import cut, join_counted
-from gradeworks.llm.words import U, mix, ngrams, powers, slices, split
+from gradeworks.llm.words import U, mix, ngrams, powers, split
 
 #: Words in a seed of the index.
 SEED = 6
@@ -59,9 +60,9 @@ def blocks_of(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, ..
 def _blocks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo, hi in slices(texts):
-                w = split(texts[lo:hi])
+            texts = batch.column(2)
+            for lo, hi in parts((texts,)):
+                w = split(texts[lo:hi].to_pylist())
                 seed, block, row, first, last = blocks_of(w.hash, w.row, size)
                 base = w.first[row]
                 take = pa.array(row + lo)
@@ -75,10 +76,9 @@ def _windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, open_ = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in slices(texts):
-                w = split(texts[a:b])
-                rows = [(i, x["seed"], w.first[i] + x["lo"], w.first[i] + x["hi"], x["weight"]) for i in range(b - a) for x in open_[a + i]]
+            for a, b in parts((batch.column(2),)):
+                w, open_ = split(batch.column(2)[a:b].to_pylist()), batch.column(3)[a:b].to_pylist()
+                rows = [(i, x["seed"], w.first[i] + x["lo"], w.first[i] + x["hi"], x["weight"]) for i in range(b - a) for x in open_[i]]
                 i, seed, lo, hi, weight = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 5
                 n = hi - lo + 1
                 start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -116,16 +116,16 @@ def _without(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, blocks, ends = (batch.column(c).to_pylist() for c in (1, 2, 3))
-            kept, total, gone, merged, parsed = [], [], [], [], []
-            for a, b in slices(texts):
-                w = split(texts[a:b])
+            for a, b in parts((batch.column(1),)):
+                texts, blocks, ends = (batch.column(c)[a:b].to_pylist() for c in (1, 2, 3))
+                kept, total, gone, merged, parsed = [], [], [], [], []
+                w = split(texts)
                 for i in range(b - a):
                     start, end = w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]]
-                    t, first = texts[a + i] or b"", w.begin[i]
+                    t, first = texts[i] or b"", w.begin[i]
                     step = np.zeros(len(start) + 1, np.int64)
-                    factors = parse(blocks[a + i] or [], size)
-                    at = np.array([(f["start"], f["end"]) for f in factors] + [(x, x + size) for x in ends[a + i] or ()], np.int64).reshape(-1, 2)
+                    factors = parse(blocks[i] or [], size)
+                    at = np.array([(f["start"], f["end"]) for f in factors] + [(x, x + size) for x in ends[i] or ()], np.int64).reshape(-1, 2)
                     np.add.at(step, at[:, 0], 1)
                     np.add.at(step, at[:, 1], -1)
                     out = np.cumsum(step[:-1]) > 0
@@ -135,10 +135,10 @@ def _without(size: int):
                     total.append(len(start))
                     gone.append(int(out.sum()))
                     parsed.append([{k: f[k] for k in ("start", "end", "ref", "ref_start")} for f in factors])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(parsed, _FACTOR)],
-                ["doc_id", "text", "n_words", "n_removed", "spans", "factors"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(parsed, _FACTOR)],
+                    ["doc_id", "text", "n_words", "n_removed", "spans", "factors"],
+                )
 
     return run
 
