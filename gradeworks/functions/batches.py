@@ -18,9 +18,13 @@ TOKEN[[*range(48, 58), *range(97, 123), *range(0x430, 0x450), 0x451]] = True
 
 def parts(texts: Sequence[pa.Array], most: int = SLICE, rows: int = 2048) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose ``texts`` take about ``most`` bytes together."""
-    n = len(texts[0])
     total = np.cumsum(sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
-    at = 0
+    yield from ranges(total, most, rows)
+
+
+def ranges(total: np.ndarray, most: int, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of which ``total`` gives the running sum of sizes, of about ``most`` together."""
+    at, n = 0, len(total)
     while at < n:
         before = total[at - 1] if at else 0
         to = min(max(at + 1, int(np.searchsorted(total, before + most))), at + rows, n)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeworks.functions.batches import parts, ranges
+
+#: Tokens whose n-grams are made at a time; those of a longer text are made whole.
+TOKENS = 1 << 15
 LETTERS = "[^a-zа-яё0-9\\s]"
 
 
@@ -18,26 +27,56 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(parted(text), r"\s+"), lambda x: x != "")
 
 
-def _runs(items: Column, n: int, sep: str) -> Column:
-    """n consecutive items joined. The items are evaluated once, and n shifted copies of them are put together place by place."""
+def _runs(values: pa.Array, sizes: np.ndarray, n: int, sep: str) -> pa.Array:
+    """Lists of n consecutive ``values`` joined; ``sizes`` is how many values each list has."""
+    most = max(len(values) - n + 1, 0)
+    count = np.maximum(sizes - n + 1, 0)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    at = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - ends[:-1], count)
+    joined = pc.binary_join_element_wise(*[values.slice(k, most) for k in range(n)], sep)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), joined.take(pa.array(at)))
+
+
+def _told(grams: pa.Array, between: str | None) -> pa.Array:
+    """The lists as they are, or how many each holds and its items joined."""
+    if between is None:
+        return grams
+    return pa.StructArray.from_arrays([grams.value_lengths().cast(pa.int64()), pc.binary_join(grams, between)], ["n", "joined"])
+
+
+def _kind(between: str | None) -> str:
+    return "array<string>" if between is None else "struct<n:long,joined:string>"
+
+
+def word_ngrams(tokens: Column, n: int, between: str | None = None) -> Column:
+    """n consecutive tokens joined by a space, with repeats; none if there are fewer than n.
 
-    def each(w: Column) -> Column:
-        out = F.slice(w, F.lit(1), F.size(w) - n + 1)
-        for k in range(2, n + 1):
-            out = F.zip_with(out, F.slice(w, F.lit(k), F.size(w) - n + 1), lambda x, y: F.concat(x, F.lit(sep), y))
-        return F.when(F.size(w) >= n, out).otherwise(F.array().cast("array<string>"))
+    With ``between`` their number and all of them joined by it (n, joined), which Spark reads much faster than an array.
+    """
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in columns:
+            sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.cumsum(sizes)
+            for lo, hi in ranges(total, TOKENS):
+                yield _told(_runs(lists.slice(lo, hi - lo).flatten(), sizes[lo:hi], n, " "), between)
 
-    return F.get(F.transform(F.array(items), each), F.lit(0))
+    return F.arrow_udf(run, _kind(between))(tokens)
 
 
-def word_ngrams(tokens: Column, n: int) -> Column:
-    """n consecutive tokens joined by a space, with repeats; none if there are fewer than n."""
-    return _runs(tokens, n, " ")
+def char_ngrams(text: Column, n: int, between: str | None = None) -> Column:
+    """All substrings of n characters of the lower-cased text, white space included; ``between`` as in ``word_ngrams``."""
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            for lo, hi in parts((texts,)):
+                part = pc.fill_null(texts.slice(lo, hi - lo), "")
+                data = np.frombuffer(b"".join(pc.cast(part, pa.binary()).to_pylist()), np.uint8)
+                start = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int32)
+                each = pa.StringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(data))
+                yield _told(_runs(each, pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64), n, ""), between)
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """All substrings of n characters of the lower-cased text, white space included."""
-    return _runs(F.split(F.lower(text), ""), n, "")
+    return F.arrow_udf(run, _kind(between))(F.lower(text))
 
 
 def estimate_tokens(text: Column, per_token: float = 3.0) -> Column:
@@ -69,6 +108,21 @@ def normalized_entities(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, lambda x: F.lower(trimmed(x))), lambda x: x.isNotNull() & (x != "")))
 
 
+def normalized_words(text: Column) -> Column:
+    """The text between single spaces, each piece trimmed and lower-cased as ``normalized_entities`` does it, blank ones included.
+
+    Pieces hold no space and case mapping sees none of another piece, so the whole text is lower-cased, and its control characters
+    beside spaces go with the spaces.
+    """
+    control = "".join(map(chr, range(32)))
+    return F.split(F.btrim(F.lower(text), F.lit(control)), r"[\x00-\x1f]* [\x00-\x1f]*")
+
+
+def distinct_entities(words: Column) -> Column:
+    """The distinct ones of normalized words that aren't blank."""
+    return F.array_distinct(F.array_remove(words, ""))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision; 0 for a zero vector, null for unequal lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
