@@ -46,17 +46,32 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each token of lower-cased texts, as ``text.tokenize`` cuts them, and how many tokens each text has."""
+    letter, first, count = _runs(codes, sizes)
+    if not len(first):
+        return np.empty(0, U), count
+    length = np.diff(first, append=len(letter))
+    place = np.arange(len(letter)) - np.repeat(first, length)
+    power = np.cumprod(np.concatenate((np.ones(1, U), np.full(int(length.max()), U(0x9E3779B97F4A7C15)))))
+    hashed = mix(np.add.reduceat(mix(codes[letter].astype(U) + U(1)) * power[place], first) + length.astype(U))
+    return hashed, count
+
+
+def _runs(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the characters of tokens, the first of them of each token, and how many tokens each text has."""
     inside = TOKEN[np.minimum(codes, len(TOKEN) - 1)]
     begin = np.cumsum(sizes) - sizes
     before = np.concatenate(([False], inside[:-1]))
     before[begin[sizes > 0]] = False
     start = np.flatnonzero(inside & ~before)
-    if not len(start):
-        return np.empty(0, U), np.zeros(len(sizes), np.int64)
     letter = np.flatnonzero(inside)
-    first = np.searchsorted(letter, start)
-    length = np.diff(first, append=len(letter))
-    place = np.arange(len(letter)) - np.repeat(first, length)
-    power = np.cumprod(np.concatenate((np.ones(1, U), np.full(int(length.max()), U(0x9E3779B97F4A7C15)))))
-    hashed = mix(np.add.reduceat(mix(codes[letter].astype(U) + U(1)) * power[place], first) + length.astype(U))
-    return hashed, np.diff(np.searchsorted(start, np.append(begin, len(codes))))
+    return letter, np.searchsorted(letter, start), np.diff(np.searchsorted(start, np.append(begin, len(codes))))
+
+
+def token_texts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-cased texts, one after the other, and how many each text has."""
+    codes, sizes = points(texts)
+    letter, first, count = _runs(codes, sizes)
+    own = codes[letter]
+    at = np.concatenate(([0], np.cumsum(1 + (own >= 0x80))))  # none takes more than two bytes
+    ends = at[np.append(first, len(own))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(own.tobytes().decode("utf-32-le").encode())), count

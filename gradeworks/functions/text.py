@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeworks.functions.batches import parts, ranges
+from gradeworks.functions.batches import parts, ranges, token_texts
 
 #: Tokens whose n-grams are made at a time; those of a longer text are made whole.
 TOKENS = 1 << 15
+#: Substrings of a text that are joined at a time.
+WINDOWS = 1 << 16
 LETTERS = "[^a-zа-яё0-9\\s]"
 
 
@@ -23,8 +25,17 @@ def parted(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """The tokens of ``parted`` text, between white space."""
-    return F.filter(F.split(parted(text), r"\s+"), lambda x: x != "")
+    """The tokens of ``parted`` text, between white space; null has none and stays null."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            for lo, hi in parts((texts,)):
+                part = texts.slice(lo, hi - lo)
+                made, counts = token_texts(pc.fill_null(part, "").to_pylist())
+                ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                yield pa.ListArray.from_arrays(ends, made, mask=part.is_null())
+
+    return F.arrow_udf(run, "array<string>")(F.lower(text))
 
 
 def _runs(values: pa.Array, sizes: np.ndarray, n: int, sep: str) -> pa.Array:
@@ -37,6 +48,17 @@ def _runs(values: pa.Array, sizes: np.ndarray, n: int, sep: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), joined.take(pa.array(at)))
 
 
+def _windows(text: str, n: int, between: str) -> str:
+    """All substrings of n characters joined, WINDOWS of them at a time."""
+    codes, gap = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, between))
+    out = []
+    for at in range(0, len(codes) - n + 1, WINDOWS):
+        own = np.lib.stride_tricks.sliding_window_view(codes[at : at + WINDOWS + n - 1], n)
+        rows = np.concatenate((own, np.broadcast_to(gap, (len(own), len(gap)))), 1)
+        out.append(rows.ravel()[: rows.size - len(gap)].tobytes().decode("utf-32-le", "surrogatepass"))
+    return between.join(out)
+
+
 def _told(grams: pa.Array, between: str | None) -> pa.Array:
     """The lists as they are, or how many each holds and its items joined."""
     if between is None:
@@ -71,10 +93,14 @@ def char_ngrams(text: Column, n: int, between: str | None = None) -> Column:
         for texts in columns:
             for lo, hi in parts((texts,)):
                 part = pc.fill_null(texts.slice(lo, hi - lo), "")
+                if between is not None:
+                    count = pc.max_element_wise(pc.subtract(pc.utf8_length(part), n - 1), 0).cast(pa.int64())
+                    yield pa.StructArray.from_arrays([count, pa.array([_windows(t, n, between) for t in part.to_pylist()], pa.string())], ["n", "joined"])
+                    continue
                 data = np.frombuffer(b"".join(pc.cast(part, pa.binary()).to_pylist()), np.uint8)
                 start = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int32)
                 each = pa.StringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(data))
-                yield _told(_runs(each, pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64), n, ""), between)
+                yield _runs(each, pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64), n, "")
 
     return F.arrow_udf(run, _kind(between))(F.lower(text))
 

@@ -203,10 +203,9 @@ _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z
 def text_ngrams(spark, d):
     """Three words and four characters in a row, of every whole text."""
     t = _docs(spark, d).where("text is not null")
-    w, c = tx.word_ngrams(tx.tokenize(F.col("text")), 3), tx.char_ngrams(F.col("text"), 4)
+    w, c = tx.word_ngrams(tx.tokenize(F.col("text")), 3, "\x1e"), tx.char_ngrams(F.col("text"), 4, "\x1e")
     t = t.select("sample_id", w.alias("w"), c.alias("c"))
-    joined = {k: F.md5(F.array_join(k, "\x1e")) for k in "wc"}
-    return t.select("sample_id", F.size("w").cast("long").alias("n_words"), joined["w"].alias("words_md5"), F.size("c").cast("long").alias("n_chars"), joined["c"].alias("chars_md5"))
+    return t.select("sample_id", F.col("w.n").alias("n_words"), F.md5("w.joined").alias("words_md5"), F.col("c.n").alias("n_chars"), F.md5("c.joined").alias("chars_md5"))
 
 
 @query("""WITH h AS (SELECT doc_id AS sample_id, coalesce(lang, '') AS lang, list_value(substr(text, 1, CAST(length(text) // 2 AS BIGINT)), substr(text, CAST(length(text) // 2 AS BIGINT) + 1)) AS c FROM documents WHERE text IS NOT NULL)

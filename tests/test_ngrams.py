@@ -27,3 +27,11 @@ def test_words_normalized_at_once_are_those_normalized_one_by_one(spark):
     rows = t.select(one.alias("one"), fast.alias("fast"), tx.normalized_entities(F.split("text", " ")).alias("names"), tx.distinct_entities(fast).alias("quick")).collect()
     assert all(r.one == r.fast and r.names == r.quick for r in rows)
     assert "lambda" not in t.select(tx.distinct_entities(fast))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_those_of_the_expressions_in_spark(spark):
+    t = spark.createDataFrame([(s,) for s in [*ODD, "Straße, ÉTÉ ёж! x_y--z 12\x0b3 \x85a b"]], "text string")
+    plain = F.filter(F.split(tx.parted(F.col("text")), r"\s+"), lambda x: x != "")
+    fast = t.select(plain.alias("plain"), tx.tokenize(F.col("text")).alias("fast"))
+    assert all(r.plain == r.fast for r in fast.collect())
+    assert "regexp_replace" not in t.select(tx.tokenize(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
