@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,14 +21,23 @@ FREQUENT = 1000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with the one row that ``right`` has for each key. Rows of frequent keys stay where they are and meet a broadcast of at most FREQUENT rows."""
-    many = left.groupBy(key).count().where(F.col("count") > 1)
-    total = left.count()
-    often = many.where(F.col("count") * FREQUENT > total).select(key)
-    if not total or often.isEmpty():
+    """``left`` joined with the one row that ``right`` has for each key.
+
+    Rows of frequent keys, of which there are at most FREQUENT, are dealt over tasks by the task that they come from
+    and meet copies of their row of ``right`` there. ``left`` is read once to count its keys and once for the result.
+    """
+    seen = Observation()
+    counts = left.groupBy(key).count().observe(seen, F.sum("count").alias("total"))
+    top = counts.where(F.col("count") > 1).orderBy(F.desc("count")).limit(FREQUENT).collect()
+    often = [(r[0],) for r in top if r[1] * FREQUENT > seen.get["total"]]
+    if not often:
         return left.join(right, key)
-    few = F.broadcast(right.join(F.broadcast(often), key, "left_semi"))
-    return left.join(few, key).unionByName(left.join(F.broadcast(often), key, "left_anti").join(right, key))
+    spark, k = left.sparkSession, "\x1f".join(left.columns + right.columns)  # a name that no column has
+    few = F.broadcast(spark.createDataFrame(often, T.StructType([left.schema[key]])).withColumn(k, F.lit(True)))
+    n = F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = left.join(few, key, "left").withColumn(k, F.when(F.col(f"`{k}`"), F.pmod(F.spark_partition_id(), n)).otherwise(0))
+    copies = F.when(F.col(f"`{k}`"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.join(few, key, "left").withColumn(k, F.explode(copies)), [key, k]).drop(k)
 
 
 def answers(hook: Callable, texts: pd.Series, models: pd.Series) -> list[tuple]:
@@ -59,18 +69,29 @@ def answers(hook: Callable, texts: pd.Series, models: pd.Series) -> list[tuple]:
     return out
 
 
-def run_hook(requests: DataFrame, hook: Callable, text: str, reply: str, kind: str, drop: tuple[str, ...] = ()) -> DataFrame:
+def run_hook(requests: DataFrame, hook: Callable, text: str, reply: str, kind: str, drop: tuple[str, ...] = (), calls: str | None = None) -> DataFrame:
     """``requests`` (with model_id and ``text``) without ``drop``, with ok, ``reply`` (of type ``kind``), error and duration_ms; a bad call is a failed row.
 
-    The hook gets parts of a batch, of ``batches.SLICE`` bytes of texts each; other columns pass as they are.
+    The hook gets parts of a batch, of ``batches.SLICE`` bytes of texts each; other columns pass as they are. ``calls`` is a
+    column of arrays of structs (model_id and others), each of which is a call of its row's text, with its fields as columns.
     """
-    names = [n for n in requests.columns if n not in drop]
-    schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes if n not in drop) + f", ok boolean, {reply} {kind}, error string, duration_ms long"
+    fields = requests.schema[calls].dataType.elementType.fields if calls else []
+    kinds = [x for x in requests.dtypes if x[0] != calls] + [(f.name, f.dataType.simpleString()) for f in fields]
+    names = [n for n, _ in kinds if n not in drop]
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds if n not in drop) + f", ok boolean, {reply} {kind}, error string, duration_ms long"
     arrow = to_arrow_type(T.StructType.fromDDL(f"r {kind}")["r"].dataType)
     told = ["ok", reply, "error", "duration_ms"]
 
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi in parts((batch.column(text),)):
+            part = batch.slice(lo, hi - lo)
+            own = part.column(calls)
+            rows = part.drop_columns([calls]).take(pc.list_parent_indices(own))
+            made = own.flatten()
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made.flatten()], [n for n, _ in kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in (each(whole) if calls else [whole])):
             texts = batch.column(text)
             for lo, hi in parts((texts,)):
                 part = batch.slice(lo, hi - lo)
@@ -85,7 +106,7 @@ def run_hook(requests: DataFrame, hook: Callable, text: str, reply: str, kind: s
 
 
 class CallLog:
-    """Replies on disk, a row for each distinct call, named by a digest of model, iteration and text.
+    """Replies on disk, a row for each distinct call, named by a digest of model, iteration and the text's digest.
 
     ``path`` lies in a folder that driver and executors share. Rows are only ever added. A task's replies are
     there as soon as the task is done (the committer's second algorithm moves them then), so of a job that
@@ -95,7 +116,7 @@ class CallLog:
 
     def __init__(self, spark: SparkSession, path: str, reply: str = "response_json", kind: str = "string") -> None:
         self.spark, self.path, self.reply, self.kind = spark, path, reply, kind
-        self.schema = f"call binary, model_id string, ok boolean, {reply} {kind}, error string, duration_ms long"
+        self.schema = f"call binary, digest binary, model_id string, iteration string, ok boolean, {reply} {kind}, error string, duration_ms long"
         spark.createDataFrame([], self.schema).write.parquet(self._folder())
 
     def _folder(self) -> str:
@@ -106,11 +127,14 @@ class CallLog:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/*")
 
     @staticmethod
-    def call(text: Column, model: Column, iteration: Column | int = 1) -> Column:
+    def digest(text: Column) -> Column:
+        return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+    @staticmethod
+    def call(digest: Column, model: Column, iteration: Column) -> Column:
         """The name of a call. Iterations of one prompt are calls of their own."""
-        n = iteration if isinstance(iteration, Column) else F.lit(iteration)
-        head = F.concat_ws("\x1f", F.coalesce(model, F.lit("")), n.cast("string"))
-        return F.unhex(F.sha2(F.concat(head, F.lit("\x1f"), F.coalesce(text, F.lit(""))), 256))
+        head = F.concat_ws("\x1f", F.coalesce(model, F.lit("")), iteration.cast("string"), F.hex(digest))
+        return F.unhex(F.sha2(head, 256))
 
     def rows(self) -> int:
         """How many calls have been logged, repeated ones included."""
@@ -118,27 +142,48 @@ class CallLog:
 
     def replies(self) -> DataFrame:
         """One row for each logged call: a successful one if there is any."""
-        rows = self._read()
-        reply = F.struct("model_id", "ok", self.reply, "error", "duration_ms")
-        return rows.groupBy("call").agg(F.min_by(reply, F.struct(~F.col("ok"), "duration_ms")).alias("r")).select("call", "r.*")
+        return self._best(self._read(), "call")
+
+    def _best(self, rows: DataFrame, *keys: str) -> DataFrame:
+        reply = F.struct(*[c for c in ("digest", "model_id", "iteration", "ok", self.reply, "error", "duration_ms") if c not in keys])
+        return rows.groupBy(*keys).agg(F.min_by(reply, F.struct(~F.col("ok"), "duration_ms")).alias("r")).select(*keys, "r.*")
 
-    def ask(self, requests: DataFrame, hook: Callable, text: str = "prompt", waves: int = 1, failed_again: bool = False, tasks: int | None = None) -> DataFrame:
+    def ask(self, requests: DataFrame, hook: Callable, text: str = "prompt", waves: int = 1, failed_again: bool = False, tasks: int | None = None, models: list[str] | None = None, iterations: int = 1) -> DataFrame:
         """``requests`` (model_id, ``text``, perhaps iteration and others) with ok, the reply, error and duration_ms of their calls.
 
         Calls that the log has are not made again, failed ones only with ``failed_again``; of equal requests one is
         made. ``tasks`` is how many calls run at once (default: as many as shuffle partitions). The result is read from
         the log, so using it twice calls nobody. Null texts are asked as empty ones.
+
+        With ``models`` each request goes to each of them, ``iterations`` times, as ``judging.fan_out`` would make it; this way a
+        text is named, sorted and shuffled once, and copied for its calls only where they are made.
         """
-        iteration = F.col("iteration") if "iteration" in requests.columns else F.lit(1)
-        named = requests.withColumn("call", self.call(F.col(text), F.col("model_id"), iteration))
+        to = ("model_id", "model_pos", "iteration")
+        if models is None:
+            iteration = F.col("iteration") if "iteration" in requests.columns else F.lit(1)
+            own = [F.collect_set(F.struct("model_id", iteration.cast("string").alias("iteration"))).alias("to")]
+        else:
+            requests, iteration, own = requests.drop(*to), F.col("iteration"), []
+            each = F.array(*[F.struct(F.lit(x).alias("model_id"), F.lit(i).alias("model_pos"), F.lit(t).alias("iteration")) for i, x in enumerate(models) for t in range(1, iterations + 1)])
+        named = requests.withColumn("digest", self.digest(F.col(text)))
         for wave in range(waves):
-            mine = named if waves == 1 else named.where(F.pmod(F.xxhash64("call"), F.lit(waves)) == wave)
+            mine = named if waves == 1 else named.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave)
+            once = mine.groupBy("digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"), *own)
             known = self.replies()
-            known = known.where("ok") if failed_again else known
-            once = mine.groupBy("call").agg(F.first("model_id").alias("model_id"), F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-            todo = once.join(known.select("call"), "call", "left_anti")
+            known = (known.where("ok") if failed_again else known).groupBy("digest").agg(F.collect_set("call").alias("known"))
+            calls = F.transform("to" if models is None else each, lambda x: F.struct(self.call(F.col("digest"), x["model_id"], x["iteration"]).alias("call"), x["model_id"].alias("model_id"), x["iteration"].cast("string").alias("iteration")))
+            open_ = F.array_distinct(F.filter(calls, lambda x: ~F.coalesce(F.array_contains("known", x["call"]), F.lit(False))))
+            todo = once.join(known, "digest", "left").select("digest", "text", open_.alias("calls"))
             if tasks:
-                todo = todo.repartition(tasks, "call")
-            got = run_hook(todo.select("call", "model_id", "text"), hook, "text", self.reply, self.kind, ("text",))
-            got.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self._folder())
-        return join_hot(named, self.replies().drop("model_id"), "call").drop("call")
+                todo = todo.select("digest", "text", F.explode("calls").alias("c")).repartition(tasks, "c.call").select("digest", "text", F.array("c").alias("calls"))
+            got = run_hook(todo, hook, "text", self.reply, self.kind, ("text",), "calls")
+            got.select(*T.StructType.fromDDL(self.schema).names).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self._folder())
+        told = ["ok", self.reply, "error", "duration_ms"]
+        if models is None:
+            named = named.withColumn("call", self.call(F.col("digest"), F.col("model_id"), iteration)).drop("digest")
+            return join_hot(named, self.replies().select("call", *told), "call").drop("call")
+        # one shuffle by text serves both sums; a text has no more calls than it has models and iterations
+        by_text = self._best(self._read().repartition("digest"), "digest", "call").groupBy("digest").agg(F.collect_list(F.struct("model_id", "iteration", *told)).alias("got"))
+        rows = join_hot(named, by_text, "digest").select(*requests.columns, F.explode("got").alias("got"))
+        mine = F.filter(each, lambda x: (x["model_id"] == F.col("got.model_id")) & (x["iteration"].cast("string") == F.col("got.iteration")))
+        return rows.select("*", F.explode(mine).alias("to")).select(*requests.columns, *[f"to.{c}" for c in to], *[f"got.{c}" for c in told])
