@@ -133,9 +133,7 @@ def embed(texts: DataFrame, log: CallLog, embedder: Callable, models: list[str])
     ``log`` is a ``vector_log``. Each distinct text is sent to a model once, in Arrow batches, however many rows
     have it; a failed call is a row that isn't ok.
     """
-    own = F.explode(F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(i).alias("model_pos")) for i, m in enumerate(models)]))
-    rows = texts.drop("model_id", "model_pos").select("*", own.alias("m")).select("*", "m.*").drop("m")
-    return log.ask(rows, embedder, "text")
+    return log.ask(texts, embedder, "text", models=models).drop("iteration")
 
 
 def vector_log(spark: SparkSession, path: str) -> CallLog:
@@ -154,8 +152,8 @@ def semantic_similarity_of_texts(samples: DataFrame, log: CallLog, embedder: Cal
     sides = samples.where(~blank(F.col("response")) & ~blank(F.col("reference"))).select("sample_id", side.alias("s")).select("sample_id", "s.*")
     pieces = sides.select("sample_id", "side", F.explode(prepared(F.col("whole"), strategy, most, per_token)).alias("text"))
     made = embed(pieces, log, embedder, models)
-    failed = made.where(~F.col("ok")).select(*KEY).distinct()
-    return semantic_similarity(made.where("ok").join(failed, KEY, "left_anti"), threshold)
+    # a null entry makes the mean null, so a failed call leaves its sample and model without a score
+    return semantic_similarity(made.withColumn("embedding", F.when(F.col("ok"), F.col("embedding")).otherwise(F.array(F.lit(None).cast("float")))), threshold)
 
 
 def response_relevancy_of_texts(samples: DataFrame, questions: DataFrame, log: CallLog, embedder: Callable, models: list[str]) -> DataFrame:
