@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeworks.llm.common import cut, join_counted, packed, small
-from gradeworks.llm.components import components
+from gradeworks.llm.components import components, merged
 from gradeworks.llm.words import U, mix, shingles, split
 
 #: Bands and registers in a band: at a similarity of 0.85 a pair shares no band once in two million.
@@ -263,11 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         return found.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
     degree = cut(shared.join(shared.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("id").agg(F.sum("c").alias("degree")))
-    several_texts = not same_doc.isEmpty()
-    links = same_doc if several_texts else None
     comp = ids.select("id", F.col("id").alias("comp"))
-    if links is not None:
-        comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    if not same_doc.isEmpty():  # sets that one document links may share no band
+        linked = same_doc.select(F.explode(F.array("a", "b")).alias("id"))
+        comp = ids.union(linked).distinct().select("id", F.col("id").alias("comp"))
+        comp = merged(cut(comp), same_doc)
     for turn in range(star_rounds):
         member = shared.join(comp, "id").join(degree, "id")
         best = [-F.col("id"), F.struct("degree", "id"), F.xxhash64("id", F.lit(turn))][min(turn, 2)]
@@ -281,8 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
             break
         new = cut(verified(pairs))
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+            comp = merged(comp, new)
     member = shared.join(comp, "id")
     mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     ids_apart = cut(member.join(mixed.select("band"), "band").select("id").distinct())
@@ -297,17 +296,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) ->
         pairs = probe.join(other, "shingle").where("pc <> qc").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         new = cut(verified(pairs))
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+            comp = merged(comp, new)
         member = entries.join(by_list.where(long).select("shingle"), "shingle").join(comp, "id").withColumnRenamed("shingle", "band")
         mixed = member.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("centre"), F.max("probe").alias("probe")).where("lo <> hi and probe").select("band", "centre")
         apart = cut(member.join(mixed, "band").select("id", "comp", "centre", "band"))
         new = _grid(apart, nodes, sketches, sets, percent) if not apart.isEmpty() else None
         if new is not None and not new.isEmpty():
-            links = new if links is None else links.union(new)
-            comp = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    if several_texts:  # sets that one document links may share no band, so they have no component yet
-        comp = components(links)
+            comp = merged(comp, new)
     of = cut(nodes.join(comp, "id", "left").select("id", "rows", "doc", F.coalesce("comp", "id").alias("comp")))
     least = of.groupBy("comp").agg(F.min("doc").alias("group"), F.count("*").alias("sets"))
     linked, alone = least.where("sets > 1").select("comp", "group"), of.select("id", "rows", F.col("doc").alias("group"), "comp")

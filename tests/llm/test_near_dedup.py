@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from gradeworks.llm import components as cc
 from gradeworks.llm import near_dedup as nd
-from gradeworks.llm.components import components
+from gradeworks.llm.common import cut
+from gradeworks.llm.components import components, merged
 
 from .common import COLUMNS, WORDS, odd, rows, table
 
@@ -90,6 +92,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_tables_for_stars(spark, monkeypatch):
+    """Each step leaves its plan and its tasks in the driver's memory, so a few stars that share leaves must not take many."""
+    r, written = random.Random(3), []
+    monkeypatch.setattr(cc, "cut", lambda df: written.append(cut(df)) or written[-1])
+    components(spark.createDataFrame([(c, r.randrange(5000)) for c in r.sample(range(5000), 6) for _ in range(300)], "a long, b long"))
+    assert len(written) <= 8
+
+
+def test_merged_groups(spark):
+    r = random.Random(5)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1100)]
+    top = {i: i for pair in links for i in pair}
+    for a, b in links * 200:
+        top[a] = top[b] = min(top[a], top[b])
+    ids = spark.createDataFrame([(i,) for i in top], "id long")
+    comp = ids.selectExpr("id", "id AS comp")
+    for part in (links[:200], links[200:], []):
+        comp = merged(comp, spark.createDataFrame(part, "a long, b long"))
+    assert dict(rows(comp)) == top == dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
+
+
 def test_repeated_ids_and_changed_texts(spark):
     words = [f"w{i}" for i in range(300)]
     a, b = " ".join(words), " ".join(f"v{i}" for i in range(300))
