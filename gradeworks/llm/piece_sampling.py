@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeworks.llm.words import U, mix, prefix_sums, slices, span_hash
+from gradeworks.functions.batches import parts
+from gradeworks.llm.words import U, mix, prefix_sums, span_hash
 
 MARK = "▁"
+#: Bytes of texts that a task works on at a time; a longer text is taken whole.
+PART = 1 << 18
 #: Lattice nodes that a task remembers; beyond that it starts anew.
-MOST_NODES = 1 << 20
+MOST_NODES = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -297,9 +300,8 @@ def sampler(model: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                yield _sampled(lat, model, k, ids[lo:hi], texts[lo:hi])
+            for lo, hi in parts([batch.column(1)], PART):
+                yield _sampled(lat, model, k, *(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1)))
 
     return run
 

@@ -1,11 +1,14 @@
 import math
+import random
 from collections import Counter
 
+import pyarrow as pa
 import sentencepiece
 
 from gradeworks.llm import piece_sampling as ps
 from gradeworks.llm.queries import tokenizer
 
+from ..test_bounded import peak
 from .common import odd
 
 MODEL = tokenizer("piece_bpe_32k.model")
@@ -63,3 +66,25 @@ def test_table_is_decoded(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} == want
     stage = ps.stage(docs, MODEL, 1)
     assert stage.count() == docs.count() and ps.stage(docs.limit(0), MODEL).count() == 0
+
+
+def test_a_task_holds_a_part_of_a_batch():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(100)) for _ in range(4000)]  # 3.2 MB, all words differ
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    ps.lattices(MODEL)
+    run = ps.sampler(MODEL, 2)
+    sizes = []
+    assert peak(lambda: sizes.extend(b.num_rows for b in run(iter([batch])))) < 200
+    assert sum(sizes) == 8000 and max(sizes) < 1000
+
+
+def test_parts_and_forgotten_lattices_change_no_result(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "cat", "x" * 9, "ünï", "  ", "Zq7"]) + str(rng.randrange(50)) for _ in range(rng.randrange(60))) for _ in range(200)] + ["", None, "long " * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t and t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    whole = [r for b in ps.sampler(MODEL, 2)(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(ps, "PART", 1 << 10)
+    monkeypatch.setattr(ps, "MOST_NODES", 100)
+    ps.lattices(MODEL).clear()
+    assert [r for b in ps.sampler(MODEL, 2)(iter([batch])) for r in b.to_pylist()] == whole
